@@ -6,24 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from creditloom.plans import layers_queries
+from creditloom.plans import layer_queries, score_queries, serving_queries, view_queries  # noqa: F401
 from creditloom.plans.lake import Lake
 from creditloom.plans.oracle import with_views
+from creditloom.plans.registry import ORACLES, QUERIES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _modules():
-    return [layers_queries]
-
-
 def queries() -> dict[str, Query]:
-    found: dict[str, Query] = {}
-    for module in _modules():
-        for name, build in module.QUERIES.items():
-            found[name] = lambda spark, sf_dir, build=build: build(Lake(spark, sf_dir))
-    return found
+    return {
+        name: (lambda spark, sf_dir, build=build: build(Lake(spark, sf_dir))) for name, build in QUERIES.items()
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: with_views(sql) for module in _modules() for name, sql in module.ORACLES.items()}
+    return {name: with_views(sql) for name, sql in ORACLES.items()}

@@ -9,23 +9,11 @@ from creditloom.functions.numbers import safe_ratio
 from creditloom.operators import bronze, features, silver
 from creditloom.operators.keyed import duplicate_keys, first_per_key
 from creditloom.plans.lake import Lake
+from creditloom.plans.registry import query
 from creditloom.schemas import FEATURE_COLUMNS, RAW
 from creditloom.session import fresh_path
 from creditloom.sources import files
 
-QUERIES = {}
-ORACLES = {}
-
-
-def query(sql: str):
-    def register(build):
-        QUERIES[build.__name__] = build
-        ORACLES[build.__name__] = sql
-        return build
-
-    return register
-
-
 def _fields(df: DataFrame, keys: list[str], **fields: str) -> DataFrame:
     """Keys and JSON fields read back, each with its type."""
     read = [
@@ -300,7 +288,8 @@ def customer_credit_features(lake: Lake) -> DataFrame:
 
 
 @query(
-    """SELECT loan_id, loan_amount / nullif(days_past_due, 0) AS amount_per_day FROM silver_loans"""
+    "SELECT loan_id, loan_amount / nullif(days_past_due, 0) AS amount_per_day FROM silver_loans",
+    name="safe_ratio",
 )
 def safe_ratio_query(lake: Lake) -> DataFrame:
     return lake.table("loans").select(
@@ -342,7 +331,3 @@ _NAMES = ", ".join(f"'{c}'" for c in FEATURE_COLUMNS)
 )
 def feature_vector(lake: Lake) -> DataFrame:
     return features.feature_values(lake.table("features")).withColumn("value", F.round("value", 4))
-
-
-QUERIES["safe_ratio"] = QUERIES.pop("safe_ratio_query")
-ORACLES["safe_ratio"] = ORACLES.pop("safe_ratio_query")

@@ -250,3 +250,187 @@ LEFT JOIN customer_meta m ON m.customer_id = u.customer_id
 LEFT JOIN loan_agg l ON l.customer_id = u.customer_id
 LEFT JOIN payment_agg p ON p.customer_id = u.customer_id
 LEFT JOIN balance_agg b ON b.customer_id = u.customer_id
+
+-- view model_logit
+SELECT *, -0.5::DOUBLE + -0.05::DOUBLE * total_accounts + -0.0002::DOUBLE * account_age_days
+          + 0.04::DOUBLE * active_loans + 3.0::DOUBLE * late_payment_ratio
+          + 0.02::DOUBLE * max_days_past_due + 0.01::DOUBLE * debt_to_income_ratio
+          + 0.4::DOUBLE * credit_utilization AS z
+FROM gold_features
+
+-- view model_raw
+SELECT customer_id, institution_id, source_system, default_flag,
+       CASE WHEN z >= 0 THEN 1 / (1 + exp(-z)) ELSE exp(z) / (1 + exp(z)) END AS raw_p
+FROM model_logit
+
+-- view model_calibrated
+SELECT *, greatest(1e-6, least(1 - 1e-6,
+           CASE WHEN y >= 0 THEN 1 / (1 + exp(-y)) ELSE exp(y) / (1 + exp(y)) END)) AS p
+FROM (SELECT *, -2.3946103913682166::DOUBLE + 1.1236752427476158::DOUBLE
+             * ln(greatest(1e-6, least(1 - 1e-6, raw_p)) / (1 - greatest(1e-6, least(1 - 1e-6, raw_p)))) AS y
+      FROM model_raw)
+
+-- view current_scores
+SELECT customer_id, institution_id, source_system,
+       CAST(greatest(300, least(850, round_even(600 - 20 / ln(2.0) * ln(11.650360581192938::DOUBLE)
+           + 20 / ln(2.0) * ln((1 - p) / p), 0))) AS INTEGER) AS credit_score,
+       p AS default_probability,
+       CASE WHEN p <= 0.05 THEN 'LOW' WHEN p <= 0.15 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_level,
+       TIMESTAMP '2024-02-01' AS score_generated_at
+FROM model_calibrated
+
+-- view profile
+SELECT customer_id, institution_id, source_system, gender, age, income, employment_type, education, housing_type,
+       account_open_date
+FROM silver_customers
+QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY institution_id) = 1
+
+-- view history_newest
+SELECT * FROM score_history
+QUALIFY row_number() OVER (PARTITION BY customer_id
+    ORDER BY score_generated_at DESC NULLS LAST, history_id DESC) <= 12
+
+-- view history_points
+SELECT customer_id, CAST(row_number() OVER (PARTITION BY customer_id
+           ORDER BY score_generated_at ASC NULLS FIRST, history_id) AS INTEGER) AS point,
+       credit_score, risk_level, default_probability, score_generated_at
+FROM history_newest
+UNION ALL
+SELECT customer_id, 1, credit_score, risk_level, default_probability, score_generated_at
+FROM current_scores WHERE customer_id NOT IN (SELECT customer_id FROM score_history)
+
+-- view history_labelled
+SELECT h.*, strftime(coalesce(h.score_generated_at, s.score_generated_at, TIMESTAMP '2024-02-01'), '%Y-%m')
+           AS period
+FROM history_points h LEFT JOIN current_scores s ON s.customer_id = h.customer_id
+
+-- view history_ends
+SELECT customer_id, count(*) AS points, max_by(credit_score, point) - min_by(credit_score, point) AS change
+FROM history_points GROUP BY customer_id
+
+-- view recent
+SELECT transaction_id, customer_id, transaction_type, transaction_date, amount, expected_amount, delta_amount,
+       status, reference_id, days_past_due,
+       CAST(row_number() OVER (PARTITION BY customer_id
+           ORDER BY transaction_date DESC NULLS LAST, transaction_id DESC) AS INTEGER) AS rank
+FROM silver_transactions QUALIFY rank <= 500
+
+-- view recent_summary
+SELECT customer_id, count(*) AS total_transactions, max(transaction_date) AS latest_transaction_date,
+       round(CAST(sum(CAST(CASE WHEN transaction_type = 'LOAN_PAYMENT' THEN coalesce(amount, 0) ELSE 0 END
+           AS DECIMAL(24, 4))) AS DOUBLE), 2) AS total_payment_amount,
+       count(*) FILTER (WHERE upper(status) IN ('LATE', 'PAST_DUE')) AS late_or_past_due_events
+FROM recent GROUP BY customer_id
+
+-- view rule_inputs
+SELECT customer_id, debt_to_income_ratio AS dti, late_payment_ratio AS late, credit_utilization AS used,
+       max_days_past_due AS overdue, account_age_days AS age, active_loans AS open_loans, total_accounts AS accounts
+FROM gold_features
+
+-- view factor_hits
+SELECT customer_id, 1 AS rule, 'Debt-to-income ratio' AS factor, 'negative' AS impact, dti - 0.40 AS weight,
+       CAST(printf('%.2f', dti) AS DOUBLE) AS value, '<= 0.35' AS benchmark FROM rule_inputs WHERE dti > 0.40
+UNION ALL SELECT customer_id, 2, 'Debt-to-income ratio', 'positive', 0.35 - dti,
+       CAST(printf('%.2f', dti) AS DOUBLE), '<= 0.35' FROM rule_inputs WHERE dti <= 0.25
+UNION ALL SELECT customer_id, 3, 'Late payment ratio', 'negative', late - 0.08,
+       CAST(printf('%.2f', late) AS DOUBLE), '<= 0.05' FROM rule_inputs WHERE late > 0.08
+UNION ALL SELECT customer_id, 4, 'Late payment ratio', 'positive', 0.05 - late,
+       CAST(printf('%.2f', late) AS DOUBLE), '<= 0.05' FROM rule_inputs WHERE late <= 0.02
+UNION ALL SELECT customer_id, 5, 'Credit utilization', 'negative', used - 0.65,
+       CAST(printf('%.2f', used) AS DOUBLE), '<= 0.30' FROM rule_inputs WHERE used > 0.65
+UNION ALL SELECT customer_id, 6, 'Credit utilization', 'positive', 0.30 - used,
+       CAST(printf('%.2f', used) AS DOUBLE), '<= 0.30' FROM rule_inputs WHERE used BETWEEN 0 AND 0.30
+UNION ALL SELECT customer_id, 7, 'Maximum days past due', 'negative', overdue - 30, overdue, '<= 7 days'
+FROM rule_inputs WHERE overdue > 30
+UNION ALL SELECT customer_id, 8, 'Maximum days past due', 'positive', 7, overdue, '<= 7 days'
+FROM rule_inputs WHERE overdue = 0
+UNION ALL SELECT customer_id, 9, 'Account age', 'negative', (365 - age) / 365::DOUBLE, age, '>= 365 days'
+FROM rule_inputs WHERE age < 365
+UNION ALL SELECT customer_id, 10, 'Account age', 'positive', age / 365::DOUBLE, age, '>= 365 days'
+FROM rule_inputs WHERE age >= 1095
+UNION ALL SELECT customer_id, 11, 'Active loans', 'negative', open_loans - 5, open_loans, '<= 5'
+FROM rule_inputs WHERE open_loans > 5
+UNION ALL SELECT customer_id, 12, 'Account depth', 'positive', accounts - 3, accounts, '>= 3 accounts'
+FROM rule_inputs WHERE accounts >= 4 AND age >= 365
+
+-- view factors
+SELECT customer_id, CAST(row_number() OVER (PARTITION BY customer_id
+           ORDER BY impact = 'positive', weight DESC, rule) AS INTEGER) AS rank, factor, impact, value, benchmark
+FROM factor_hits QUALIFY rank <= 6
+
+-- view base_hits
+SELECT customer_id, 1 AS rule, 'Lower debt-to-income ratio' AS title, 'high' AS priority
+FROM rule_inputs WHERE dti > 0.40
+UNION ALL SELECT customer_id, 2, 'Improve payment consistency', 'high' FROM rule_inputs
+WHERE late > 0.05 OR overdue > 7
+UNION ALL SELECT customer_id, 3, 'Reduce credit utilization', 'medium' FROM rule_inputs WHERE used > 0.50
+UNION ALL SELECT customer_id, 4, 'Consolidate active obligations', 'medium' FROM rule_inputs WHERE open_loans > 5
+UNION ALL SELECT customer_id, 5, 'Build account tenure', 'low' FROM rule_inputs WHERE age < 365
+UNION ALL SELECT customer_id, 6, 'Maintain strong profile', 'low' FROM rule_inputs
+WHERE NOT (dti > 0.40 OR late > 0.05 OR overdue > 7 OR used > 0.50 OR open_loans > 5 OR age < 365)
+
+-- view base_ranked
+SELECT customer_id, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY rule) AS INTEGER) AS rank,
+       title, priority FROM base_hits
+
+-- view plan_inputs
+SELECT i.*, coalesce(e.points, 0) AS points, coalesce(e.change, 0) AS change,
+       coalesce(s.late_or_past_due_events, 0) AS negative_events
+FROM rule_inputs i LEFT JOIN history_ends e ON e.customer_id = i.customer_id
+LEFT JOIN recent_summary s ON s.customer_id = i.customer_id
+
+-- view plan_hits
+SELECT customer_id, 1 AS rule, 'Stop score decline first' AS title, 'high' AS priority FROM plan_inputs
+WHERE points >= 2 AND change <= -25
+UNION ALL SELECT customer_id, 2, 'Protect the positive momentum', 'low' FROM plan_inputs
+WHERE points >= 2 AND change >= 20
+UNION ALL SELECT customer_id, 3, 'Address recurring negative transactions', 'high' FROM plan_inputs
+WHERE negative_events >= 3
+UNION ALL SELECT customer_id, 4, 'Reduce debt burden over 60 days', 'high' FROM plan_inputs WHERE dti > 0.40
+UNION ALL SELECT customer_id, 5, 'Lower revolving utilization', 'medium' FROM plan_inputs WHERE used > 0.50
+UNION ALL SELECT customer_id, 6, 'Eliminate late payments in next 90 days', 'high' FROM plan_inputs WHERE late > 0.05
+UNION ALL SELECT customer_id, 100 + rule, title, priority FROM base_hits
+
+-- view plan
+SELECT customer_id, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY rule) AS INTEGER) AS rank,
+       title, priority
+FROM (SELECT * FROM plan_hits
+      QUALIFY row_number() OVER (PARTITION BY customer_id, lower(trim(title)) ORDER BY rule) = 1)
+QUALIFY rank <= 6
+
+-- view snapshot
+SELECT s.customer_id, s.credit_score, s.risk_level, s.default_probability, f.account_age_days, f.total_payments,
+       f.late_payments, f.max_days_past_due, f.late_payment_ratio, f.debt_to_income_ratio, f.credit_utilization,
+       f.account_stability, f.total_debt
+FROM current_scores s JOIN gold_features f ON f.customer_id = s.customer_id
+
+-- view trend_times
+SELECT *, coalesce(score_generated_at, CAST(period || '-01' AS TIMESTAMP)) AS time FROM history_labelled
+
+-- view trend_units
+SELECT customer_id,
+       CASE WHEN count(DISTINCT date_trunc('year', time)) > 1 THEN 'year'
+            WHEN count(DISTINCT date_trunc('month', time)) > 1 THEN 'month'
+            WHEN count(DISTINCT date_trunc('day', time)) > 1 THEN 'day' ELSE 'time' END AS granularity
+FROM trend_times GROUP BY customer_id
+
+-- view trend
+SELECT customer_id, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY bucket) AS INTEGER) AS place,
+       granularity, bucket, credit_score
+FROM (SELECT t.customer_id, u.granularity, t.credit_score, t.time, t.point,
+             CASE u.granularity WHEN 'year' THEN date_trunc('year', t.time) WHEN 'month' THEN date_trunc('month', t.time)
+                  WHEN 'day' THEN date_trunc('day', t.time) ELSE date_trunc('minute', t.time) END AS bucket
+      FROM trend_times t JOIN trend_units u ON u.customer_id = t.customer_id
+      QUALIFY row_number() OVER (PARTITION BY t.customer_id, bucket ORDER BY t.time DESC, t.point DESC) = 1)
+
+-- view labelled
+SELECT *, CASE WHEN upper(status) IN ('LATE', 'PAST_DUE') THEN 'Late payment'
+               WHEN transaction_type = 'LOAN_PAYMENT' THEN 'On-time payment'
+               WHEN coalesce(expected_amount, 0) > 0 AND coalesce(amount, 0) / expected_amount < 0.3
+                   THEN 'Credit utilization reduced'
+               ELSE 'Balance updated' END AS activity,
+       CASE WHEN upper(status) IN ('LATE', 'PAST_DUE') THEN 'negative'
+            WHEN transaction_type = 'LOAN_PAYMENT' THEN 'positive'
+            WHEN coalesce(expected_amount, 0) > 0 AND coalesce(amount, 0) / expected_amount < 0.3 THEN 'positive'
+            ELSE 'neutral' END AS tone
+FROM silver_transactions

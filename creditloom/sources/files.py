@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditloom.functions.scoring import ScoringConfig
-from creditloom.operators.keyed import last_per_key
+from creditloom.operators import serving
+from creditloom.operators.keyed import last_per_key, require_unique
 
 
 def scan_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -75,3 +76,28 @@ def write_serving(df: DataFrame, root: str, table: str, cluster_by: Sequence[str
     clustered = df.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
     clustered.write.mode("overwrite").parquet(path)
     return path
+
+
+def publish_serving(
+    root: str,
+    customers: DataFrame,
+    loans: DataFrame,
+    scores: DataFrame,
+    features: DataFrame,
+    transactions: DataFrame,
+    lookback_days: int = 1095,
+) -> dict[str, str]:
+    """Replace the five serving tables; a repeated customer in scores or features is an error."""
+    recent = serving.within_lookback(transactions, scores, lookback_days)
+    by_date = ["customer_id", "transaction_date", "transaction_id"]
+    tables = {
+        "customer_profile": (serving.serving_profile(customers), ["customer_id"]),
+        "customer_loans": (serving.serving_loans(loans), ["customer_id", "loan_id"]),
+        "customer_credit_scores": (require_unique(serving.serving_scores(scores), ["customer_id"]), ["customer_id"]),
+        "customer_credit_features": (
+            require_unique(serving.serving_features(features), ["customer_id"]),
+            ["customer_id"],
+        ),
+        "customer_transactions": (recent.drop("created_at"), by_date),
+    }
+    return {name: write_serving(df, root, name, cluster_by) for name, (df, cluster_by) in tables.items()}
