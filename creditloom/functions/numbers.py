@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MONEY = "decimal(24,4)"
+TOTAL = "decimal(34,4)"
 
 
 def int_of(text: Column) -> Column:
@@ -17,17 +18,17 @@ def double_of(text: Column) -> Column:
     return text.try_cast("double")
 
 
-def exact_sum(amount: Column) -> Column:
-    """Sum of money as double, summed in decimals.
+def money_total(amount: Column) -> Column:
+    """Sum of money in decimals.
 
     Adding doubles gives other last bits for another row order, so a retried task or another
-    partitioning would change scores. Decimal sums are the same in any order.
+    partitioning would change scores. Decimal sums are the same in any order, and sums of parts add up.
     """
-    return F.sum(amount.cast(MONEY)).cast("double")
+    return F.sum(amount.cast(MONEY)).cast(TOTAL)
 
 
-def exact_mean(amount: Column) -> Column:
-    return F.try_divide(exact_sum(amount), F.count(amount).cast("double"))
+def exact_sum(amount: Column) -> Column:
+    return money_total(amount).cast("double")
 
 
 def safe_ratio(numerator: Column, denominator: Column) -> Column:

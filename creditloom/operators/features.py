@@ -14,9 +14,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType
 
-from creditloom.functions.numbers import exact_mean, exact_sum, or_zero, safe_ratio
+from creditloom.functions.numbers import money_total, or_zero, safe_ratio
 from creditloom.schemas import FEATURE_COLUMNS
 
 # Status patterns, matched anywhere in the upper-cased status, so INACTIVE is active.
@@ -58,9 +57,10 @@ def _loan_measures(unique_ids: bool) -> list[Column]:
         (F.count("loan_id") if unique_ids else F.count_distinct("loan_id")).alias("total_loans"),
         F.sum("loan_is_active").alias("active_loans"),
         F.sum("loan_is_closed").alias("closed_loans"),
-        F.max("loan_days_past_due").alias("loan_max_days_past_due"),
-        F.avg("loan_days_past_due").alias("loan_avg_days_past_due"),
-        exact_sum(F.col("active_amount")).alias("active_loan_debt"),
+        F.count("loan_days_past_due").alias("loan_overdue_count"),
+        F.sum("loan_days_past_due").alias("loan_overdue_total"),
+        F.max("loan_days_past_due").alias("loan_overdue_max"),
+        money_total(F.col("active_amount")).alias("active_loan_total"),
         F.max("default_flag").alias("default_flag"),
     ]
 
@@ -102,14 +102,18 @@ def _balance_measures() -> list[Column]:
         F.count_distinct("account_id").alias("total_accounts"),
         F.min("snapshot_date").alias("first_snapshot"),
         F.max("snapshot_date").alias("last_snapshot"),
-        exact_mean(F.col("balance")).alias("avg_balance"),
+        F.count("balance").alias("balance_count"),
+        money_total(F.col("balance")).alias("balance_total"),
+        # squared deviations from the mean, summed
+        (F.var_pop("balance") * F.count("balance")).alias("balance_deviation"),
         F.max("balance").alias("max_balance"),
         F.min("balance").alias("min_balance"),
-        exact_mean(F.col("credit_limit")).alias("avg_credit_limit"),
-        F.stddev_samp("balance").alias("account_stability"),
-        F.max("account_days_past_due").alias("account_max_days_past_due"),
-        F.avg("account_days_past_due").alias("account_avg_days_past_due"),
-        exact_sum(F.col("positive_balance")).alias("account_positive_balance"),
+        F.count("credit_limit").alias("limit_count"),
+        money_total(F.col("credit_limit")).alias("limit_total"),
+        F.count("account_days_past_due").alias("account_overdue_count"),
+        F.sum("account_days_past_due").alias("account_overdue_total"),
+        F.max("account_days_past_due").alias("account_overdue_max"),
+        money_total(F.col("positive_balance")).alias("positive_total"),
     ]
 
 
@@ -154,7 +158,17 @@ def customer_meta(customers: DataFrame) -> DataFrame:
 
 
 def loan_aggregates(loans: DataFrame, unique_ids: bool = False) -> DataFrame:
-    return _loan_rows(loans, online=False).groupBy("customer_id").agg(*_loan_measures(unique_ids))
+    measures = _loan_rows(loans, online=False).groupBy("customer_id").agg(*_loan_measures(unique_ids))
+    return measures.select(
+        "customer_id",
+        "total_loans",
+        "active_loans",
+        "closed_loans",
+        F.col("loan_overdue_max").alias("loan_max_days_past_due"),
+        _loan_overdue_mean().alias("loan_avg_days_past_due"),
+        F.col("active_loan_total").cast("double").alias("active_loan_debt"),
+        "default_flag",
+    )
 
 
 def payment_aggregates(transactions: DataFrame, unique_ids: bool = False) -> DataFrame:
@@ -166,15 +180,49 @@ def payment_aggregates(transactions: DataFrame, unique_ids: bool = False) -> Dat
 def balance_aggregates(transactions: DataFrame, as_of: date) -> DataFrame:
     is_balance = F.col("transaction_type") == "BALANCE_SNAPSHOT"
     rows = transactions.where(is_balance).select("customer_id", *_balance_columns(F.lit(True), False))
-    measures = rows.groupBy("customer_id").agg(*_balance_measures())
-    return measures.withColumn("account_age_days", F.datediff(F.lit(as_of), "first_snapshot")).drop(
-        "first_snapshot", "last_snapshot"
-    )
+    return rows.groupBy("customer_id").agg(*_balance_measures()).select(
+        "customer_id",
+        "total_accounts",
+        F.datediff(F.lit(as_of), "first_snapshot").alias("account_age_days"),
+        _balance_mean().alias("avg_balance"),
+        "max_balance",
+        "min_balance",
+        _limit_mean().alias("avg_credit_limit"),
+        _balance_spread().alias("account_stability"),
+        F.col("account_overdue_max").alias("account_max_days_past_due"),
+        _account_overdue_mean().alias("account_avg_days_past_due"),
+        F.col("positive_total").cast("double").alias("account_positive_balance"),
+    )
 
 
 # --- measures to features ------------------------------------------------------------------------
 
 
+def _mean(total: str, count: str) -> Column:
+    return safe_ratio(F.col(total), F.col(count))
+
+
+def _loan_overdue_mean() -> Column:
+    return _mean("loan_overdue_total", "loan_overdue_count")
+
+
+def _account_overdue_mean() -> Column:
+    return _mean("account_overdue_total", "account_overdue_count")
+
+
+def _balance_mean() -> Column:
+    return _mean("balance_total", "balance_count")
+
+
+def _limit_mean() -> Column:
+    return _mean("limit_total", "limit_count")
+
+
+def _balance_spread() -> Column:
+    """Sample standard deviation; NULL for fewer than two balances."""
+    return F.sqrt(safe_ratio(F.col("balance_deviation"), F.col("balance_count") - 1))
+
+
 def combined_max_days_past_due(loan_max: Column, account_max: Column) -> Column:
     """The larger side; a side without rows does not count."""
     return F.coalesce(F.greatest(loan_max, account_max), F.lit(0)).cast("int")
@@ -186,32 +234,37 @@ def combined_avg_days_past_due(loan_avg: Column, account_avg: Column) -> Column:
     return (F.coalesce(loan_avg, F.lit(0.0)) + F.coalesce(account_avg, F.lit(0.0))) / sides
 
 
-def features_from_measures(measures: DataFrame, as_of: date | None, mode: str = "offline") -> DataFrame:
-    """Gold feature row from one row of measures per customer.
+def features_from_measures(
+    measures: DataFrame, as_of: date | Column | None, mode: str = "offline", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Gold feature rows from rows of measures.
 
-    ``as_of`` may be NULL online: the age then counts to the newest snapshot.
+    ``as_of`` may be None online: the age then counts to the newest snapshot. ``keep`` names further
+    columns to carry along.
     """
     online = _check_mode(mode)
-    anchor = F.lit(as_of) if as_of is not None else F.col("last_snapshot")
-    age = F.coalesce(F.datediff(anchor, "first_snapshot"), F.lit(0))
-    income, limit = F.col("income"), F.col("avg_credit_limit")
+    today = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("date")
+    age = F.datediff(F.coalesce(today, F.col("last_snapshot")), "first_snapshot")
+    age = F.coalesce(age, F.lit(0))
+    income, limit = F.col("income"), _limit_mean()
     if online:
         age = F.greatest(age, F.lit(0))
         income, limit = F.when(income > 0, income), F.when(limit > 0, limit)
 
-    debt = F.coalesce("active_loan_debt", F.lit(0.0)) + F.coalesce("account_positive_balance", F.lit(0.0))
+    def debt_part(total: str) -> Column:
+        return F.coalesce(F.col(total).cast("double"), F.lit(0.0))
+
+    debt = debt_part("active_loan_total") + debt_part("positive_total")
     derived = {
         "account_age_days": age,
-        "late_payment_ratio": F.coalesce(safe_ratio(F.col("late_payments"), F.col("total_payments")), F.lit(0.0)),
-        "max_days_past_due": combined_max_days_past_due(
-            F.col("loan_max_days_past_due"), F.col("account_max_days_past_due")
-        ),
-        "avg_days_past_due": combined_avg_days_past_due(
-            F.col("loan_avg_days_past_due"), F.col("account_avg_days_past_due")
-        ),
+        "avg_balance": or_zero(_balance_mean()),
+        "late_payment_ratio": or_zero(_mean("late_payments", "total_payments")),
+        "max_days_past_due": combined_max_days_past_due(F.col("loan_overdue_max"), F.col("account_overdue_max")),
+        "avg_days_past_due": combined_avg_days_past_due(_loan_overdue_mean(), _account_overdue_mean()),
         "total_debt": debt,
-        "debt_to_income_ratio": F.coalesce(safe_ratio(debt, income), F.lit(0.0)),
-        "credit_utilization": F.coalesce(safe_ratio(F.col("avg_balance"), limit), F.lit(0.0)),
+        "debt_to_income_ratio": or_zero(safe_ratio(debt, income)),
+        "credit_utilization": or_zero(safe_ratio(_balance_mean(), limit)),
+        "account_stability": or_zero(_balance_spread()),
     }
     # counts and ages are int, the rest double
     counts = {
@@ -220,18 +273,18 @@ def features_from_measures(measures: DataFrame, as_of: date | None, mode: str =
     }
     features = []
     for name in FEATURE_COLUMNS:
-        value = derived.get(name, F.coalesce(F.col(name), F.lit(0)))
-        features.append(value.cast(IntegerType() if name in counts else DoubleType()).alias(name))
+        value = derived.get(name, or_zero(F.col(name)))
+        features.append(value.cast("int" if name in counts else "double").alias(name))
 
-    label = [] if online else [F.coalesce(F.col("default_flag"), F.lit(0)).cast("int").alias("default_flag")]
-    stamp = F.lit(as_of).cast("timestamp") if as_of is not None else F.lit(None).cast("timestamp")
+    label = [] if online else [or_zero(F.col("default_flag")).cast("int").alias("default_flag")]
     return measures.select(
         F.col("customer_id").cast("long").alias("customer_id"),
         F.coalesce("institution_id", F.lit("unknown")).alias("institution_id"),
         F.coalesce("source_system", F.lit("unknown")).alias("source_system"),
         *features,
         *label,
-        stamp.alias("created_at"),
+        today.cast("timestamp").alias("created_at"),
+        *keep,
     )
 
 

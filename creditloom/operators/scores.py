@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -21,14 +23,20 @@ def model_probabilities(
 
 
 def score_customers(
-    features: DataFrame, raw_probability: Column, config: ScoringConfig, scored_at: Column
+    features: DataFrame,
+    raw_probability: Column,
+    config: ScoringConfig,
+    scored_at: Column,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """One score row per feature row; a narrow projection."""
+    """One score row per feature row, with the columns of ``keep``; a narrow projection."""
     calibrated = features.select(
         "customer_id",
         "institution_id",
         "source_system",
         scoring.calibrate(raw_probability, config).alias("default_probability"),
+        scored_at.alias("score_generated_at"),
+        *keep,
     )
     probability = F.col("default_probability")
     return calibrated.select(
@@ -38,5 +46,6 @@ def score_customers(
         scoring.credit_score(probability, config).alias("credit_score"),
         "default_probability",
         scoring.risk_level(probability, config).alias("risk_level"),
-        scored_at.alias("score_generated_at"),
+        "score_generated_at",
+        *keep,
     )

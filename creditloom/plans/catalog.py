@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from creditloom.plans import layer_queries, score_queries, serving_queries, view_queries  # noqa: F401
+from creditloom.plans import (  # noqa: F401
+    layer_queries,
+    live_queries,
+    score_queries,
+    serving_queries,
+    training_queries,
+    view_queries,
+)
 from creditloom.plans.lake import Lake
 from creditloom.plans.oracle import with_views
 from creditloom.plans.registry import ORACLES, QUERIES

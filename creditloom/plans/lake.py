@@ -14,11 +14,16 @@ from pyspark.sql import functions as F
 
 from creditloom.functions import scoring
 from creditloom.operators import bronze, features, silver
+from creditloom.operators import state as states
+from creditloom.operators.events import event_transactions, known_customers, normalize_events
 from creditloom.operators.keyed import first_per_key
 from creditloom.operators.scores import score_customers
+from creditloom.operators.training import TrainedModel, fit_scoring
 from creditloom.session import fresh_path
 from creditloom.sources import standin
 from creditloom.sources.files import write_layer
+from creditloom.streaming.live import LiveRefresh
+from creditloom.streaming.source import deduplicated, event_stream
 
 # A fixed logistic model for queries that SQL checks; trained models replace it in real runs.
 MODEL_INTERCEPT = -0.5
@@ -33,8 +38,11 @@ MODEL_WEIGHTS = {
 }
 
 CONFIG = scoring.PUBLISHED
+TREES = 20  # for queries; training itself defaults to 500
 
 _published: dict[tuple[str, str, str], str] = {}
+_trained: dict[tuple[str, str], TrainedModel] = {}
+_live: dict[tuple[str, str], LiveRefresh] = {}
 
 
 def model_probability() -> Column:
@@ -119,6 +127,51 @@ class Lake:
     def profile(self) -> DataFrame:
         return first_per_key(self.table("customers"), ["customer_id"])
 
+    # models and live tables ---------------------------------------------------------------------
+
+    def trained(self) -> TrainedModel:
+        """A model fitted on this lake's features, once per session; fewer trees than the default."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _trained:
+            _trained[key] = fit_scoring(self.table("features"), trees=TREES)
+        return _trained[key]
+
+    def known(self) -> DataFrame:
+        return known_customers(self.table("profile"), self.table("scores"))
+
+    def normalized_events(self) -> DataFrame:
+        return normalize_events(self.events(), F.lit(self.as_of))
+
+    def event_transactions(self) -> DataFrame:
+        return event_transactions(self.normalized_events(), self.known())
+
+    def state(self) -> DataFrame:
+        return states.base_state(self.table("profile"), self.table("loans"), self.table("transactions"))
+
+    def accounts(self) -> DataFrame:
+        return states.known_accounts(self.table("transactions"))
+
+    def trail(self) -> DataFrame:
+        return states.trail_measures(self.event_transactions(), self.table("state"), self.accounts())
+
+    def live(self) -> LiveRefresh:
+        """The live tables after all events of this lake went through the stream, once per session."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _live:
+            refresh = LiveRefresh(self.spark, fresh_path(self.spark, "live"), model_probability(), CONFIG)
+            refresh.prepare(
+                profiles=self.table("profile"),
+                loans=self.table("loans"),
+                transactions=self.table("transactions"),
+                features=self.table("features"),
+                scores=self.table("scores"),
+                history=self.table("score_history"),
+            )
+            stream = deduplicated(event_stream(self.spark, self.sf_dir))
+            refresh.start(stream, fresh_path(self.spark, "live-checkpoint")).awaitTermination()
+            _live[key] = refresh
+        return _live[key]
+
     # published ----------------------------------------------------------------------------------
 
     def table(self, name: str) -> DataFrame:

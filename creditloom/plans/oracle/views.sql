@@ -434,3 +434,230 @@ SELECT *, CASE WHEN upper(status) IN ('LATE', 'PAST_DUE') THEN 'Late payment'
             WHEN coalesce(expected_amount, 0) > 0 AND coalesce(amount, 0) / expected_amount < 0.3 THEN 'positive'
             ELSE 'neutral' END AS tone
 FROM silver_transactions
+
+-- view online_rows
+SELECT customer_id, transaction_id, transaction_type, transaction_date, coalesce(amount, 0) AS amount,
+       CASE WHEN expected_amount > 0 THEN expected_amount END AS credit_limit, reference_id,
+       coalesce(days_past_due, 0) AS days_past_due
+FROM silver_transactions
+
+-- view online_loans
+SELECT customer_id, count(DISTINCT loan_id) AS total_loans,
+       count(*) FILTER (WHERE regexp_matches(upper(coalesce(loan_status, '')), 'ACTIVE|APPROVED')) AS active_loans,
+       count(*) FILTER (WHERE regexp_matches(upper(coalesce(loan_status, '')), 'CLOSED|COMPLETED')) AS closed_loans,
+       max(coalesce(days_past_due, 0)) AS overdue_max, avg(coalesce(days_past_due, 0)) AS overdue_avg,
+       CAST(sum(CAST(CASE WHEN regexp_matches(upper(coalesce(loan_status, '')), 'ACTIVE|APPROVED')
+                          THEN coalesce(loan_amount, 0) ELSE 0 END AS DECIMAL(24, 4))) AS DOUBLE) AS debt
+FROM silver_loans GROUP BY customer_id
+
+-- view online_tenants
+SELECT customer_id,
+       CASE WHEN count(DISTINCT institution_id) > 1 THEN 'multi' ELSE min(institution_id) END AS institution_id,
+       CASE WHEN count(DISTINCT source_system) > 1 THEN 'multi' ELSE min(source_system) END AS source_system
+FROM (SELECT customer_id, institution_id, source_system FROM profile
+      UNION ALL SELECT customer_id, institution_id, source_system FROM silver_loans
+      UNION ALL SELECT customer_id, institution_id, source_system FROM silver_transactions)
+GROUP BY customer_id
+
+-- view online_activity
+SELECT customer_id, count(DISTINCT transaction_id) FILTER (WHERE transaction_type = 'LOAN_PAYMENT') AS total_payments,
+       count(*) FILTER (WHERE transaction_type = 'LOAN_PAYMENT' AND days_past_due > 0) AS late_payments,
+       count(DISTINCT reference_id) FILTER (WHERE transaction_type = 'BALANCE_SNAPSHOT') AS total_accounts,
+       min(transaction_date) FILTER (WHERE transaction_type = 'BALANCE_SNAPSHOT') AS first_snapshot,
+       count(*) FILTER (WHERE transaction_type = 'BALANCE_SNAPSHOT') AS balances,
+       CAST(sum(CAST(amount AS DECIMAL(24, 4))) FILTER (WHERE transaction_type = 'BALANCE_SNAPSHOT') AS DOUBLE)
+           AS balance_total,
+       max(amount) FILTER (WHERE transaction_type = 'BALANCE_SNAPSHOT') AS max_balance,
+       min(amount) FILTER (WHERE transaction_type = 'BALANCE_SNAPSHOT') AS min_balance,
+       stddev_samp(amount) FILTER (WHERE transaction_type = 'BALANCE_SNAPSHOT') AS spread,
+       count(credit_limit) FILTER (WHERE transaction_type = 'BALANCE_SNAPSHOT') AS limits,
+       CAST(sum(CAST(credit_limit AS DECIMAL(24, 4))) FILTER (WHERE transaction_type = 'BALANCE_SNAPSHOT') AS DOUBLE)
+           AS limit_total,
+       max(days_past_due) FILTER (WHERE transaction_type = 'BALANCE_SNAPSHOT') AS overdue_max,
+       avg(days_past_due) FILTER (WHERE transaction_type = 'BALANCE_SNAPSHOT') AS overdue_avg,
+       CAST(sum(CAST(greatest(amount, 0) AS DECIMAL(24, 4)))
+           FILTER (WHERE transaction_type = 'BALANCE_SNAPSHOT') AS DOUBLE) AS positive_total
+FROM online_rows GROUP BY customer_id
+
+-- view online_inputs
+SELECT p.customer_id, t.institution_id, t.source_system, p.income, DATE '2024-02-01' AS as_of,
+       coalesce(l.total_loans, 0) AS total_loans, coalesce(l.active_loans, 0) AS active_loans,
+       coalesce(l.closed_loans, 0) AS closed_loans, l.overdue_max AS loan_overdue_max,
+       l.overdue_avg AS loan_overdue_avg, coalesce(l.debt, 0) AS loan_debt,
+       a.total_payments, a.late_payments, a.total_accounts, a.first_snapshot, a.balances, a.balance_total,
+       a.max_balance, a.min_balance, a.spread, a.limits, a.limit_total, a.overdue_max, a.overdue_avg, a.positive_total
+FROM profile p LEFT JOIN online_tenants t ON t.customer_id = p.customer_id
+LEFT JOIN online_loans l ON l.customer_id = p.customer_id
+LEFT JOIN online_activity a ON a.customer_id = p.customer_id
+
+-- view online_features
+SELECT customer_id, coalesce(institution_id, 'unknown') AS institution_id,
+       coalesce(source_system, 'unknown') AS source_system,
+       CAST(coalesce(total_accounts, 0) AS INTEGER) AS total_accounts,
+       CAST(greatest(coalesce(as_of - first_snapshot, 0), 0) AS INTEGER) AS account_age_days,
+       coalesce(balance_total / nullif(balances, 0), 0) AS avg_balance, coalesce(max_balance, 0) AS max_balance,
+       coalesce(min_balance, 0) AS min_balance, CAST(total_loans AS INTEGER) AS total_loans,
+       CAST(active_loans AS INTEGER) AS active_loans, CAST(closed_loans AS INTEGER) AS closed_loans,
+       CAST(coalesce(total_payments, 0) AS INTEGER) AS total_payments,
+       CAST(coalesce(late_payments, 0) AS INTEGER) AS late_payments,
+       coalesce(late_payments::DOUBLE / nullif(total_payments, 0), 0) AS late_payment_ratio,
+       coalesce(greatest(loan_overdue_max, overdue_max), 0) AS max_days_past_due,
+       (coalesce(loan_overdue_avg, 0) + coalesce(overdue_avg, 0))
+           / CASE WHEN loan_overdue_avg IS NOT NULL AND overdue_avg IS NOT NULL THEN 2 ELSE 1 END AS avg_days_past_due,
+       loan_debt + coalesce(positive_total, 0) AS total_debt,
+       CASE WHEN income > 0 THEN (loan_debt + coalesce(positive_total, 0)) / income ELSE 0 END AS debt_to_income_ratio,
+       CASE WHEN limit_total > 0 AND limits > 0 THEN balance_total / balances / (limit_total / limits) ELSE 0 END
+           AS credit_utilization,
+       round(coalesce(spread, 0), 4) AS account_stability
+FROM online_inputs
+
+-- view known_events
+SELECT e.transaction_id, e.customer_id, p.institution_id, p.source_system, e.transaction_type, e.transaction_date,
+       e.amount, e.expected_amount AS given_expected, e.days_past_due AS given_days, e.event_time, e.event_id,
+       e.event_type,
+       coalesce(e.expected_amount, CASE WHEN e.transaction_type = 'LOAN_PAYMENT' THEN e.amount
+                                        ELSE greatest(e.amount * 1.5::DOUBLE, 1) END) AS expected_amount,
+       greatest(e.days_past_due, 0) AS days_past_due,
+       CASE WHEN e.transaction_type = 'LOAN_PAYMENT' AND upper(e.status) IN ('ON_TIME', 'LATE', 'PAST_DUE')
+                THEN upper(e.status)
+            WHEN e.transaction_type = 'LOAN_PAYMENT' THEN CASE WHEN e.days_past_due > 0 THEN 'LATE' ELSE 'ON_TIME' END
+            WHEN upper(e.status) IN ('CURRENT', 'PAST_DUE') THEN upper(e.status)
+            WHEN e.days_past_due > 0 THEN 'PAST_DUE' ELSE 'CURRENT' END AS status,
+       coalesce(e.reference_id, CASE WHEN e.transaction_type = 'LOAN_PAYMENT' THEN 'SIM_LOAN_' ELSE 'SIM_ACC_' END
+           || e.customer_id) AS reference_id
+FROM raw_events e LEFT JOIN profile p ON p.customer_id = e.customer_id
+
+-- view accepted_events
+SELECT * FROM known_events WHERE customer_id IN (SELECT customer_id FROM profile)
+
+-- view trail_rows
+SELECT customer_id, 0 AS phase, TIMESTAMP '1970-01-01' AS event_time, transaction_id, transaction_type,
+       transaction_date, amount, credit_limit, reference_id, days_past_due
+FROM online_rows
+UNION ALL
+SELECT customer_id, 1, event_time, transaction_id, transaction_type, transaction_date, amount,
+       CASE WHEN expected_amount > 0 THEN expected_amount END, reference_id, days_past_due
+FROM accepted_events
+
+-- view trail_flags
+SELECT *, transaction_type = 'LOAN_PAYMENT' AS pay, transaction_type = 'BALANCE_SNAPSHOT' AS bal,
+       CASE WHEN transaction_type = 'BALANCE_SNAPSHOT'
+            AND row_number() OVER (PARTITION BY customer_id, transaction_type, reference_id
+                                   ORDER BY phase, event_time, transaction_id) = 1 THEN 1 ELSE 0 END AS new_account
+FROM trail_rows
+
+-- view trail_totals
+SELECT customer_id, phase, event_time, transaction_id,
+       sum(CASE WHEN pay THEN 1 ELSE 0 END) OVER w AS total_payments,
+       sum(CASE WHEN pay AND days_past_due > 0 THEN 1 ELSE 0 END) OVER w AS late_payments,
+       sum(new_account) OVER w AS total_accounts,
+       min(CASE WHEN bal THEN transaction_date END) OVER w AS first_snapshot,
+       sum(CASE WHEN bal THEN 1 ELSE 0 END) OVER w AS balances,
+       CAST(sum(CASE WHEN bal THEN CAST(amount AS DECIMAL(24, 4)) ELSE 0 END) OVER w AS DOUBLE) AS balance_total,
+       max(CASE WHEN bal THEN amount END) OVER w AS max_balance,
+       min(CASE WHEN bal THEN amount END) OVER w AS min_balance,
+       stddev_samp(CASE WHEN bal THEN amount END) OVER w AS spread,
+       count(CASE WHEN bal THEN credit_limit END) OVER w AS limits,
+       CAST(sum(CASE WHEN bal THEN CAST(credit_limit AS DECIMAL(24, 4)) END) OVER w AS DOUBLE) AS limit_total,
+       max(CASE WHEN bal THEN days_past_due END) OVER w AS overdue_max,
+       avg(CASE WHEN bal THEN days_past_due END) OVER w AS overdue_avg,
+       CAST(sum(CASE WHEN bal THEN CAST(greatest(amount, 0) AS DECIMAL(24, 4)) ELSE 0 END) OVER w AS DOUBLE)
+           AS positive_total
+FROM trail_flags
+WINDOW w AS (PARTITION BY customer_id ORDER BY phase, event_time, transaction_id
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+
+-- view trail_features
+SELECT a.transaction_id, a.event_time, a.customer_id, coalesce(i.institution_id, 'unknown') AS institution_id,
+       coalesce(i.source_system, 'unknown') AS source_system,
+       CAST(a.total_accounts AS INTEGER) AS total_accounts,
+       CAST(greatest(coalesce(CAST(a.event_time AS DATE) - a.first_snapshot, 0), 0) AS INTEGER) AS account_age_days,
+       coalesce(a.balance_total / nullif(a.balances, 0), 0) AS avg_balance,
+       coalesce(a.max_balance, 0) AS max_balance, coalesce(a.min_balance, 0) AS min_balance,
+       CAST(i.total_loans AS INTEGER) AS total_loans, CAST(i.active_loans AS INTEGER) AS active_loans,
+       CAST(i.closed_loans AS INTEGER) AS closed_loans, CAST(a.total_payments AS INTEGER) AS total_payments,
+       CAST(a.late_payments AS INTEGER) AS late_payments,
+       coalesce(a.late_payments::DOUBLE / nullif(a.total_payments, 0), 0) AS late_payment_ratio,
+       coalesce(greatest(i.loan_overdue_max, a.overdue_max), 0) AS max_days_past_due,
+       (coalesce(i.loan_overdue_avg, 0) + coalesce(a.overdue_avg, 0))
+           / CASE WHEN i.loan_overdue_avg IS NOT NULL AND a.overdue_avg IS NOT NULL THEN 2 ELSE 1 END
+           AS avg_days_past_due,
+       i.loan_debt + a.positive_total AS total_debt,
+       CASE WHEN i.income > 0 THEN (i.loan_debt + a.positive_total) / i.income ELSE 0 END AS debt_to_income_ratio,
+       CASE WHEN a.limit_total > 0 AND a.limits > 0 THEN a.balance_total / a.balances / (a.limit_total / a.limits)
+            ELSE 0 END AS credit_utilization,
+       round(coalesce(a.spread, 0), 4) AS account_stability
+FROM trail_totals a JOIN online_inputs i ON i.customer_id = a.customer_id
+WHERE a.phase = 1
+
+-- view trail_scores
+SELECT *, CAST(greatest(300, least(850, round_even(600 - 20 / ln(2.0) * ln(11.650360581192938::DOUBLE)
+              + 20 / ln(2.0) * ln((1 - p) / p), 0))) AS INTEGER) AS credit_score,
+       CASE WHEN p <= 0.05 THEN 'LOW' WHEN p <= 0.15 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_level
+FROM (SELECT *, greatest(1e-6, least(1 - 1e-6, 1 / (1 + exp(-(-2.3946103913682166::DOUBLE
+             + 1.1236752427476158::DOUBLE * ln(raw / (1 - raw))))))) AS p
+      FROM (SELECT *, greatest(1e-6, least(1 - 1e-6, 1 / (1 + exp(-(
+                -0.5::DOUBLE + -0.05::DOUBLE * total_accounts + -0.0002::DOUBLE * account_age_days
+                + 0.04::DOUBLE * active_loans + 3.0::DOUBLE * late_payment_ratio
+                + 0.02::DOUBLE * max_days_past_due + 0.01::DOUBLE * debt_to_income_ratio
+                + 0.4::DOUBLE * credit_utilization))))) AS raw FROM trail_features))
+
+-- view trail_last
+SELECT * FROM trail_scores
+QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY event_time DESC, transaction_id DESC) = 1
+
+-- view what_if_rows
+SELECT e.transaction_id AS scenario_id, r.customer_id, r.transaction_type, r.transaction_date, r.transaction_id,
+       r.amount, r.credit_limit, r.reference_id, r.days_past_due
+FROM accepted_events e JOIN online_rows r ON r.customer_id = e.customer_id
+UNION ALL
+SELECT transaction_id, customer_id, transaction_type, transaction_date, 'WHATIF', amount,
+       CASE WHEN expected_amount > 0 THEN expected_amount END, reference_id, days_past_due
+FROM accepted_events
+
+-- view what_if_activity
+SELECT scenario_id, customer_id,
+       count(*) FILTER (WHERE transaction_type = 'LOAN_PAYMENT') AS total_payments,
+       count(*) FILTER (WHERE transaction_type = 'LOAN_PAYMENT' AND days_past_due > 0) AS late_payments,
+       count(DISTINCT reference_id) FILTER (WHERE transaction_type = 'BALANCE_SNAPSHOT') AS total_accounts,
+       min(transaction_date) FILTER (WHERE transaction_type = 'BALANCE_SNAPSHOT') AS first_snapshot,
+       avg(amount) FILTER (WHERE transaction_type = 'BALANCE_SNAPSHOT') AS avg_balance,
+       stddev_samp(amount) FILTER (WHERE transaction_type = 'BALANCE_SNAPSHOT') AS spread,
+       avg(credit_limit) FILTER (WHERE transaction_type = 'BALANCE_SNAPSHOT') AS avg_limit,
+       max(days_past_due) FILTER (WHERE transaction_type = 'BALANCE_SNAPSHOT') AS overdue_max,
+       coalesce(sum(greatest(amount, 0)) FILTER (WHERE transaction_type = 'BALANCE_SNAPSHOT'), 0) AS positive_total
+FROM what_if_rows GROUP BY scenario_id, customer_id
+
+-- view what_if_raw
+SELECT a.*, i.active_loans, coalesce(greatest(i.loan_overdue_max, a.overdue_max), 0) AS max_days_past_due,
+       greatest(coalesce(DATE '2024-02-01' - a.first_snapshot, 0), 0) AS account_age_days,
+       coalesce(a.late_payments::DOUBLE / nullif(a.total_payments, 0), 0) AS late_payment_ratio,
+       CASE WHEN i.income > 0 THEN (i.loan_debt + a.positive_total) / i.income ELSE 0 END AS dti,
+       coalesce(CASE WHEN a.avg_limit > 0 THEN a.avg_balance / a.avg_limit END, 0) AS used
+FROM what_if_activity a JOIN online_inputs i ON i.customer_id = a.customer_id
+
+-- view what_if_scores
+SELECT *, CAST(greatest(300, least(850, round_even(600 - 20 / ln(2.0) * ln(11.650360581192938::DOUBLE)
+              + 20 / ln(2.0) * ln((1 - p) / p), 0))) AS INTEGER) AS credit_score,
+       CASE WHEN p <= 0.05 THEN 'LOW' WHEN p <= 0.15 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_level
+FROM (SELECT *, greatest(1e-6, least(1 - 1e-6, 1 / (1 + exp(-(-2.3946103913682166::DOUBLE
+             + 1.1236752427476158::DOUBLE * ln(raw / (1 - raw))))))) AS p
+      FROM (SELECT *, greatest(1e-6, least(1 - 1e-6, 1 / (1 + exp(-(
+                -0.5::DOUBLE + -0.05::DOUBLE * total_accounts + -0.0002::DOUBLE * account_age_days
+                + 0.04::DOUBLE * active_loans + 3.0::DOUBLE * late_payment_ratio
+                + 0.02::DOUBLE * max_days_past_due + 0.01::DOUBLE * dti + 0.4::DOUBLE * used))))) AS raw
+            FROM what_if_raw))
+
+-- view train_quota
+SELECT default_flag, CAST(quota + CASE WHEN row_number() OVER (ORDER BY share - quota DESC, default_flag)
+           <= train - sum(quota) OVER () THEN 1 ELSE 0 END AS BIGINT) AS quota
+FROM (SELECT default_flag, train, train * n / total AS share, floor(train * n / total) AS quota
+      FROM (SELECT default_flag, n::DOUBLE AS n, sum(n) OVER ()::DOUBLE AS total,
+                   (sum(n) OVER () - ceil(sum(n) OVER () * 0.2::DOUBLE))::DOUBLE AS train
+            FROM (SELECT default_flag, count(*) AS n FROM gold_features GROUP BY default_flag)))
+
+-- view split
+SELECT f.customer_id, f.default_flag,
+       row_number() OVER (PARTITION BY f.default_flag ORDER BY md5('42:' || f.customer_id), f.customer_id) <= q.quota
+           AS is_train
+FROM gold_features f JOIN train_quota q ON q.default_flag = f.default_flag
