@@ -9,11 +9,6 @@ MONEY = "decimal(24,4)"
 TOTAL = "decimal(34,4)"
 
 
-def int_of(text: Column) -> Column:
-    """Whole number in a text such as ``-1213``, ``365243.0`` or ``XNA`` (NULL); truncates."""
-    return text.try_cast("double").try_cast("int")
-
-
 def double_of(text: Column) -> Column:
     return text.try_cast("double")
 
@@ -43,28 +38,21 @@ def or_zero(value: Column) -> Column:
 def rounded_units(value: Column, digits: int, ties: str = "even") -> Column:
     """``abs(value)`` in units of 10^-digits, correctly rounded from the binary value.
 
-    The fraction is cut into two 40-bit integers, so the comparison with one half is exact.
-    ``ties`` is ``even`` (Python, C) or ``up`` (JavaScript ``toFixed``); ``digits`` is at most 4.
+    The value is split into two halves of its bits, so that both products with 10^digits are exact and
+    the distance to the next half unit has the right sign. ``ties`` is ``even`` (Python, C) or ``up``
+    (JavaScript ``toFixed``); ``digits`` is at most 4. Pass a plain column: the expression repeats it.
     """
-    bits = 40
-    mask = F.lit(2**bits - 1).cast("long")
-    scale = F.lit(10**digits).cast("long")
-
+    scale = float(10**digits)
     size = F.abs(value.cast("double"))
-    whole = F.floor(size).cast("long")
-    fraction = (size - whole.cast("double")) * float(2**bits)
-    high = F.floor(fraction).cast("long")
-    low = F.floor((fraction - high.cast("double")) * float(2**bits)).cast("long") * scale
-
-    scaled = high * scale + F.shiftright(low, bits)
-    rest = scaled.bitwiseAND(mask)
-    below = low.bitwiseAND(mask)
-    half = F.lit(2 ** (bits - 1)).cast("long")
-    units = whole * scale + F.shiftright(scaled, bits)
-    tied = (rest == half) & (below == 0)
-    goes_up = (rest > half) | ((rest == half) & (below > 0))
-    goes_up = goes_up | (tied & (units % 2 == 1) if ties == "even" else tied)
-    return units + F.when(goes_up, 1).otherwise(0).cast("long")
+    spread = size * float(2**27 + 1)
+    high = spread - (spread - size)
+    low = size - high
+    product, rest = high * scale, low * scale  # both exact
+    units = F.floor(product + rest)
+    over_half = (product - units.cast("double") - 0.5) + rest
+    tied = over_half == 0
+    goes_up = (over_half > 0) | (tied & (units % 2 == 1) if ties == "even" else tied)
+    return units + goes_up.cast("long")
 
 
 def rounded(value: Column, digits: int, ties: str = "even") -> Column:

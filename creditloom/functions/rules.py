@@ -1,27 +1,40 @@
-"""Rule tables as one array expression, evaluated inside the JVM."""
+"""Rule tables as SQL text: one array expression, parsed and evaluated inside the JVM."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def fired(entries: Iterable[tuple[str, Column]]) -> Column:
-    """The structs whose SQL condition holds, in the order given."""
-    cases = [F.when(F.expr(condition), entry) for condition, entry in entries]
-    return F.filter(F.array(*cases), lambda entry: entry.isNotNull())
+def text(value: str) -> str:
+    """A SQL text constant."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def texts(**values: str) -> Column:
-    """A struct of text constants."""
-    return F.struct(*[F.lit(value).alias(name) for name, value in values.items()])
+def struct(fields: Mapping[str, str]) -> str:
+    """A SQL struct from field names and SQL expressions."""
+    return "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in fields.items()) + ")"
 
 
-def or_default(entries: Column, default: Column) -> Column:
-    """``entries``, or just ``default`` where no rule fired."""
-    return F.when(F.size(entries) == 0, F.array(default)).otherwise(entries)
+def texts(**values: str) -> str:
+    """A SQL struct of text constants."""
+    return struct({name: text(value) for name, value in values.items()})
+
+
+def cases(rules: Iterable[tuple[str, str]]) -> str:
+    """A SQL array with one entry per rule: the rule's struct, or NULL where its condition fails."""
+    return "array(" + ", ".join(f"CASE WHEN {condition} THEN {entry} END" for condition, entry in rules) + ")"
+
+
+def fired(rules: Iterable[tuple[str, str]], default: str | None = None) -> Column:
+    """The structs of the rules that hold, in the order given; just ``default`` if there are none."""
+    rules = list(rules)
+    if default is not None:
+        none = " AND ".join(f"NOT coalesce({condition}, false)" for condition, _ in rules)
+        rules.append((none, default))
+    return F.expr(f"filter({cases(rules)}, entry -> entry IS NOT NULL)")
 
 
 def ranked(df, array: str, rank: str = "rank"):

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.functions.numbers import or_zero, rounded
-from creditloom.functions.rules import fired, or_default, ranked, texts
+from creditloom.functions.rules import fired, ranked, struct, text, texts
 from creditloom.operators.serving import PROFILE_COLUMNS
 from creditloom.schemas import FEATURE_COLUMNS
 
 MAX_FACTORS = 6
 MAX_RECOMMENDATIONS = 6
+RATIOS = ("dti", "late", "used")
 
 # Factor, side, condition, weight, value, benchmark. The last column is our wording.
 FACTOR_RULES = [
@@ -92,41 +93,50 @@ def rule_inputs(features: DataFrame, *extra: str) -> DataFrame:
         "open_loans": "active_loans",
         "accounts": "total_accounts",
     }
-    return features.select(
+    inputs = features.select(
         "customer_id", *extra, *[or_zero(F.col(column)).alias(short) for short, column in names.items()]
     )
+    # ratios are shown with two digits
+    return inputs.select("*", *[rounded(F.col(c), 2).alias(f"{c}_shown") for c in RATIOS])
 
 
 def factors_array() -> Column:
     """The strongest factors: negatives before positives, then by weight, then by rule order."""
-    entries = []
+    rules = []
     for number, (factor, side, condition, weight, value, benchmark, detail) in enumerate(FACTOR_RULES):
-        number_shown = F.expr(value).cast("double")
-        entry = F.struct(
-            F.lit(0 if side == "negative" else 1).alias("side"),
-            (-F.expr(weight).cast("double")).alias("weight"),
-            F.lit(number).alias("rule"),
-            F.lit(factor).alias("factor"),
-            F.lit(side).alias("impact"),
-            rounded(number_shown, 2).alias("value"),
-            F.lit(benchmark).alias("benchmark"),
-            F.lit(detail).alias("detail"),
-        )
-        entries.append((condition, entry))
-    strongest = F.slice(F.array_sort(fired(entries)), 1, MAX_FACTORS)
-    return F.transform(
-        strongest,
-        lambda f: F.struct(*[f[name].alias(name) for name in ("factor", "impact", "value", "benchmark", "detail")]),
-    )
+        shown = f"{value}_shown" if value in RATIOS else f"double({value})"
+        fields = {
+            "side": "0" if side == "negative" else "1",
+            "weight": f"-double({weight})",
+            "rule": str(number),
+            "factor": text(factor),
+            "impact": text(side),
+            "value": shown,
+            "benchmark": text(benchmark),
+            "detail": text(detail),
+        }
+        rules.append((condition, struct(fields)))
+    return F.slice(F.array_sort(fired(rules)), 1, MAX_FACTORS)
+
+
+def without_order(factors: str) -> Column:
+    """Factors without the fields that only sorted them."""
+    fields = ["factor", "impact", "value", "benchmark", "detail"]
+    return F.arrays_zip(*[F.col(factors)[name].alias(name) for name in fields])
+
+
+def _advice(title: str, priority: str, why: str, action: str) -> str:
+    return texts(title=title, priority=priority, why_it_matters=why, action=action)
 
 
-def _advice(title: str, priority: str, why: str, action: str) -> Column:
-    return texts(title=title, priority=priority, why_it_matters=why, action=action)
+def _base_rules() -> list[tuple[str, str]]:
+    found = [(condition, _advice(*advice)) for condition, *advice in BASE_RULES]
+    none = " AND ".join(f"NOT ({condition})" for condition, *_ in BASE_RULES)
+    return [*found, (none, _advice(*BASE_DEFAULT))]
 
 
 def base_recommendations_array() -> Column:
-    found = fired((condition, _advice(*advice)) for condition, *advice in BASE_RULES)
-    return or_default(found, _advice(*BASE_DEFAULT))
+    return fired(_base_rules())
 
 
 def first_of_each_title(recommendations: Column, limit: int) -> Column:
@@ -142,14 +152,17 @@ def first_of_each_title(recommendations: Column, limit: int) -> Column:
     return F.slice(F.filter(recommendations, is_first), 1, limit)
 
 
-def plan_array() -> Column:
-    plan = fired((condition, _advice(*advice)) for condition, *advice in PLAN_RULES)
-    return first_of_each_title(F.concat(plan, base_recommendations_array()), MAX_RECOMMENDATIONS)
+def with_plan(inputs: DataFrame, name: str = "recommendations") -> DataFrame:
+    """Adds the personal rules' recommendations followed by the basic ones, each title once."""
+    rules = [(condition, _advice(*advice)) for condition, *advice in PLAN_RULES]
+    merged = inputs.withColumn("_merged", fired([*rules, *_base_rules()]))
+    return merged.withColumn(name, first_of_each_title(F.col("_merged"), MAX_RECOMMENDATIONS)).drop("_merged")
 
 
 def score_factors(features: DataFrame) -> DataFrame:
     """Up to six ranked factors per customer."""
-    return ranked(rule_inputs(features).select("customer_id", factors_array().alias("factors")), "factors")
+    found = rule_inputs(features).select("customer_id", factors_array().alias("factors"))
+    return ranked(found, "factors").drop("side", "weight", "rule")
 
 
 def base_recommendations(features: DataFrame) -> DataFrame:
@@ -178,8 +191,8 @@ def _plan_inputs(features: DataFrame, points: DataFrame, summary: DataFrame, *ex
 
 def personalized_plan(features: DataFrame, points: DataFrame, summary: DataFrame) -> DataFrame:
     """Up to six recommendations per customer, the personal ones first, each title once."""
-    inputs = _plan_inputs(features, points, summary)
-    return ranked(inputs.select("customer_id", plan_array().alias("recommendations")), "recommendations")
+    planned = with_plan(_plan_inputs(features, points, summary))
+    return ranked(planned.select("customer_id", "recommendations"), "recommendations")
 
 
 def customer_dashboard(
@@ -191,8 +204,9 @@ def customer_dashboard(
     no join; every table that is joined holds one row per customer.
     """
     metrics = F.struct(*FEATURE_COLUMNS)
-    explained = _plan_inputs(features.withColumn("metrics", metrics), points, summary, "metrics").select(
-        "customer_id", "metrics", factors_array().alias("factors"), plan_array().alias("recommendations")
+    inputs = _plan_inputs(features.withColumn("metrics", metrics), points, summary, "metrics")
+    explained = with_plan(inputs.withColumn("ordered", factors_array())).select(
+        "customer_id", "metrics", without_order("ordered").alias("factors"), "recommendations"
     )
     profile = profiles.select("customer_id", F.struct(*PROFILE_COLUMNS).alias("profile"))
     score_fields = ["credit_score", "risk_level", "default_probability", "score_generated_at"]

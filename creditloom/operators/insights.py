@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.functions.bands import first_match, insight_band
 from creditloom.functions.numbers import fixed_text, or_zero
-from creditloom.functions.rules import fired, or_default, texts
+from creditloom.functions.rules import fired, struct, text, texts
 from creditloom.operators.explain import score_trend_ends
 
 MAX_POINTS = 3
@@ -30,45 +32,73 @@ def feature_snapshot(features: DataFrame, scores: DataFrame) -> DataFrame:
     )
 
 
-def _percent(column: str) -> Column:
-    return F.concat(fixed_text(F.col(column) * 100, 1), F.lit("%"))
+# Condition, code and wording; {names} are the text columns of _spelled.
+STRENGTHS = [
+    ("late_payment_ratio <= 0.03", "payments", "Payments are reliable, late {late_text}."),
+    ("debt_to_income_ratio <= 0.35", "debt", "Debt is moderate for the income, DTI {dti_text}."),
+    ("credit_utilization BETWEEN 0 AND 0.3", "utilization", "Little credit is used, {used_text}."),
+    ("account_age_days >= 1095", "history", "The history is long, {years_text} years."),
+    ("account_stability <= 5000", "stability", "Balances move little, spread {spread_text}."),
+]
+NO_STRENGTH = "There is a base to build on."
+RISKS = [
+    ("late_payment_ratio >= 0.1", "payments", "Many payments are late, {late_text}."),
+    ("debt_to_income_ratio > 0.45", "debt_high", "Debt is high for the income, DTI {dti_text}."),
+    ("debt_to_income_ratio > 0.35 AND debt_to_income_ratio <= 0.45", "debt_moderate",
+     "Debt leaves little room, DTI {dti_text}."),
+    ("credit_utilization > 0.5", "utilization", "Much of the credit is used, {used_text}."),
+    ("account_age_days < 365", "history", "The history is short, {years_text} years."),
+    ("max_days_past_due > 30", "overdue", "Overdue by up to {max_days_past_due} days."),
+]
+NO_RISK = "No single risk stands out."
+HEADLINE = "Your credit score is {band} ({credit_score})."
+SUMMARY = "Late payments {late_text}, DTI {dti_text}, utilization {used_text}, account age {years_text} years."
+
+
+def _spelled(snapshot: DataFrame) -> DataFrame:
+    """Adds the numbers as text, each worked out once."""
+    scaled = snapshot.select(
+        "*",
+        (F.col("late_payment_ratio") * 100).alias("_late"),
+        (F.col("debt_to_income_ratio") * 100).alias("_dti"),
+        (F.col("credit_utilization") * 100).alias("_used"),
+        (F.col("account_age_days") / 365).alias("_years"),
+    )
+    percent = F.lit("%")
+    counts = F.concat(F.col("late_payments").cast("string"), F.lit("/"), F.col("total_payments").cast("string"))
+    return scaled.select(
+        *snapshot.columns,
+        insight_band(F.col("credit_score")).alias("band"),
+        F.concat(counts, F.lit(" ("), fixed_text(F.col("_late"), 1), F.lit("%)")).alias("late_text"),
+        F.concat(fixed_text(F.col("_dti"), 1), percent).alias("dti_text"),
+        F.concat(fixed_text(F.col("_used"), 1), percent).alias("used_text"),
+        fixed_text(F.col("_years"), 1).alias("years_text"),
+        fixed_text(F.col("account_stability"), 0).alias("spread_text"),
+    )
+
 
+def _sentence(template: str) -> str:
+    """SQL for a template: {name} stands for a column."""
+    parts = []
+    for literal, name, _, _ in Formatter().parse(template):
+        if literal:
+            parts.append(text(literal))
+        if name:
+            parts.append(f"string({name})")
+    return f"concat({', '.join(parts)})"
 
-def _sentence(*parts: Column | str) -> Column:
-    return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
+def _noted(code: str, template: str) -> str:
+    return struct({"code": text(code), "text": _sentence(template)})
 
-def _noted(code: str, text: Column) -> Column:
-    return F.struct(F.lit(code).alias("code"), text.alias("text"))
+
+def _points(rules: list[tuple[str, str, str]], default: str) -> Column:
+    noted = fired([(condition, _noted(code, wording)) for condition, code, wording in rules], _noted("none", default))
+    return F.slice(noted, 1, MAX_POINTS)
 
 
 def score_explanation(snapshot: DataFrame) -> DataFrame:
     """Band, summary, up to three strengths and risks, and one recommendation per customer."""
-    late = _sentence(
-        F.col("late_payments").cast("string"), "/", F.col("total_payments").cast("string"),
-        " (", _percent("late_payment_ratio"), ")",
-    )
-    dti, used = _percent("debt_to_income_ratio"), _percent("credit_utilization")
-    years = _sentence(fixed_text(F.col("account_age_days") / 365, 1), " years")
-    spread = fixed_text(F.col("account_stability"), 0)
-    overdue = F.col("max_days_past_due").cast("string")
-
-    strengths = fired([
-        ("late_payment_ratio <= 0.03", _noted("payments", _sentence("Payments are reliable, late ", late, "."))),
-        ("debt_to_income_ratio <= 0.35", _noted("debt", _sentence("Debt is moderate for the income, DTI ", dti, "."))),
-        ("credit_utilization BETWEEN 0 AND 0.3", _noted("utilization", _sentence("Little credit is used, ", used, "."))),
-        ("account_age_days >= 1095", _noted("history", _sentence("The history is long, ", years, "."))),
-        ("account_stability <= 5000", _noted("stability", _sentence("Balances move little, spread ", spread, "."))),
-    ])
-    risks = fired([
-        ("late_payment_ratio >= 0.1", _noted("payments", _sentence("Many payments are late, ", late, "."))),
-        ("debt_to_income_ratio > 0.45", _noted("debt_high", _sentence("Debt is high for the income, DTI ", dti, "."))),
-        ("debt_to_income_ratio > 0.35 AND debt_to_income_ratio <= 0.45",
-         _noted("debt_moderate", _sentence("Debt leaves little room, DTI ", dti, "."))),
-        ("credit_utilization > 0.5", _noted("utilization", _sentence("Much of the credit is used, ", used, "."))),
-        ("account_age_days < 365", _noted("history", _sentence("The history is short, ", years, "."))),
-        ("max_days_past_due > 30", _noted("overdue", _sentence("Overdue by up to ", overdue, " days."))),
-    ])
     advice = [
         (F.col("debt_to_income_ratio") > 0.5, "reduce_debt"),
         (F.col("late_payment_ratio") > 0.08, "pay_in_time"),
@@ -80,22 +110,14 @@ def score_explanation(snapshot: DataFrame) -> DataFrame:
         "use_less_credit": "Use less than 30% of the limit.",
         "keep_going": "Lower balances by a tenth and pay in time for two billing cycles.",
     }
-    code = first_match(advice, "keep_going")
-    score = F.col("credit_score")
-    return snapshot.select(
+    return _spelled(snapshot).select(
         "customer_id",
-        insight_band(score).alias("band"),
-        _sentence("Your credit score is ", insight_band(score), " (", score.cast("string"), ").").alias("headline"),
-        _sentence("Late payments ", late, ", DTI ", dti, ", utilization ", used, ", account age ", years, ".").alias(
-            "summary"
-        ),
-        F.slice(or_default(strengths, _noted("none", F.lit("There is a base to build on."))), 1, MAX_POINTS).alias(
-            "strengths"
-        ),
-        F.slice(or_default(risks, _noted("none", F.lit("No single risk stands out."))), 1, MAX_POINTS).alias(
-            "risk_factors"
-        ),
-        code.alias("recommendation_code"),
+        "band",
+        F.expr(_sentence(HEADLINE)).alias("headline"),
+        F.expr(_sentence(SUMMARY)).alias("summary"),
+        _points(STRENGTHS, NO_STRENGTH).alias("strengths"),
+        _points(RISKS, NO_RISK).alias("risk_factors"),
+        first_match(advice, "keep_going").alias("recommendation_code"),
         first_match([(cond, wording[key]) for cond, key in advice], wording["keep_going"]).alias("recommendation"),
         F.lit("Derived from fixed rules.").alias("confidence_note"),
     )
@@ -120,19 +142,19 @@ MOMENTUM_TEXT = {
 }
 
 
-def _action(code: str, impact: str, timeline: str, action: str, outcome: str) -> Column:
+def _action(code: str, impact: str, timeline: str, action: str, outcome: str) -> str:
     return texts(code=code, action=action, impact=impact, expected_outcome=outcome, timeline=timeline)
 
 
 def improvement_advisor(snapshot: DataFrame, points: DataFrame) -> DataFrame:
     """Prioritized actions per customer and where the score is heading."""
     with_trend = snapshot.join(score_trend_ends(points), "customer_id", "left")
-    actions = fired((condition, _action(*action)) for condition, *action in ADVICE_RULES)
+    rules = [(condition, _action(*action)) for condition, *action in ADVICE_RULES]
     has_trend = F.col("points") >= 2
     momentum = [(has_trend & (F.col("change") >= 20), "up"), (has_trend & (F.col("change") <= -20), "down")]
     return with_trend.select(
         "customer_id",
-        or_default(actions, _action(*ADVICE_DEFAULT)).alias("prioritized_actions"),
+        fired(rules, _action(*ADVICE_DEFAULT)).alias("prioritized_actions"),
         first_match(momentum, "steady").alias("momentum"),
         first_match([(cond, MOMENTUM_TEXT[key]) for cond, key in momentum], MOMENTUM_TEXT["steady"]).alias(
             "momentum_message"

@@ -59,9 +59,10 @@ def score_bands(scores: DataFrame) -> DataFrame:
 
 def factor_cards(features: DataFrame) -> DataFrame:
     """Four cards per customer: payments, utilization, age and debt."""
-    late, used, dti = (
-        or_zero(F.col(c)).cast("double") for c in ("late_payment_ratio", "credit_utilization", "debt_to_income_ratio")
-    )
+    ratios = {"late": "late_payment_ratio", "used": "credit_utilization", "dti": "debt_to_income_ratio"}
+    features = features.withColumns({name: or_zero(F.col(c)).cast("double") for name, c in ratios.items()})
+    features = features.withColumns({f"{name}_percent": F.col(name) * 100 for name in ratios})
+    late, used, dti = (F.col(name) for name in ratios)
     days = F.greatest(or_zero(F.col("account_age_days")), F.lit(0))
     years = F.floor(or_zero(F.col("account_age_days")) / 365 + F.lit(0.5))  # half up
     years = F.greatest(years, F.lit(0)).cast("int")
@@ -76,20 +77,20 @@ def factor_cards(features: DataFrame) -> DataFrame:
             tone.alias("tone"),
         )
 
-    def percent(value: Column) -> Column:
-        return F.concat(fixed_text(value * 100, 1, ties="up"), F.lit("%"))
+    def percent(name: str) -> Column:
+        return F.concat(fixed_text(F.col(f"{name}_percent"), 1, ties="up"), F.lit("%"))
 
     counts = F.concat(or_zero(F.col("late_payments")).cast("string"), F.lit("/"), or_zero(F.col("total_payments")).cast("string"))
     cards = F.array(
         card(
             1, "Payment History", late,
-            F.concat(F.lit("Late "), counts, F.lit(" ("), percent(late), F.lit(")")),
+            F.concat(F.lit("Late "), counts, F.lit(" ("), percent("late"), F.lit(")")),
             first_match([(late <= 0.03, "Excellent"), (late <= 0.08, "Good")], "Needs Work"),
             first_match([(late <= 0.03, "good"), (late <= 0.08, "warning")], "danger"),
         ),
         card(
             2, "Credit Utilization", used,
-            F.concat(percent(used), F.lit(" of limit")),
+            F.concat(percent("used"), F.lit(" of limit")),
             first_match([(used <= 0.1, "Very Low"), (used <= 0.3, "Healthy"), (used <= 0.5, "Moderate")], "High"),
             first_match([(used <= 0.3, "good"), (used <= 0.5, "warning")], "danger"),
         ),
@@ -101,7 +102,7 @@ def factor_cards(features: DataFrame) -> DataFrame:
         ),
         card(
             4, "Debt Ratio", dti,
-            F.concat(F.lit("DTI "), percent(dti)),
+            F.concat(F.lit("DTI "), percent("dti")),
             first_match([(dti <= 0.3, "Low"), (dti <= 0.45, "Moderate")], "High"),
             first_match([(dti <= 0.3, "good"), (dti <= 0.45, "warning")], "danger"),
         ),
