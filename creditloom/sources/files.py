@@ -55,15 +55,21 @@ def save_scoring_config(spark: SparkSession, config: ScoringConfig, path: str, *
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def write_layer(df: DataFrame, root: str, layer: str, table: str, max_files: int | None = None) -> str:
+def write_layer(
+    df: DataFrame, root: str, layer: str, table: str, max_files: int | None = None, rebalance: bool = False
+) -> str:
     """Replace a table.
 
-    By default file sizes follow the data: the rebalance hint lets adaptive execution merge small and
-    split large partitions. ``max_files`` caps the file count without a shuffle.
+    By default nothing is shuffled for the write: adaptive execution has already sized the partitions
+    that the last shuffle left. ``max_files`` caps the file count, ``rebalance`` pays one shuffle for
+    files of even size.
     """
     path = f"{root}/{layer}/{table}"
-    sized = df.hint("rebalance") if max_files is None else df.coalesce(max_files)
-    sized.write.mode("overwrite").parquet(path)
+    if rebalance:
+        df = df.hint("rebalance")
+    if max_files is not None:
+        df = df.coalesce(max_files)
+    df.write.mode("overwrite").parquet(path)
     return path
 
 

@@ -16,6 +16,16 @@ from creditloom.sources.files import scan_table
 AS_OF = date(2024, 2, 1)
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the files alone would leave some idle.
+
+    The test tables have one row group each, so one task would read and parse everything. Inputs with at
+    least as many splits as cores are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _offset(column: str) -> Column:
     return F.datediff(F.col(column).cast("date"), F.lit(AS_OF))
 
@@ -94,12 +104,14 @@ def bureau(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def installments_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = scan_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    lines = scan_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate"
+    )
     due = _offset("l_shipdate").cast("double")
     # price times (1 - discount), rounded half up to cents in whole numbers
     paid_cents = F.floor((_cents("l_extendedprice") * (100 - _cents("l_discount")) + 50) / 100)
     return (
-        scan_table(spark, sf_dir, "lineitem")
-        .where(F.col("l_orderkey") % 3 != 0)
+        _spread(lines.where(F.col("l_orderkey") % 3 != 0))
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .select(
             F.col("l_orderkey").alias("SK_ID_PREV"),

@@ -7,7 +7,7 @@ one. Tables by customer are split into hash buckets, and a batch reads only the
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +40,7 @@ class LiveRefresh:
     raw_probability: Column
     config: ScoringConfig
     buckets: int = 16
+    marked: set[str] = field(default_factory=set, compare=False)
 
     # --- tables ----------------------------------------------------------------------------------
 
@@ -51,6 +52,10 @@ class LiveRefresh:
         # one hot bucket may be split over several files, small buckets share tasks
         sized = bucketed.hint("rebalance", "bucket")
         sized.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{table}/batch_id={batch_id}")
+        if batch_id == BASE or table not in self.marked:
+            # a table without rows has no files to take the schema from: keep one empty file
+            df.limit(0).write.mode("overwrite").parquet(f"{self.root}/{table}/batch_id={BASE}/bucket=-1")
+            self.marked.add(table)
 
     def read(self, table: str) -> DataFrame:
         """All rows of all batches, with ``batch_id``."""
