@@ -247,7 +247,8 @@ def serving_profile(lake: Lake) -> DataFrame:
        UNION ALL SELECT 'customer_credit_features', count(*), CAST(sum(customer_id) AS BIGINT) FROM gold_features
        UNION ALL SELECT 'customer_transactions', count(*), CAST(sum(customer_id) AS BIGINT) FROM silver_transactions
        WHERE transaction_date IS NULL
-          OR transaction_date >= (SELECT CAST(max(score_generated_at) AS DATE) - 1095 FROM current_scores)"""
+          OR transaction_date >= (SELECT CAST(max(score_generated_at) AS DATE) - 1095 FROM current_scores)""",
+    name="publish_serving",
 )
 def publish_serving_tables(lake: Lake) -> DataFrame:
     root = fresh_path(lake.spark, "serving")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from creditloom.operators import training
 from creditloom.operators.scores import score_customers
 from creditloom.plans.lake import CONFIG, Lake, model_probability
 from creditloom.plans.registry import query
+from creditloom.session import fresh_path
+from creditloom.sources.files import load_scoring_config, save_scoring_config
 
 
 @query("SELECT default_flag, count(*) AS row_count FROM gold_features GROUP BY default_flag")
@@ -79,3 +83,21 @@ def model_metrics(lake: Lake) -> DataFrame:
 )
 def scorecard_params(lake: Lake) -> DataFrame:
     return training.scorecard_parameters(lake.table("features"))
+
+
+@query(
+    """SELECT default_flag, count(*) AS row_count, 'platt_logit' AS calibration, -2.3946103913682166::DOUBLE AS intercept,
+       'log_odds' AS scorecard,
+       (SELECT (1 - avg(default_flag)) / greatest(avg(default_flag), 1e-6) FROM gold_features) AS base_odds,
+       300 AS min_score, 0.05::DOUBLE AS low_max FROM gold_features GROUP BY default_flag"""
+)
+def model_metadata(lake: Lake) -> DataFrame:
+    card = training.scorecard_parameters(lake.table("features")).first()
+    path = fresh_path(lake.spark, "metadata")
+    save_scoring_config(lake.spark, replace(CONFIG, base_odds=card["base_odds"]), path)
+    config = load_scoring_config(lake.spark, path)
+    fields = ("calibration", "intercept", "scorecard", "base_odds", "min_score", "low_max")
+    # beside the label counts that the odds come from
+    return training.label_counts(lake.table("features")).select(
+        "*", *[F.lit(getattr(config, name)).alias(name) for name in fields]
+    )
