@@ -61,8 +61,7 @@ def previous_application(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = _offset("o_orderdate")
     status = F.col("o_orderstatus")
     return (
-        scan_table(spark, sf_dir, "orders")
-        .where(key % 3 != 0)
+        _spread(scan_table(spark, sf_dir, "orders").where(key % 3 != 0))
         .select(
             key.alias("SK_ID_PREV"),
             F.col("o_custkey").alias("SK_ID_CURR"),
@@ -84,8 +83,7 @@ def bureau(spark: SparkSession, sf_dir: str) -> DataFrame:
     opened = _offset("o_orderdate")
     status = F.col("o_orderstatus")
     return (
-        scan_table(spark, sf_dir, "orders")
-        .where(key % 3 == 0)
+        _spread(scan_table(spark, sf_dir, "orders").where(key % 3 == 0))
         .select(
             key.alias("SK_ID_BUREAU"),
             F.col("o_custkey").alias("SK_ID_CURR"),
@@ -127,7 +125,8 @@ def installments_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _monthly(spark: SparkSession, sf_dir: str, third: int) -> DataFrame:
-    return scan_table(spark, sf_dir, "events").where(F.col("event_id") % 3 == third)
+    events = scan_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    return _spread(events.where(F.col("event_id") % 3 == third))
 
 
 def _months() -> Column:
