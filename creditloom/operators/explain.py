@@ -180,13 +180,20 @@ def score_trend_ends(points: DataFrame) -> DataFrame:
     )
 
 
+SUMMARY_COLUMNS = [
+    "total_transactions", "latest_transaction_date", "total_payment_amount", "late_or_past_due_events",
+]
+
+
 def _plan_inputs(features: DataFrame, points: DataFrame, summary: DataFrame, *extra: str) -> DataFrame:
+    """Rule inputs with the score trend and the transaction summary; each is joined once."""
+    inputs = rule_inputs(features, *extra)
+    totals = summary.select("customer_id", *SUMMARY_COLUMNS)
+    joined = inputs.join(score_trend_ends(points), "customer_id", "left").join(totals, "customer_id", "left")
     # Negative events lead the contributor ranking, so the three that matter are among its first
     # twenty exactly when the summary counts three: no ranking is needed here.
-    negatives = summary.select("customer_id", F.col("late_or_past_due_events").alias("negative_events"))
-    inputs = rule_inputs(features, *extra)
-    joined = inputs.join(score_trend_ends(points), "customer_id", "left").join(negatives, "customer_id", "left")
-    return joined.fillna(0, ["points", "change", "negative_events"])
+    counted = joined.withColumn("negative_events", F.col("late_or_past_due_events"))
+    return counted.fillna(0, ["points", "change", "negative_events"])
 
 
 def personalized_plan(features: DataFrame, points: DataFrame, summary: DataFrame) -> DataFrame:
@@ -206,7 +213,7 @@ def customer_dashboard(
     metrics = F.struct(*FEATURE_COLUMNS)
     inputs = _plan_inputs(features.withColumn("metrics", metrics), points, summary, "metrics")
     explained = with_plan(inputs.withColumn("ordered", factors_array())).select(
-        "customer_id", "metrics", without_order("ordered").alias("factors"), "recommendations"
+        "customer_id", "metrics", without_order("ordered").alias("factors"), "recommendations", *SUMMARY_COLUMNS
     )
     profile = profiles.select("customer_id", F.struct(*PROFILE_COLUMNS).alias("profile"))
     score_fields = ["credit_score", "risk_level", "default_probability", "score_generated_at"]
@@ -220,7 +227,6 @@ def customer_dashboard(
     return (
         profile.join(score, "customer_id")
         .join(explained, "customer_id")
-        .join(summary, "customer_id", "left")
         .select(
             "customer_id", "profile", "score", "factors", "recommendations", "metrics",
             totals.alias("transaction_summary"),

@@ -137,10 +137,17 @@ def _single_or_multi(column: str) -> Column:
 
 def _tenants(tables: list[DataFrame]) -> DataFrame:
     """One tenant per customer over all tables, ``multi`` if there are several."""
-    # distinct first: map tasks then shuffle a few rows per customer, whatever the history's length
-    rows = reduce(DataFrame.unionByName, [df.select("customer_id", *TENANT) for df in tables]).distinct()
     named = [F.when(F.col(c) != "", F.col(c)).alias(c) for c in TENANT]  # an empty name is none
-    return rows.select("customer_id", *named).groupBy("customer_id").agg(*[_single_or_multi(c) for c in TENANT])
+    # Distinct rows first, by hash: a few per customer, whatever the history's length. The row count
+    # keeps the optimizer from dropping this step, which would sort all rows for the text minimum.
+    rows = reduce(DataFrame.unionByName, [df.select("customer_id", *named) for df in tables]).distinct()
+    several = F.count(F.lit(1)) > 1
+
+    def single_or_multi(column: str) -> Column:
+        lowest, highest = F.min(column), F.max(column)
+        return F.when(several & (lowest != highest), F.lit("multi")).otherwise(lowest).alias(column)
+
+    return rows.groupBy("customer_id").agg(*[single_or_multi(c) for c in TENANT])
 
 
 # --- the single aggregates ------------------------------------------------------------------------

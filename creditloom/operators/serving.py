@@ -68,11 +68,11 @@ def within_lookback(transactions: DataFrame, scores: DataFrame, days: int = 1095
     """Transactions of the last ``days`` before the newest score; undated ones stay, 0 keeps all."""
     if days <= 0:
         return transactions
-    newest = scores.select(F.max(F.to_date("score_generated_at")).alias("newest"))
-    cutoff = newest.select(F.date_sub("newest", days)).scalar()
+    newest = scores.agg(F.max(F.to_date("score_generated_at")).alias("newest"))
+    # without any score time there is nothing to count back from, and every date is late enough
+    cutoff = newest.select(F.coalesce(F.date_sub("newest", days), F.lit("0001-01-01").cast("date"))).scalar()
     dated = F.col("transaction_date")
-    # without any score time there is nothing to count back from
-    return transactions.where(dated.isNull() | cutoff.isNull() | (dated >= cutoff))
+    return transactions.where(dated.isNull() | (dated >= cutoff))
 
 
 def table_counts(**tables: DataFrame) -> DataFrame:

@@ -129,7 +129,8 @@ def _merged(rows: DataFrame, center: Column, keep: list[str]) -> DataFrame:
 def what_if_measures(scenarios: DataFrame, state: DataFrame, accounts: DataFrame) -> DataFrame:
     """Measures of each scenario's customer as if that one transaction had happened.
 
-    Scenarios have the columns of a normalized transaction and ``scenario_id``; each stands alone.
+    Scenarios are normalized events with a ``scenario_id``; each stands alone. Those of unknown
+    customers have no state and drop out.
     """
     held = accounts.select("customer_id", "reference_id", F.lit(True).alias("held"))
     marked = scenarios.join(held, ["customer_id", "reference_id"], "left")

@@ -84,7 +84,7 @@ def rejected_events(lake: Lake) -> DataFrame:
        JOIN current_scores c ON c.customer_id = e.customer_id"""
 )
 def what_if_scores(lake: Lake) -> DataFrame:
-    scenarios = lake.event_transactions().withColumnRenamed("transaction_id", "scenario_id")
+    scenarios = lake.normalized_events().withColumnRenamed("transaction_id", "scenario_id")
     features = state.what_if_features(scenarios, lake.table("state"), lake.accounts(), lake.as_of)
     asked = ["scenario_id", "transaction_type", "status", "expected_amount", "transaction_date"]
     projected = score_customers(features, model_probability(), CONFIG, F.col("created_at"), asked)
