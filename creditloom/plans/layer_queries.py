@@ -326,8 +326,10 @@ _NAMES = ", ".join(f"'{c}'" for c in FEATURE_COLUMNS)
 
 @query(
     f"""SELECT customer_id, CAST(i - 1 AS INTEGER) AS position, [{_NAMES}][i] AS feature,
-        round([{_VECTOR}][i], 4) AS value
+        CASE WHEN i = 17 THEN round(account_stability, 4) ELSE [{_VECTOR}][i] END AS value
         FROM gold_features, unnest(generate_series(1, 17)) AS s(i)"""
 )
 def feature_vector(lake: Lake) -> DataFrame:
-    return features.feature_values(lake.table("features")).withColumn("value", F.round("value", 4))
+    values = features.feature_values(lake.table("features"))
+    spread = F.col("feature") == "account_stability"  # the only value that depends on summation order
+    return values.withColumn("value", F.when(spread, F.round("value", 4)).otherwise(F.col("value")))
