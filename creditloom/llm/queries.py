@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from creditloom.llm import byte_bpe, licenses, packing, quality, spotsigs, token_files
+from creditloom.llm import byte_bpe, licenses, packing, quality, shingle_join, spotsigs, substrings, token_files
 from creditloom.llm.common import documents
 from creditloom.session import fresh_path
 
@@ -19,6 +19,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.jaccard_components(documents(spark, sf_dir))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
@@ -49,6 +53,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trips(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     found = [f for name, f in globals().items() if name.startswith("op") and callable(f)]
     return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))}
