@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from creditloom.llm import byte_bpe, licenses, packing, quality, shingle_join, spotsigs, substrings, token_files
-from creditloom.llm.common import documents
+from creditloom.llm import byte_bpe, licenses, neighbours, packing, quality, shingle_join, spotsigs, substrings, suffixes, token_files
+from creditloom.llm.common import documents, importable
 from creditloom.session import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,10 +42,19 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir)).drop("spans")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(documents(spark, sf_dir))
+
+
 def op7_spot_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.compare_with_next(documents(spark, sf_dir))
 
 
+def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id % 100 = 0")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from creditloom.llm.common import slices, written
 from creditloom.llm.components import components
+from creditloom.llm.spans import LAST
 from creditloom.llm.words import mix, window_hashes, word_hashes
 
 SHINGLE = 5
@@ -357,6 +358,20 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return known, components(links.unionByName(more))
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """place (doc_id, null last) and text_hash of one document of each component, the first by place, then hash.
+
+    Documents without words are linked with nothing, so they all stay.
+    """
+    known, joined = link_classes(docs)
+    at = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("place"), "text_hash")
+    placed = known.join(joined, F.col("class") == F.col("node"), "left").select(
+        at.alias("at"), "n", F.coalesce("component", "class").alias("component")
+    )
+    linked_ones = placed.where("n > 0").groupBy("component").agg(F.min("at").alias("at")).select("at.*")
+    return linked_ones.unionByName(placed.where("n = 0").select("at.*").distinct())
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row.
 
