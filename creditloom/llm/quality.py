@@ -50,16 +50,19 @@ def padded(text: bytes) -> np.ndarray:
     return out
 
 
-def windows(values: np.ndarray) -> np.ndarray:
-    """(half chunks, windows in each, WIDTH) byte values; the last windows look into padding."""
-    tail = np.full(WIDTH - STRIDE, PAD, dtype=values.dtype)
-    return sliding_window_view(np.concatenate([values, tail]), WIDTH)[::STRIDE].reshape(-1, HALF // STRIDE, WIDTH)
+def windows(values: list[np.ndarray]) -> np.ndarray:
+    """(half chunks, windows in each, WIDTH) byte values; a text's last windows look into padding, not into the next text."""
+    halves = np.concatenate(values).reshape(-1, HALF)
+    ahead = np.full((len(halves), WIDTH - STRIDE), PAD, dtype=halves.dtype)
+    ahead[:-1] = halves[1:, : WIDTH - STRIDE]
+    ahead[np.cumsum([len(v) // HALF for v in values]) - 1] = PAD
+    return sliding_window_view(np.concatenate([halves, ahead], axis=1), WIDTH, axis=1)[:, ::STRIDE]
 
 
-def responses(net: Net, values: np.ndarray) -> np.ndarray:
+def responses(net: Net, values: list[np.ndarray]) -> np.ndarray:
     """(half chunks, FILTERS): the largest answer of each filter."""
     seen = windows(values)
-    out = np.empty((len(seen), net.filters.shape[1]), dtype=np.float32)
+    out = np.empty((len(seen), net.filters.shape[1]), dtype=net.filters.dtype)
     for a in range(0, len(seen), AT_ONCE):
         part = seen[a : a + AT_ONCE]
         embedded = net.embedding[part.reshape(-1)].reshape(-1, net.filters.shape[0])
@@ -85,7 +88,7 @@ def probability(net: Net, vectors: np.ndarray) -> np.ndarray:
 
 def score(net: Net, texts: list[bytes]) -> np.ndarray:
     values = [padded(t) for t in texts]
-    halves = responses(net, np.concatenate(values))
+    halves = responses(net, values)
     return probability(net, combined(halves, [len(v) // HALF for v in values])[1])
 
 
@@ -104,7 +107,7 @@ def gradients(net: Net, texts: list[bytes], labels: np.ndarray) -> Net:
     """Of the mean logistic loss, by the chain rule through maxima and means."""
     values = [padded(t) for t in texts]
     counts = [len(v) // HALF for v in values]
-    seen = windows(np.concatenate(values))
+    seen = windows(values)
     embedded = net.embedding[seen.reshape(-1)].reshape(*seen.shape[:2], -1)
     answers = embedded @ net.filters
     best = answers.argmax(axis=1)
