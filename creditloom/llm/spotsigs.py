@@ -131,7 +131,8 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     cuts = ids.agg(F.percentile_approx("doc_id", shares or [0.5], 10 * parts).alias("c")).first()["c"]
     cuts = sorted(set(cuts or []), reverse=True)
     # part 0 has the largest ids, the last one the smallest and null
-    part = F.coalesce(F.expr(f"size(filter(array({', '.join(f'{c}L' for c in cuts)}), c -> c > doc_id))"), F.lit(len(cuts))) if cuts else F.lit(0)
+    larger = F.expr(f"size(filter(array({', '.join(f'{c}L' for c in cuts)}), c -> c > doc_id))") if cuts else F.lit(0)
+    part = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(larger)
     heads = plain.select(part.alias("part"), "doc_id").groupBy("part").agg(F.max("doc_id").alias("head")).collect()
     order = sorted(r["part"] for r in heads)  # at most ``parts`` rows
     before = {p: order[i - 1] for i, p in enumerate(order)}  # the range that ends where p begins
