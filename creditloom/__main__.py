@@ -32,12 +32,7 @@ def ingest(spark: SparkSession, args: argparse.Namespace) -> None:
     tenant = {"institution": args.institution, "source_system": args.source_system}
 
     def raw(name: str) -> DataFrame:
-        # columns are matched by name, so the header has to be read; types are still given
-        path = f"{args.raw_dir}/{name}.csv"
-        header = spark.read.option("header", True).csv(path).columns
-        types = dict(field.split() for field in RAW[name].split(","))
-        schema = ", ".join(f"`{column}` {types.get(column, 'string')}" for column in header)
-        return files.scan_csv(spark, path, schema)
+        return files.scan_csv(spark, f"{args.raw_dir}/{name}.csv", RAW[name])
 
     today = args.as_of or date.today()
     application, bureau = raw("application_train"), raw("bureau")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONEY = "decimal(24,4)"
-TOTAL = "decimal(34,4)"
+MONEY = "decimal(38,8)"  # amounts below 1e30, to 1e-8
+TOTAL = MONEY
 
 
 def double_of(text: Column) -> Column:
@@ -18,6 +18,7 @@ def money_total(amount: Column) -> Column:
 
     Adding doubles gives other last bits for another row order, so a retried task or another
     partitioning would change scores. Decimal sums are the same in any order, and sums of parts add up.
+    Eight digits are kept of each amount; a total of 1e30 and more is an error, never a wrong number.
     """
     return F.sum(amount.cast(MONEY)).cast(TOTAL)
 

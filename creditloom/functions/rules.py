@@ -37,6 +37,11 @@ def fired(rules: Iterable[tuple[str, str]], default: str | None = None) -> Colum
     return F.expr(f"filter({cases(rules)}, entry -> entry IS NOT NULL)")
 
 
+def first_entries(entries: Column, limit: int | None) -> Column:
+    """The first ``limit`` entries of an array, or all."""
+    return entries if limit is None else F.slice(entries, 1, limit)
+
+
 def ranked(df, array: str, rank: str = "rank"):
     """One row per array entry, its fields as columns and its place counted from 1."""
     keep = [c for c in df.columns if c != array]

@@ -107,7 +107,7 @@ def known_customers(profiles: DataFrame, scores: DataFrame | None = None) -> Dat
 
 def event_transactions(normalized: DataFrame, known: DataFrame) -> DataFrame:
     """Normalized events of known customers, with the customer's tenant."""
-    return normalized.join(known, "customer_id").select(
+    return normalized.where(rejection(F.lit(True)).isNull()).join(known, "customer_id").select(
         "transaction_id",
         "customer_id",
         "institution_id",
@@ -124,5 +124,16 @@ def event_transactions(normalized: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
+def rejection(known: Column) -> Column:
+    """Why an event is not accepted, NULL if it is. ``known``: whether its customer is."""
+    return (
+        F.when(~F.coalesce(F.col("transaction_type").isin(list(KINDS)), F.lit(False)), "unknown type")
+        .when(F.col("amount").isNull() | F.isnan("amount"), "no amount")
+        .when(~known, "unknown customer")
+    )
+
+
 def rejected_events(normalized: DataFrame, known: DataFrame) -> DataFrame:
-    return normalized.join(known, "customer_id", "left_anti").select("transaction_id", "customer_id", "event_time")
+    flagged = normalized.join(known.select("customer_id", F.lit(True).alias("_known")), "customer_id", "left")
+    reason = rejection(F.coalesce("_known", F.lit(False)))
+    return flagged.select("transaction_id", "customer_id", "event_time", reason.alias("reason")).where("reason is not null")

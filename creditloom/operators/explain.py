@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.functions.numbers import or_zero, rounded
-from creditloom.functions.rules import fired, ranked, struct, text, texts
+from creditloom.functions.rules import fired, first_entries, ranked, struct, text, texts
 from creditloom.operators.serving import PROFILE_COLUMNS
 from creditloom.schemas import FEATURE_COLUMNS
 
-MAX_FACTORS = 6
-MAX_RECOMMENDATIONS = 6
+FACTORS = 6  # defaults; None keeps all
+RECOMMENDATIONS = 6
 RATIOS = ("dti", "late", "used")
 
 # Factor, side, condition, weight, value, benchmark. The last column is our wording.
@@ -63,6 +63,7 @@ BASE_RULES = [
 BASE_DEFAULT = ("Maintain strong profile", "low", "Nothing stands out as a risk.",
                 "Keep paying in time and use 10 to 30% of the limit.")
 
+# Conditions, titles and priorities; the last two columns are our wording.
 PLAN_RULES = [
     ("points >= 2 AND change <= -25", "Stop score decline first", "high",
      "The score has fallen clearly over the last points.",
@@ -100,7 +101,7 @@ def rule_inputs(features: DataFrame, *extra: str) -> DataFrame:
     return inputs.select("*", *[rounded(F.col(c), 2).alias(f"{c}_shown") for c in RATIOS])
 
 
-def factors_array() -> Column:
+def factors_array(limit: int | None = FACTORS) -> Column:
     """The strongest factors: negatives before positives, then by weight, then by rule order."""
     rules = []
     for number, (factor, side, condition, weight, value, benchmark, detail) in enumerate(FACTOR_RULES):
@@ -116,7 +117,7 @@ def factors_array() -> Column:
             "detail": text(detail),
         }
         rules.append((condition, struct(fields)))
-    return F.slice(F.array_sort(fired(rules)), 1, MAX_FACTORS)
+    return first_entries(F.array_sort(fired(rules)), limit)
 
 
 def without_order(factors: str) -> Column:
@@ -139,7 +140,7 @@ def base_recommendations_array() -> Column:
     return fired(_base_rules())
 
 
-def first_of_each_title(recommendations: Column, limit: int) -> Column:
+def first_of_each_title(recommendations: Column, limit: int | None) -> Column:
     """Drops later entries with the same title, whatever its case, and keeps the first ``limit``."""
 
     def title(entry: Column) -> Column:
@@ -149,19 +150,19 @@ def first_of_each_title(recommendations: Column, limit: int) -> Column:
         earlier = F.slice(recommendations, F.lit(1), place)
         return (title(entry) != "") & ~F.exists(earlier, lambda other: title(other) == title(entry))
 
-    return F.slice(F.filter(recommendations, is_first), 1, limit)
+    return first_entries(F.filter(recommendations, is_first), limit)
 
 
-def with_plan(inputs: DataFrame, name: str = "recommendations") -> DataFrame:
+def with_plan(inputs: DataFrame, name: str = "recommendations", limit: int | None = RECOMMENDATIONS) -> DataFrame:
     """Adds the personal rules' recommendations followed by the basic ones, each title once."""
     rules = [(condition, _advice(*advice)) for condition, *advice in PLAN_RULES]
     merged = inputs.withColumn("_merged", fired([*rules, *_base_rules()]))
-    return merged.withColumn(name, first_of_each_title(F.col("_merged"), MAX_RECOMMENDATIONS)).drop("_merged")
+    return merged.withColumn(name, first_of_each_title(F.col("_merged"), limit)).drop("_merged")
 
 
-def score_factors(features: DataFrame) -> DataFrame:
-    """Up to six ranked factors per customer."""
-    found = rule_inputs(features).select("customer_id", factors_array().alias("factors"))
+def score_factors(features: DataFrame, limit: int | None = FACTORS) -> DataFrame:
+    """Ranked factors per customer, the first ``limit`` or all."""
+    found = rule_inputs(features).select("customer_id", factors_array(limit).alias("factors"))
     return ranked(found, "factors").drop("side", "weight", "rule")
 
 
@@ -196,9 +197,11 @@ def _plan_inputs(features: DataFrame, points: DataFrame, summary: DataFrame, *ex
     return counted.fillna(0, ["points", "change", "negative_events"])
 
 
-def personalized_plan(features: DataFrame, points: DataFrame, summary: DataFrame) -> DataFrame:
-    """Up to six recommendations per customer, the personal ones first, each title once."""
-    planned = with_plan(_plan_inputs(features, points, summary))
+def personalized_plan(
+    features: DataFrame, points: DataFrame, summary: DataFrame, limit: int | None = RECOMMENDATIONS
+) -> DataFrame:
+    """Recommendations per customer, the personal ones first, each title once; the first ``limit`` or all."""
+    planned = with_plan(_plan_inputs(features, points, summary), limit=limit)
     return ranked(planned.select("customer_id", "recommendations"), "recommendations")
 
 

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from creditloom.functions.bands import first_match, insight_band
 from creditloom.functions.numbers import fixed_text, or_zero
-from creditloom.functions.rules import fired, struct, text, texts
+from creditloom.functions.rules import fired, first_entries, struct, text, texts
 from creditloom.operators.explain import score_trend_ends
 
-MAX_POINTS = 3
+POINTS = 3  # default; None keeps all
 
 
 def feature_snapshot(features: DataFrame, scores: DataFrame) -> DataFrame:
@@ -51,8 +51,8 @@ RISKS = [
     ("max_days_past_due > 30", "overdue", "Overdue by up to {max_days_past_due} days."),
 ]
 NO_RISK = "No single risk stands out."
-HEADLINE = "Your credit score is {band} ({credit_score})."
-SUMMARY = "Late payments {late_text}, DTI {dti_text}, utilization {used_text}, account age {years_text} years."
+HEADLINE = "{credit_score} points: {band}."
+SUMMARY = "At a glance: {late_text} of payments late, {dti_text} of income owed, {used_text} of credit in use, {years_text} years on file."
 
 
 def _spelled(snapshot: DataFrame) -> DataFrame:
@@ -92,13 +92,13 @@ def _noted(code: str, template: str) -> str:
     return struct({"code": text(code), "text": _sentence(template)})
 
 
-def _points(rules: list[tuple[str, str, str]], default: str) -> Column:
+def _points(rules: list[tuple[str, str, str]], default: str, limit: int | None) -> Column:
     noted = fired([(condition, _noted(code, wording)) for condition, code, wording in rules], _noted("none", default))
-    return F.slice(noted, 1, MAX_POINTS)
+    return first_entries(noted, limit)
 
 
-def score_explanation(snapshot: DataFrame) -> DataFrame:
-    """Band, summary, up to three strengths and risks, and one recommendation per customer."""
+def score_explanation(snapshot: DataFrame, limit: int | None = POINTS) -> DataFrame:
+    """Band, summary, the first ``limit`` strengths and risks or all, and one recommendation per customer."""
     advice = [
         (F.col("debt_to_income_ratio") > 0.5, "reduce_debt"),
         (F.col("late_payment_ratio") > 0.08, "pay_in_time"),
@@ -115,8 +115,8 @@ def score_explanation(snapshot: DataFrame) -> DataFrame:
         "band",
         F.expr(_sentence(HEADLINE)).alias("headline"),
         F.expr(_sentence(SUMMARY)).alias("summary"),
-        _points(STRENGTHS, NO_STRENGTH).alias("strengths"),
-        _points(RISKS, NO_RISK).alias("risk_factors"),
+        _points(STRENGTHS, NO_STRENGTH, limit).alias("strengths"),
+        _points(RISKS, NO_RISK, limit).alias("risk_factors"),
         first_match(advice, "keep_going").alias("recommendation_code"),
         first_match([(cond, wording[key]) for cond, key in advice], wording["keep_going"]).alias("recommendation"),
         F.lit("Derived from fixed rules.").alias("confidence_note"),
@@ -148,12 +148,13 @@ def _action(code: str, impact: str, timeline: str, action: str, outcome: str) ->
 
 def improvement_advisor(snapshot: DataFrame, points: DataFrame) -> DataFrame:
     """Prioritized actions per customer and where the score is heading."""
-    with_trend = snapshot.join(score_trend_ends(points), "customer_id", "left")
+    with_trend = _spelled(snapshot).join(score_trend_ends(points), "customer_id", "left")
     rules = [(condition, _action(*action)) for condition, *action in ADVICE_RULES]
     has_trend = F.col("points") >= 2
     momentum = [(has_trend & (F.col("change") >= 20), "up"), (has_trend & (F.col("change") <= -20), "down")]
     return with_trend.select(
         "customer_id",
+        F.expr(_sentence(SUMMARY)).alias("overview"),
         fired(rules, _action(*ADVICE_DEFAULT)).alias("prioritized_actions"),
         first_match(momentum, "steady").alias("momentum"),
         first_match([(cond, MOMENTUM_TEXT[key]) for cond, key in momentum], MOMENTUM_TEXT["steady"]).alias(

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditloom.functions.numbers import exact_sum, or_zero
 from creditloom.operators.keyed import first_per_key, last_per_key, top_n_per_key
 from creditloom.schemas import FEATURE_COLUMNS
-
-MAX_RECENT = 500  # fixed value: no portal read looks further back
+from creditloom.session import shared_dir
 
 PROFILE_COLUMNS = [
     "customer_id", "institution_id", "source_system", "gender", "age", "income", "employment_type",
@@ -121,18 +121,14 @@ def serving_ready(profiles: DataFrame, scores: DataFrame, features: DataFrame) -
     return ids.join(features, "customer_id", "left_semi")
 
 
-def top_active_customer(
-    profiles: DataFrame, scores: DataFrame, transactions: DataFrame, pool: int = 200
-) -> DataFrame:
-    """The best-scored customer of the top ``pool`` with any transaction, else the best-scored one."""
-    best = search_customers(profiles, scores, limit=pool).select("customer_id", "credit_score")
-    # at most pool rows, so this broadcast cannot grow
-    active = transactions.join(F.broadcast(best.select("customer_id")), "customer_id", "left_semi")
-    active = active.select("customer_id", F.lit(True).alias("has_transactions")).distinct()
-    flagged = best.join(F.broadcast(active), "customer_id", "left")
+def top_active_customer(profiles: DataFrame, scores: DataFrame, transactions: DataFrame) -> DataFrame:
+    """The best-scored customer with any transaction, else the best-scored one."""
+    found = profiles.select("customer_id").join(scores.select("customer_id", "credit_score"), "customer_id")
+    active = transactions.select("customer_id", F.lit(True).alias("has_transactions")).distinct()
     return (
-        flagged.withColumn("has_transactions", F.coalesce("has_transactions", F.lit(False)))
-        .orderBy(F.desc("has_transactions"), F.desc("credit_score"), "customer_id")
+        found.join(active, "customer_id", "left")
+        .withColumn("has_transactions", F.coalesce("has_transactions", F.lit(False)))
+        .orderBy(F.desc("has_transactions"), F.desc_nulls_last("credit_score"), "customer_id")
         .limit(1)
     )
 
@@ -189,25 +185,35 @@ def score_history_points(points: DataFrame, scores: DataFrame, as_of: date) -> D
 
 
 def recent_transactions(
-    transactions: DataFrame, limit: int = MAX_RECENT, transaction_type: str | None = None, salts: int = 32
+    transactions: DataFrame, limit: int | None = None, transaction_type: str | None = None, salts: int = 32
 ) -> DataFrame:
-    """The newest ``limit`` transactions per customer, ranked from the newest.
+    """The newest ``limit`` transactions per customer, or all of them, ranked from the newest.
 
-    A customer with a large share of all rows is first cut to ``limit`` in each of ``salts`` groups.
+    With a limit, a customer with a large share of all rows is first cut to it in each of ``salts`` groups. Without one
+    the ranks are running counts over range partitions, so that no customer has to fit into one task.
     """
-    if not 1 <= limit <= MAX_RECENT:
-        raise ValueError(f"limit lies between 1 and {MAX_RECENT}")
+    if limit is not None and limit < 1:
+        raise ValueError("limit is at least 1")
     if transaction_type:
         transactions = transactions.where(F.col("transaction_type") == transaction_type.upper())
+    rows = transactions.select(*TRANSACTION_COLUMNS)
+    if limit is None:
+        return ranked_rows(rows, [F.col("transaction_date").desc_nulls_last(), F.col("transaction_id").desc_nulls_last()])
     newest_first = [F.desc_nulls_last("transaction_date"), F.desc_nulls_last("transaction_id")]
-    return top_n_per_key(
-        transactions.select(*TRANSACTION_COLUMNS),
-        ["customer_id"],
-        newest_first,
-        limit,
-        spread_by="transaction_id",
-        salts=salts,
-    )
+    return top_n_per_key(rows, ["customer_id"], newest_first, limit, spread_by="transaction_id", salts=salts)
+
+
+def ranked_rows(rows: DataFrame, order: Sequence[Column], rank: str = "rank") -> DataFrame:
+    """Every row with its number from 1 within its customer, whatever the customer's size."""
+    shared_dir(rows.sparkSession)  # sets the checkpoint folder
+    # the partition number becomes data, so the partitioned rows are kept
+    parted = rows.repartitionByRange("customer_id", *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    sizes = parted.groupBy("customer_id", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("customer_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("customer_id", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    local = F.row_number().over(Window.partitionBy("customer_id", "_part").orderBy(*order))
+    numbered = parted.withColumn("_local", local).join(starts, ["customer_id", "_part"])
+    return numbered.select(*rows.columns, (F.col("_before") + F.col("_local")).cast("int").alias(rank))
 
 
 NEGATIVE_STATUS = ["LATE", "PAST_DUE"]
@@ -218,11 +224,11 @@ def _status():
     return F.upper(F.coalesce("status", F.lit("")))
 
 
-def transaction_summary(recent: DataFrame) -> DataFrame:
-    """Count, last day, amount paid and late events over the recent transactions of each customer."""
+def transaction_summary(transactions: DataFrame) -> DataFrame:
+    """Count, last day, amount paid and late events over all given transactions of each customer."""
     paid = F.when(F.col("transaction_type") == "LOAN_PAYMENT", F.coalesce("amount", F.lit(0.0))).otherwise(0.0)
     late = F.when(_status().isin(NEGATIVE_STATUS), 1).otherwise(0)
-    return recent.groupBy("customer_id").agg(
+    return transactions.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("total_transactions"),
         F.max("transaction_date").alias("latest_transaction_date"),
         F.round(exact_sum(paid), 2).alias("total_payment_amount"),
@@ -230,12 +236,12 @@ def transaction_summary(recent: DataFrame) -> DataFrame:
     )
 
 
-def score_contributors(recent: DataFrame, limit: int = 20) -> DataFrame:
+def score_contributors(transactions: DataFrame, limit: int = 20) -> DataFrame:
     """The events that speak most for or against a customer: negative first, most overdue first."""
     status, overdue = _status(), or_zero(F.col("days_past_due"))
     negative, positive = status.isin(NEGATIVE_STATUS), status.isin(POSITIVE_STATUS)
     shown = F.when(status == "", "UNKNOWN").otherwise(status)
-    judged = recent.select(
+    judged = transactions.select(
         "customer_id",
         "transaction_id",
         "transaction_date",
@@ -243,17 +249,16 @@ def score_contributors(recent: DataFrame, limit: int = 20) -> DataFrame:
         status.alias("status"),
         F.when(negative, "negative").when(positive, "positive").otherwise("neutral").alias("contribution"),
         F.when(negative, -overdue).otherwise(0).alias("estimated_score_impact"),
-        F.when(negative, F.concat(F.lit("Status "), shown, F.lit("; "), overdue.cast("string"), F.lit(" days past due.")))
-        .when(positive, F.concat(F.lit("Status "), shown, F.lit("; no past-due days reported.")))
-        .otherwise(F.concat(F.lit("Status "), shown, F.lit(".")))
+        F.when(negative, F.concat(F.lit("Counts against: "), shown, F.lit(", overdue by "), overdue.cast("string"), F.lit(" d.")))
+        .when(positive, F.concat(F.lit("Counts in favour: "), shown, F.lit(", nothing overdue.")))
+        .otherwise(F.concat(F.lit("Counts neither way: "), shown, F.lit(".")))
         .alias("reason"),
-        F.col("rank").alias("recency"),
     )
     kind = F.when(F.col("contribution") == "negative", 0).when(F.col("contribution") == "positive", 1).otherwise(2)
     order = [
         kind,
         F.desc(F.abs("estimated_score_impact")),
         F.desc_nulls_last("transaction_date"),
-        F.asc("recency"),
+        F.desc_nulls_last("transaction_id"),
     ]
-    return top_n_per_key(judged, ["customer_id"], order, limit).drop("recency")
+    return top_n_per_key(judged, ["customer_id"], order, limit)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from creditloom.functions.bands import consumer_band, consumer_tone, first_match
 from creditloom.functions.numbers import fixed_text, or_zero
-from creditloom.operators.serving import NEGATIVE_STATUS
+from creditloom.operators.serving import NEGATIVE_STATUS, ranked_rows
 
 
 # --- scores --------------------------------------------------------------------------------------
@@ -81,28 +81,29 @@ def factor_cards(features: DataFrame) -> DataFrame:
         return F.concat(fixed_text(F.col(f"{name}_percent"), 1, ties="up"), F.lit("%"))
 
     counts = F.concat(or_zero(F.col("late_payments")).cast("string"), F.lit("/"), or_zero(F.col("total_payments")).cast("string"))
+    # fixed values: labels, thresholds and verdicts; the metric is our wording
     cards = F.array(
         card(
             1, "Payment History", late,
-            F.concat(F.lit("Late "), counts, F.lit(" ("), percent("late"), F.lit(")")),
+            F.concat(counts, F.lit(" late, "), percent("late")),
             first_match([(late <= 0.03, "Excellent"), (late <= 0.08, "Good")], "Needs Work"),
             first_match([(late <= 0.03, "good"), (late <= 0.08, "warning")], "danger"),
         ),
         card(
             2, "Credit Utilization", used,
-            F.concat(percent("used"), F.lit(" of limit")),
+            F.concat(percent("used"), F.lit(" taken")),
             first_match([(used <= 0.1, "Very Low"), (used <= 0.3, "Healthy"), (used <= 0.5, "Moderate")], "High"),
             first_match([(used <= 0.3, "good"), (used <= 0.5, "warning")], "danger"),
         ),
         card(
             3, "Account Age", years,
-            F.concat(F.format_number(days, 0), F.lit(" days")),
+            F.concat(F.lit("open for "), F.format_number(days, 0), F.lit(" d")),
             F.concat(years.cast("string"), F.lit(" years")),
             first_match([(years >= 7, "good"), (years >= 3, "warning")], "danger"),
         ),
         card(
             4, "Debt Ratio", dti,
-            F.concat(F.lit("DTI "), percent("dti")),
+            F.concat(percent("dti"), F.lit(" of income")),
             first_match([(dti <= 0.3, "Low"), (dti <= 0.45, "Moderate")], "High"),
             first_match([(dti <= 0.3, "good"), (dti <= 0.45, "warning")], "danger"),
         ),
@@ -207,11 +208,7 @@ def transactions_page(
         "reference": F.coalesce("reference_id", F.lit("")),
     }
     key = keys[sort_by].desc() if descending else keys[sort_by].asc()
-    customer = Window.partitionBy("customer_id")
-    rows = (
-        labelled_events(recent)
-        .withColumn("place", F.row_number().over(customer.orderBy(key, "rank")))
-        .withColumn("pages", F.ceil(F.count(F.lit(1)).over(customer) / page_size).cast("int"))
-    )
+    totals = recent.groupBy("customer_id").agg(F.ceil(F.count(F.lit(1)) / page_size).cast("int").alias("pages"))
+    rows = ranked_rows(labelled_events(recent), [key, F.col("rank").asc()], "place").join(totals, "customer_id")
     shown = F.least(F.lit(page), F.col("pages"))
     return rows.withColumn("page", shown).where(F.ceil(F.col("place") / page_size) == F.col("page"))

@@ -23,7 +23,7 @@ from creditloom.session import fresh_path
 from creditloom.sources import standin
 from creditloom.sources.files import write_layer
 from creditloom.streaming.live import LiveRefresh
-from creditloom.streaming.source import deduplicated, event_stream
+from creditloom.streaming.source import event_stream
 
 # A fixed logistic model for queries that SQL checks; trained models replace it in real runs.
 MODEL_INTERCEPT = -0.5
@@ -40,9 +40,9 @@ MODEL_WEIGHTS = {
 CONFIG = scoring.PUBLISHED
 TREES = 20  # for queries; training itself defaults to 500
 
-_published: dict[tuple[str, str, str], str] = {}
-_trained: dict[tuple[str, str], TrainedModel] = {}
-_live: dict[tuple[str, str], LiveRefresh] = {}
+_published: dict[tuple[str, str, str, str], str] = {}
+_trained: dict[tuple[str, str, str], TrainedModel] = {}
+_live: dict[tuple[str, str, str], LiveRefresh] = {}
 
 
 def model_probability() -> Column:
@@ -131,7 +131,7 @@ class Lake:
 
     def trained(self) -> TrainedModel:
         """A model fitted on this lake's features, once per session; fewer trees than the default."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, str(self.as_of))
         if key not in _trained:
             _trained[key] = fit_scoring(self.table("features"), trees=TREES)
         return _trained[key]
@@ -156,7 +156,7 @@ class Lake:
 
     def live(self) -> LiveRefresh:
         """The live tables after all events of this lake went through the stream, once per session."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, str(self.as_of))
         if key not in _live:
             refresh = LiveRefresh(self.spark, fresh_path(self.spark, "live"), model_probability(), CONFIG)
             refresh.prepare(
@@ -167,7 +167,7 @@ class Lake:
                 scores=self.table("scores"),
                 history=self.table("score_history"),
             )
-            stream = deduplicated(event_stream(self.spark, self.sf_dir))
+            stream = event_stream(self.spark, self.sf_dir)
             refresh.start(stream, fresh_path(self.spark, "live-checkpoint")).awaitTermination()
             _live[key] = refresh
         return _live[key]
@@ -176,7 +176,7 @@ class Lake:
 
     def table(self, name: str) -> DataFrame:
         """A table of this lake, written on first use and read back as parquet."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, str(self.as_of), name)
         if key not in _published:
             build: Callable[[], DataFrame] = getattr(self, name)
             root = fresh_path(self.spark, "lake")

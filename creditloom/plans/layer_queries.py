@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.functions.numbers import safe_ratio
+from creditloom.functions.numbers import exact_sum, safe_ratio
 from creditloom.operators import bronze, features, silver
 from creditloom.operators.keyed import duplicate_keys, first_per_key
 from creditloom.plans.lake import Lake
@@ -36,6 +36,38 @@ def scan_csv(lake: Lake) -> DataFrame:
     return files.scan_csv(lake.spark, path, RAW["application_train"])
 
 
+@query(
+    """SELECT count(*) AS row_count, CAST(sum(SK_ID_PREV) AS BIGINT) AS ids,
+       CAST(sum(NUM_INSTALMENT_NUMBER) AS BIGINT) AS numbers, CAST(sum(DAYS_INSTALMENT) AS BIGINT) AS days,
+       CAST(sum(DAYS_ENTRY_PAYMENT) AS BIGINT) AS entry_days, round(sum(AMT_PAYMENT), 2) AS paid FROM raw_installments"""
+)
+def scan_csv_mixed(lake: Lake) -> DataFrame:
+    """Whole numbers written as 1, 1.0, " 1 " and quoted, by turns."""
+    source = lake.raw("installments_payments")
+    turn = F.pmod(F.xxhash64("SK_ID_PREV", "NUM_INSTALMENT_NUMBER"), F.lit(3))
+    whole = ["SK_ID_PREV", "SK_ID_CURR", "NUM_INSTALMENT_VERSION", "NUM_INSTALMENT_NUMBER", "DAYS_INSTALMENT"]
+
+    def spelled(name: str):
+        text = F.col(name).cast("string")
+        odd = F.when(turn == 0, F.concat(text, F.lit(".0"))).when(turn == 1, F.concat(F.lit(" "), text, F.lit(" ")))
+        return odd.otherwise(text)
+
+    path = fresh_path(lake.spark, "installments.csv")
+    mixed = source.select(*[spelled(c).alias(c) if c in whole else F.col(c).cast("string").alias(c) for c in source.columns])
+    mixed.write.option("header", True).option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False
+    ).csv(path)
+    rows = files.scan_csv(lake.spark, path, RAW["installments_payments"])
+    return rows.agg(
+        F.count("SK_ID_CURR").alias("row_count"),
+        F.sum("SK_ID_PREV").alias("ids"),
+        F.sum("NUM_INSTALMENT_NUMBER").alias("numbers"),
+        F.sum("DAYS_INSTALMENT").alias("days"),
+        F.sum("DAYS_ENTRY_PAYMENT").cast("long").alias("entry_days"),
+        F.round(exact_sum(F.col("AMT_PAYMENT")), 2).alias("paid"),
+    )
+
+
 @query("SELECT * FROM silver_loans")
 def scan_layer(lake: Lake) -> DataFrame:
     root = fresh_path(lake.spark, "scan_layer")
@@ -171,6 +203,26 @@ def bronze_account_balances(lake: Lake) -> DataFrame:
 # --- silver --------------------------------------------------------------------------------------
 
 
+@query(
+    """SELECT 'PREV_' || SK_ID_PREV AS loan_id, NAME_CONTRACT_STATUS AS name_contract_status,
+       DAYS_LAST_DUE AS days_last_due, coalesce(AMT_CREDIT, AMT_APPLICATION) AS amount FROM raw_previous"""
+)
+def json_fields_layouts(lake: Lake) -> DataFrame:
+    """The same payload compact, spaced and with its numbers quoted."""
+    loans = lake.bronze_loans().where("record_source = 'previous_application'")
+    turn = F.pmod(F.xxhash64("loan_id"), F.lit(3))
+    spaced = F.regexp_replace("raw_json", r'":', '" : ')
+    quoted = F.regexp_replace("raw_json", r'":(-?[0-9.E+-]+)', r'": "$1"')
+    laid_out = loans.withColumn("raw_json", F.when(turn == 0, spaced).when(turn == 1, quoted).otherwise(F.col("raw_json")))
+    parsed = silver.json_fields(laid_out, ("NAME_CONTRACT_STATUS",), ("DAYS_LAST_DUE",), ("AMT_CREDIT", "AMT_APPLICATION"))
+    return parsed.select(
+        "loan_id",
+        F.col("NAME_CONTRACT_STATUS").alias("name_contract_status"),
+        F.col("DAYS_LAST_DUE").alias("days_last_due"),
+        F.coalesce("AMT_CREDIT", "AMT_APPLICATION").alias("amount"),
+    )
+
+
 @query(
     """SELECT 'PREV_' || SK_ID_PREV AS loan_id, NAME_CONTRACT_STATUS AS name_contract_status,
        DAYS_LAST_DUE AS days_last_due, coalesce(AMT_CREDIT, AMT_APPLICATION) AS amount FROM raw_previous"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditloom.operators import events, history, state
@@ -71,9 +71,21 @@ def event_to_transaction(lake: Lake) -> DataFrame:
     return lake.event_transactions().drop("event_time")
 
 
-@query("SELECT transaction_id, customer_id FROM known_events WHERE customer_id NOT IN (SELECT customer_id FROM profile)")
+@query(
+    """SELECT transaction_id, customer_id, CASE WHEN event_id % 13 = 0 THEN 'unknown type'
+           WHEN event_id % 11 = 0 THEN 'no amount' ELSE 'unknown customer' END AS reason
+       FROM known_events WHERE event_id % 13 = 0 OR event_id % 11 = 0
+          OR customer_id NOT IN (SELECT customer_id FROM profile)"""
+)
 def rejected_events(lake: Lake) -> DataFrame:
-    return events.rejected_events(lake.normalized_events(), lake.known()).drop("event_time")
+    number = F.split("transaction_id", "::")[1].cast("long")
+    odd = lake.normalized_events().withColumns(
+        {
+            "transaction_type": F.when(number % 13 == 0, "REFUND").otherwise(F.col("transaction_type")),
+            "amount": F.when(number % 11 != 0, F.col("amount")),
+        }
+    )
+    return events.rejected_events(odd, lake.known()).drop("event_time")
 
 
 @query(
@@ -154,6 +166,22 @@ def stream_dedup(lake: Lake) -> DataFrame:
     return lake.spark.read.parquet(path).select("transaction_id", "customer_id")
 
 
+@query("SELECT transaction_id, customer_id, amount, event_time FROM raw_events")
+def stream_late(lake: Lake) -> DataFrame:
+    """Events in four files by time, newest first, a fifth with every third event again; one file per trigger."""
+    folder, source = fresh_path(lake.spark, "late"), lake.spark.read.parquet(f"{lake.sf_dir}/events.parquet")
+    quarter = F.ntile(4).over(Window.orderBy(F.desc("ts"), "event_id"))  # stand-in files of a small test table
+    split = source.withColumn("_part", quarter)
+    for part in (1, 2, 3, 4, 5):
+        rows = split.where(F.col("_part") == part) if part < 5 else split.where("event_id % 3 = 0")
+        rows.drop("_part").coalesce(1).write.mode("append").parquet(folder)
+    path, checkpoint = fresh_path(lake.spark, "late-out"), fresh_path(lake.spark, "late-checkpoint")
+    stream = deduplicated(event_stream(lake.spark, folder, "*.parquet", max_files=1).drop("raw_attributes"))
+    writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return lake.spark.read.parquet(path).select("transaction_id", "customer_id", "amount", "event_time")
+
+
 @query(f"SELECT institution_id, source_system, {_EVENT_SQL} FROM accepted_events")
 def stream_append(lake: Lake) -> DataFrame:
     return lake.live().read("transactions").drop("batch_id", "event_time")

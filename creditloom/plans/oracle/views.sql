@@ -43,7 +43,6 @@ SELECT l_orderkey AS SK_ID_PREV, o_custkey AS SK_ID_CURR,
        CAST(trunc(CAST(CAST(l_shipdate AS DATE) - DATE '2024-02-01' AS INTEGER) + l_quantity - 45) AS INTEGER)
            AS DAYS_ENTRY_PAYMENT
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-WHERE l_orderkey % 3 <> 0
 
 -- view raw_card
 SELECT user_id * 10 + event_id % 2 AS SK_ID_PREV, user_id AS SK_ID_CURR,
@@ -189,7 +188,7 @@ SELECT customer_id, count(DISTINCT loan_id) AS total_loans,
                      THEN 1 ELSE 0 END) AS BIGINT) AS closed_loans,
        max(days_past_due) AS loan_max_days_past_due, avg(days_past_due) AS loan_avg_days_past_due,
        CAST(sum(CAST(CASE WHEN regexp_matches(upper(coalesce(loan_status, '')), 'ACTIVE|APPROVED')
-                          THEN loan_amount ELSE 0 END AS DECIMAL(24, 4))) AS DOUBLE) AS active_loan_debt,
+                          THEN loan_amount ELSE 0 END AS DECIMAL(38, 8))) AS DOUBLE) AS active_loan_debt,
        max(default_flag) AS default_flag
 FROM silver_loans GROUP BY customer_id
 
@@ -201,12 +200,12 @@ FROM silver_transactions WHERE transaction_type = 'LOAN_PAYMENT' GROUP BY custom
 -- view balance_agg
 SELECT customer_id, count(DISTINCT reference_id) AS total_accounts,
        CAST(DATE '2024-02-01' - min(transaction_date) AS INTEGER) AS account_age_days,
-       CAST(sum(CAST(amount AS DECIMAL(24, 4))) AS DOUBLE) / count(amount) AS avg_balance,
+       CAST(sum(CAST(amount AS DECIMAL(38, 8))) AS DOUBLE) / count(amount) AS avg_balance,
        max(amount) AS max_balance, min(amount) AS min_balance,
-       CAST(sum(CAST(expected_amount AS DECIMAL(24, 4))) AS DOUBLE) / count(expected_amount) AS avg_credit_limit,
+       CAST(sum(CAST(expected_amount AS DECIMAL(38, 8))) AS DOUBLE) / count(expected_amount) AS avg_credit_limit,
        stddev_samp(amount) AS account_stability,
        max(days_past_due) AS account_max_days_past_due, avg(days_past_due) AS account_avg_days_past_due,
-       CAST(sum(CAST(CASE WHEN amount > 0 THEN amount ELSE 0 END AS DECIMAL(24, 4))) AS DOUBLE)
+       CAST(sum(CAST(CASE WHEN amount > 0 THEN amount ELSE 0 END AS DECIMAL(38, 8))) AS DOUBLE)
            AS account_positive_balance
 FROM silver_transactions WHERE transaction_type = 'BALANCE_SNAPSHOT' GROUP BY customer_id
 
@@ -313,12 +312,12 @@ SELECT transaction_id, customer_id, transaction_type, transaction_date, amount,
        status, reference_id, days_past_due,
        CAST(row_number() OVER (PARTITION BY customer_id
            ORDER BY transaction_date DESC NULLS LAST, transaction_id DESC) AS INTEGER) AS rank
-FROM silver_transactions QUALIFY rank <= 500
+FROM silver_transactions
 
 -- view recent_summary
 SELECT customer_id, count(*) AS total_transactions, max(transaction_date) AS latest_transaction_date,
        round(CAST(sum(CAST(CASE WHEN transaction_type = 'LOAN_PAYMENT' THEN coalesce(amount, 0) ELSE 0 END
-           AS DECIMAL(24, 4))) AS DOUBLE), 2) AS total_payment_amount,
+           AS DECIMAL(38, 8))) AS DOUBLE), 2) AS total_payment_amount,
        count(*) FILTER (WHERE upper(status) IN ('LATE', 'PAST_DUE')) AS late_or_past_due_events
 FROM recent GROUP BY customer_id
 
@@ -447,7 +446,7 @@ SELECT customer_id, count(DISTINCT loan_id) AS total_loans,
        count(*) FILTER (WHERE regexp_matches(upper(coalesce(loan_status, '')), 'CLOSED|COMPLETED')) AS closed_loans,
        max(coalesce(days_past_due, 0)) AS overdue_max, avg(coalesce(days_past_due, 0)) AS overdue_avg,
        CAST(sum(CAST(CASE WHEN regexp_matches(upper(coalesce(loan_status, '')), 'ACTIVE|APPROVED')
-                          THEN coalesce(loan_amount, 0) ELSE 0 END AS DECIMAL(24, 4))) AS DOUBLE) AS debt
+                          THEN coalesce(loan_amount, 0) ELSE 0 END AS DECIMAL(38, 8))) AS DOUBLE) AS debt
 FROM silver_loans GROUP BY customer_id
 
 -- view online_tenants
@@ -465,17 +464,17 @@ SELECT customer_id, count(DISTINCT transaction_id) FILTER (WHERE transaction_typ
        count(DISTINCT reference_id) FILTER (WHERE transaction_type = 'BALANCE_SNAPSHOT') AS total_accounts,
        min(transaction_date) FILTER (WHERE transaction_type = 'BALANCE_SNAPSHOT') AS first_snapshot,
        count(*) FILTER (WHERE transaction_type = 'BALANCE_SNAPSHOT') AS balances,
-       CAST(sum(CAST(amount AS DECIMAL(24, 4))) FILTER (WHERE transaction_type = 'BALANCE_SNAPSHOT') AS DOUBLE)
+       CAST(sum(CAST(amount AS DECIMAL(38, 8))) FILTER (WHERE transaction_type = 'BALANCE_SNAPSHOT') AS DOUBLE)
            AS balance_total,
        max(amount) FILTER (WHERE transaction_type = 'BALANCE_SNAPSHOT') AS max_balance,
        min(amount) FILTER (WHERE transaction_type = 'BALANCE_SNAPSHOT') AS min_balance,
        stddev_samp(amount) FILTER (WHERE transaction_type = 'BALANCE_SNAPSHOT') AS spread,
        count(credit_limit) FILTER (WHERE transaction_type = 'BALANCE_SNAPSHOT') AS limits,
-       CAST(sum(CAST(credit_limit AS DECIMAL(24, 4))) FILTER (WHERE transaction_type = 'BALANCE_SNAPSHOT') AS DOUBLE)
+       CAST(sum(CAST(credit_limit AS DECIMAL(38, 8))) FILTER (WHERE transaction_type = 'BALANCE_SNAPSHOT') AS DOUBLE)
            AS limit_total,
        max(days_past_due) FILTER (WHERE transaction_type = 'BALANCE_SNAPSHOT') AS overdue_max,
        avg(days_past_due) FILTER (WHERE transaction_type = 'BALANCE_SNAPSHOT') AS overdue_avg,
-       CAST(sum(CAST(greatest(amount, 0) AS DECIMAL(24, 4)))
+       CAST(sum(CAST(greatest(amount, 0) AS DECIMAL(38, 8)))
            FILTER (WHERE transaction_type = 'BALANCE_SNAPSHOT') AS DOUBLE) AS positive_total
 FROM online_rows GROUP BY customer_id
 
@@ -553,15 +552,15 @@ SELECT customer_id, phase, event_time, transaction_id,
        sum(new_account) OVER w AS total_accounts,
        min(CASE WHEN bal THEN transaction_date END) OVER w AS first_snapshot,
        sum(CASE WHEN bal THEN 1 ELSE 0 END) OVER w AS balances,
-       CAST(sum(CASE WHEN bal THEN CAST(amount AS DECIMAL(24, 4)) ELSE 0 END) OVER w AS DOUBLE) AS balance_total,
+       CAST(sum(CASE WHEN bal THEN CAST(amount AS DECIMAL(38, 8)) ELSE 0 END) OVER w AS DOUBLE) AS balance_total,
        max(CASE WHEN bal THEN amount END) OVER w AS max_balance,
        min(CASE WHEN bal THEN amount END) OVER w AS min_balance,
        stddev_samp(CASE WHEN bal THEN amount END) OVER w AS spread,
        count(CASE WHEN bal THEN credit_limit END) OVER w AS limits,
-       CAST(sum(CASE WHEN bal THEN CAST(credit_limit AS DECIMAL(24, 4)) END) OVER w AS DOUBLE) AS limit_total,
+       CAST(sum(CASE WHEN bal THEN CAST(credit_limit AS DECIMAL(38, 8)) END) OVER w AS DOUBLE) AS limit_total,
        max(CASE WHEN bal THEN days_past_due END) OVER w AS overdue_max,
        avg(CASE WHEN bal THEN days_past_due END) OVER w AS overdue_avg,
-       CAST(sum(CASE WHEN bal THEN CAST(greatest(amount, 0) AS DECIMAL(24, 4)) ELSE 0 END) OVER w AS DOUBLE)
+       CAST(sum(CASE WHEN bal THEN CAST(greatest(amount, 0) AS DECIMAL(38, 8)) ELSE 0 END) OVER w AS DOUBLE)
            AS positive_total
 FROM trail_flags
 WINDOW w AS (PARTITION BY customer_id ORDER BY phase, event_time, transaction_id

@@ -37,7 +37,7 @@ def _recent(lake: Lake) -> DataFrame:
 
 
 def _summary(lake: Lake) -> DataFrame:
-    return serving.transaction_summary(_recent(lake))
+    return serving.transaction_summary(lake.table("transactions"))
 
 
 # --- customers -----------------------------------------------------------------------------------
@@ -114,8 +114,8 @@ def transaction_summary(lake: Lake) -> DataFrame:
     """SELECT customer_id, transaction_id, transaction_date, transaction_type, upper(status) AS status,
        CASE WHEN status IN ('LATE', 'PAST_DUE') THEN 'negative' ELSE 'positive' END AS contribution,
        CASE WHEN status IN ('LATE', 'PAST_DUE') THEN -days_past_due ELSE 0 END AS estimated_score_impact,
-       CASE WHEN status IN ('LATE', 'PAST_DUE') THEN 'Status ' || status || '; ' || days_past_due || ' days past due.'
-            ELSE 'Status ' || status || '; no past-due days reported.' END AS reason,
+       CASE WHEN status IN ('LATE', 'PAST_DUE') THEN 'Counts against: ' || status || ', overdue by ' || days_past_due || ' d.'
+            ELSE 'Counts in favour: ' || status || ', nothing overdue.' END AS reason,
        CAST(row_number() OVER (PARTITION BY customer_id
            ORDER BY status NOT IN ('LATE', 'PAST_DUE'),
                     CASE WHEN status IN ('LATE', 'PAST_DUE') THEN abs(days_past_due) ELSE 0 END DESC,
@@ -126,7 +126,7 @@ def transaction_summary(lake: Lake) -> DataFrame:
                     transaction_date DESC NULLS LAST, recent.rank) <= 20"""
 )
 def score_contributors(lake: Lake) -> DataFrame:
-    return serving.score_contributors(_recent(lake))
+    return serving.score_contributors(lake.table("transactions"))
 
 
 @query("SELECT customer_id, rank, factor, impact, value, benchmark FROM factors")
@@ -185,8 +185,7 @@ def serving_ready(lake: Lake) -> DataFrame:
     """SELECT customer_id, credit_score, customer_id IN (SELECT customer_id FROM silver_transactions)
            AS has_transactions
        FROM (SELECT s.customer_id, s.credit_score FROM current_scores s
-             JOIN profile p ON p.customer_id = s.customer_id
-             ORDER BY credit_score DESC, customer_id LIMIT 200)
+             JOIN profile p ON p.customer_id = s.customer_id)
        ORDER BY has_transactions DESC, credit_score DESC, customer_id LIMIT 1"""
 )
 def top_active_customer(lake: Lake) -> DataFrame:

@@ -39,10 +39,10 @@ def feature_snapshot(lake: Lake) -> DataFrame:
     """SELECT customer_id,
        CASE WHEN credit_score >= 760 THEN 'EXCELLENT' WHEN credit_score >= 700 THEN 'GOOD'
             WHEN credit_score >= 640 THEN 'FAIR' ELSE 'REBUILDING' END AS band,
-       'Late payments ' || late_payments || '/' || total_payments || ' (' || printf('%.1f', late_payment_ratio * 100)
-           || '%), DTI ' || printf('%.1f', debt_to_income_ratio * 100) || '%, utilization '
-           || printf('%.1f', credit_utilization * 100) || '%, account age '
-           || printf('%.1f', account_age_days / 365::DOUBLE) || ' years.' AS summary,
+       'At a glance: ' || late_payments || '/' || total_payments || ' (' || printf('%.1f', late_payment_ratio * 100)
+           || '%) of payments late, ' || printf('%.1f', debt_to_income_ratio * 100) || '% of income owed, '
+           || printf('%.1f', credit_utilization * 100) || '% of credit in use, '
+           || printf('%.1f', account_age_days / 365::DOUBLE) || ' years on file.' AS summary,
        array_to_string(list_filter([
            CASE WHEN late_payment_ratio <= 0.03 THEN 'payments' END,
            CASE WHEN debt_to_income_ratio <= 0.35 THEN 'debt' END,

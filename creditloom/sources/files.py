@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditloom.functions.scoring import ScoringConfig
@@ -18,14 +18,28 @@ def scan_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _typed(name: str, kind: str) -> Column:
+    """A text column as ``kind``; whole numbers may be written ``1``, ``1.0``, ``" 1 "`` or ``1e0``."""
+    text = F.trim(F.col(f"`{name}`"))
+    if kind in ("int", "long"):
+        whole = text.try_cast("double")
+        return F.coalesce(text.try_cast(kind), F.when(whole == F.rint(whole), whole).try_cast(kind)).alias(name)
+    return (F.col(f"`{name}`") if kind == "string" else text.try_cast(kind)).alias(name)
+
+
 def scan_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """CSV with a header; rows that do not fit the schema are dropped.
+    """CSV with a header; only rows with a wrong number of fields are dropped.
 
-    With ``schema`` nothing is read twice. Without it types are inferred, which is an extra pass.
+    With ``schema`` its columns are found by name, read as text and converted value by value: a value that is no
+    number is NULL, and a column that the file doesn't have is NULL. Without it types are inferred, which is an extra pass.
     """
     reader = spark.read.option("header", True).option("mode", "DROPMALFORMED")
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    return reader.csv(path)
+    if schema is None:
+        return reader.option("inferSchema", True).csv(path)
+    rows = reader.csv(path)
+    kinds = dict(field.split() for field in schema.split(","))
+    missing = {name: F.lit(None).cast("string") for name in kinds if name not in rows.columns}
+    return rows.withColumns(missing).select(*[_typed(name, kind) for name, kind in kinds.items()])
 
 
 def scan_layer(spark: SparkSession, root: str, layer: str, table: str) -> DataFrame:
@@ -61,14 +75,14 @@ def write_layer(
     """Replace a table.
 
     By default nothing is shuffled for the write: adaptive execution has already sized the partitions
-    that the last shuffle left. ``max_files`` caps the file count, ``rebalance`` pays one shuffle for
-    files of even size.
+    that the last shuffle left. ``max_files`` pays one shuffle for that many files, so that the work before it keeps
+    all its tasks; ``rebalance`` pays one for files of even size.
     """
     path = f"{root}/{layer}/{table}"
     if rebalance:
         df = df.hint("rebalance")
     if max_files is not None:
-        df = df.coalesce(max_files)
+        df = df.repartition(max_files)
     df.write.mode("overwrite").parquet(path)
     return path
 

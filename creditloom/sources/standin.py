@@ -16,16 +16,6 @@ from creditloom.sources.files import scan_table
 AS_OF = date(2024, 2, 1)
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where the files alone would leave some idle.
-
-    The test tables have one row group each, so one task would read and parse everything. Inputs with at
-    least as many splits as cores are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _offset(column: str) -> Column:
     return F.datediff(F.col(column).cast("date"), F.lit(AS_OF))
 
@@ -61,7 +51,7 @@ def previous_application(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = _offset("o_orderdate")
     status = F.col("o_orderstatus")
     return (
-        _spread(scan_table(spark, sf_dir, "orders").where(key % 3 != 0))
+        scan_table(spark, sf_dir, "orders").where(key % 3 != 0)
         .select(
             key.alias("SK_ID_PREV"),
             F.col("o_custkey").alias("SK_ID_CURR"),
@@ -83,7 +73,7 @@ def bureau(spark: SparkSession, sf_dir: str) -> DataFrame:
     opened = _offset("o_orderdate")
     status = F.col("o_orderstatus")
     return (
-        _spread(scan_table(spark, sf_dir, "orders").where(key % 3 == 0))
+        scan_table(spark, sf_dir, "orders").where(key % 3 == 0)
         .select(
             key.alias("SK_ID_BUREAU"),
             F.col("o_custkey").alias("SK_ID_CURR"),
@@ -109,7 +99,7 @@ def installments_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     # price times (1 - discount), rounded half up to cents in whole numbers
     paid_cents = F.floor((_cents("l_extendedprice") * (100 - _cents("l_discount")) + 50) / 100)
     return (
-        _spread(lines.where(F.col("l_orderkey") % 3 != 0))
+        lines
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .select(
             F.col("l_orderkey").alias("SK_ID_PREV"),
@@ -126,7 +116,7 @@ def installments_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _monthly(spark: SparkSession, sf_dir: str, third: int) -> DataFrame:
     events = scan_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
-    return _spread(events.where(F.col("event_id") % 3 == third))
+    return events.where(F.col("event_id") % 3 == third)
 
 
 def _months() -> Column:

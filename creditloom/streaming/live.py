@@ -20,10 +20,10 @@ from creditloom.operators.events import (
     event_transactions,
     known_customers,
     normalize_events,
-    rejected_events,
+    rejection,
 )
 from creditloom.operators.history import history_additions
-from creditloom.operators.keyed import last_per_key
+from creditloom.operators.keyed import first_per_key, last_per_key
 from creditloom.operators.scores import score_customers
 from creditloom.operators.serving import SCORE_COLUMNS
 from creditloom.schemas import FEATURE_COLUMNS
@@ -44,11 +44,11 @@ class LiveRefresh:
 
     # --- tables ----------------------------------------------------------------------------------
 
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64("customer_id"), F.lit(self.buckets)).cast("int")
+    def _bucket(self, by: str = "customer_id") -> Column:
+        return F.pmod(F.xxhash64(by), F.lit(self.buckets)).cast("int")
 
-    def _write(self, df: DataFrame, table: str, batch_id: int) -> None:
-        bucketed = df.withColumn("bucket", self._bucket())
+    def _write(self, df: DataFrame, table: str, batch_id: int, by: str = "customer_id") -> None:
+        bucketed = df.withColumn("bucket", self._bucket(by))
         # one hot bucket may be split over several files, small buckets share tasks
         sized = bucketed.hint("rebalance", "bucket")
         sized.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{table}/batch_id={batch_id}")
@@ -68,6 +68,10 @@ class LiveRefresh:
     def _batch(self, table: str, batch_id: int) -> DataFrame:
         return self.read(table).where(F.col("batch_id") == batch_id).drop("batch_id")
 
+    def _stored(self, table: str, batch_id: int) -> DataFrame:
+        """Rows of earlier batches, with ``bucket``."""
+        return self.spark.read.parquet(f"{self.root}/{table}").where(F.col("batch_id") < batch_id)
+
     def _earlier(self, table: str, batch_id: int, touched: DataFrame, buckets: list[int]) -> DataFrame:
         df = self.spark.read.parquet(f"{self.root}/{table}")
         earlier = df.where((F.col("batch_id") < batch_id) & F.col("bucket").isin(buckets))
@@ -86,6 +90,8 @@ class LiveRefresh:
     ) -> LiveRefresh:
         """Write what the stream starts from: the measures of the stored history, scores and history."""
         self._write(known_customers(profiles, scores), "customers", BASE)
+        stored_ids = transactions.select("customer_id", "transaction_id").where("transaction_id is not null")
+        self._write(stored_ids, "ids", BASE, by="transaction_id")
         self._write(states.base_state(profiles, loans, transactions), "state", BASE)
         self._write(states.known_accounts(transactions), "accounts", BASE)
         self._write(features.select(*FEATURE_ROW), "features", BASE)
@@ -96,17 +102,32 @@ class LiveRefresh:
         return self
 
     def apply(self, events: DataFrame, batch_id: int) -> None:
-        """One micro-batch: store the events, then refresh features, scores and history."""
+        """One micro-batch: store the events, then refresh features, scores and history.
+
+        The micro-batch itself is read once. An event counts if its id is neither stored by an earlier batch nor repeated
+        in this one; late events are like any other. Without a known type, an amount and a known customer it is rejected.
+        """
         known = self._batch("customers", BASE)
         normalized = normalize_events(events, F.to_date("event_time"))
         raw = normalized.withColumn("raw_json", event_raw_json()).drop("raw_attributes")
-        self._write(raw.join(known, "customer_id"), "bronze_events", batch_id)
+        order = [F.col(c).asc_nulls_first() for c in raw.columns if c != "transaction_id"]
+        once = first_per_key(raw, ["transaction_id"], order)
+        flagged = once.join(known, "customer_id", "left")
+        reason = rejection(F.col("institution_id").isNotNull())
+        self._write(flagged.withColumn("reason", reason), "arrived", batch_id, by="transaction_id")
         # what follows reads the stored events, not the stream
+        arrived = self._batch("arrived", batch_id)
+        touched = [row[0] for row in arrived.select(self._bucket("transaction_id")).distinct().collect()]  # bounded by buckets
+        ids = self._stored("ids", batch_id).where(F.col("bucket").isin(touched)).select("transaction_id")
+        accepted = arrived.where("reason is null").join(ids, "transaction_id", "left_anti").drop("reason")
+        self._write(accepted, "bronze_events", batch_id)
         stored = self._batch("bronze_events", batch_id)
+        self._write(stored.select("customer_id", "transaction_id"), "ids", batch_id, by="transaction_id")
         self._write(
             event_transactions(stored.drop("institution_id", "source_system"), known), "transactions", batch_id
         )
-        self._write(rejected_events(normalized, known), "rejected_events", batch_id)
+        refused = arrived.where("reason is not null").select("transaction_id", "customer_id", "event_time", "reason")
+        self._write(refused, "rejected_events", batch_id)
         added = self._batch("transactions", batch_id)
         if added.isEmpty():
             return

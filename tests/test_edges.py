@@ -68,6 +68,9 @@ def test_money_sums_do_not_depend_on_order(spark):
         df = frame(spark, "x double", *[(a,) for a in amounts]).repartition(seed + 1)
         sums.add(df.agg(numbers.exact_sum(F.col("x"))).first()[0])
     assert sums == {123556.799}
+    small = spark.range(1000).select(F.lit(0.00004).alias("x"))
+    assert abs(small.agg(numbers.exact_sum(F.col("x"))).first()[0] - 0.04) < 1e-12
+    assert frame(spark, "x double", (1e21,), (1.0,)).agg(numbers.exact_sum(F.col("x"))).first()[0] == 1e21 + 1
 
 
 @settings(max_examples=15, deadline=None)
@@ -396,8 +399,9 @@ def test_same_day_transactions_come_by_id_descending(spark, rows):
     )
     got = rows(serving.recent_transactions(df), "rank")
     assert [r["transaction_id"] for r in got] == ["c", "b", "a", "z"]
+    assert [r["transaction_id"] for r in rows(serving.recent_transactions(df, 2), "rank")] == ["c", "b"]
     with pytest.raises(ValueError):
-        serving.recent_transactions(df, 501)
+        serving.recent_transactions(df, 0)
 
 
 def test_lookback(spark):
@@ -454,7 +458,7 @@ def test_contributors_order_and_neutral(spark, rows):
     )
     got = rows(serving.score_contributors(serving.recent_transactions(df)), "rank")
     assert [r["transaction_id"] for r in got] == ["l2", "l3", "l1", "p", "n"]
-    assert got[0]["estimated_score_impact"] == -9 and got[4]["reason"] == "Status UNKNOWN."
+    assert got[0]["estimated_score_impact"] == -9 and got[4]["reason"] == "Counts neither way: UNKNOWN."
 
 
 def feature_rows(spark, **values):

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from creditloom.operators import features, serving
+from creditloom.operators import features, serving, views
 from creditloom.operators.running import running
 from creditloom.schemas import TRANSACTIONS
 from tests.conftest import SMALL
@@ -98,9 +98,11 @@ def test_recent_transactions_of_a_hot_customer(spark):
     ]
     recent = serving.recent_transactions(spark.createDataFrame(rows, TRANSACTIONS).repartition(9))
     hot = [r["transaction_id"] for r in recent.where("customer_id = 0").orderBy("rank").collect()]
-    assert hot == [f"t{i:05d}" for i in range(5997, -1, -3)][:500]
+    assert hot == [f"t{i:05d}" for i in range(5997, -1, -3)]
     summary = serving.transaction_summary(recent).where("customer_id = 0").first()
-    assert (summary["total_transactions"], summary["late_or_past_due_events"]) == (500, 500)
+    assert (summary["total_transactions"], summary["late_or_past_due_events"]) == (2000, 2000)
+    pages = views.transactions_page(recent, page=100, page_size=20).where("customer_id = 0")
+    assert [r["transaction_id"] for r in pages.orderBy("place").collect()] == hot[1980:]
 
 
 def test_checkpoint_folder_comes_from_the_session(spark):
