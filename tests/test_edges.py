@@ -200,8 +200,9 @@ def test_balance_rules(spark, rows):
 
 def test_malformed_csv_rows_are_dropped(spark, tmp_path):
     path = tmp_path / "a.csv"
-    path.write_text("SK,AMT\n1,2.5\nx,3\n2,\n")
-    assert sorted(map(tuple, files.scan_csv(spark, str(path), "SK long, AMT double").collect())) == [(1, 2.5), (2, None)]
+    path.write_text("SK,AMT\n1,2.5\nx,3\n2,\n3.0,\" 4 \"\n4,5,6\n1.5,1e1\n")
+    got = [tuple(r) for r in files.scan_csv(spark, str(path), "SK long, AMT double, LATER int").collect()]
+    assert got == [(1, 2.5, None), (None, 3.0, None), (2, None, None), (3, 4.0, None), (None, 10.0, None)]
     assert files.scan_csv(spark, str(path)).columns == ["SK", "AMT"]
 
 
