@@ -147,7 +147,7 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
         rows.withColumn("closes", closes)
         .select("doc_id", "text", F.explode(F.when(F.col("closes").isNull(), F.array(own)).otherwise(F.array(own, extra))).alias("at"))
         .select("doc_id", "text", "at.part", "at.closing")
-        .repartition(parts, "part")
+        .repartitionByRange(parts, "part")
         .sortWithinPartitions("part", "closing", F.col("doc_id").desc_nulls_last(), "text")
     )
 
