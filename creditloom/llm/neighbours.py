@@ -237,8 +237,8 @@ def nearest(
     first = written(top(searched(indexed, looked, k), k), "nearest")
 
     full = first.groupBy("query_id").count().where(F.col("count") >= k)
-    short = asked.join(full, F.col("vec_id") == F.col("query_id"), "left_anti").withColumn("table", F.lit(0))
-    every = short.join(blocks.where("table = 0"), "table").select("table", "bucket", "vec_id", "embedding", numbers)
+    short = asked.join(full, F.col("vec_id") == F.col("query_id"), "left").withColumn("table", F.expr("if(query_id is null, 0, null)"))
+    every = short.join(blocks, "table").select("table", "bucket", "vec_id", "embedding", numbers)
     second = top(searched(indexed.where("table = 0"), every, k), k)
     rest = second.join(full.select("query_id"), "query_id", "left_anti")
     return first.join(full.select("query_id"), "query_id", "left_semi").unionByName(rest)
