@@ -152,7 +152,7 @@ class Lake:
         return states.known_accounts(self.table("transactions"))
 
     def trail(self) -> DataFrame:
-        return states.trail_measures(self.event_transactions(), self.table("state"), self.accounts())
+        return states.trail_measures(self.event_transactions(), self.table("state"), self.table("accounts"))
 
     def live(self) -> LiveRefresh:
         """The live tables after all events of this lake went through the stream, once per session."""

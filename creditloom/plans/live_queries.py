@@ -97,7 +97,7 @@ def rejected_events(lake: Lake) -> DataFrame:
 )
 def what_if_scores(lake: Lake) -> DataFrame:
     scenarios = lake.normalized_events().withColumnRenamed("transaction_id", "scenario_id")
-    features = state.what_if_features(scenarios, lake.table("state"), lake.accounts(), lake.as_of)
+    features = state.what_if_features(scenarios, lake.table("state"), lake.table("accounts"), lake.as_of)
     asked = ["scenario_id", "transaction_type", "status", "expected_amount", "transaction_date"]
     projected = score_customers(features, model_probability(), CONFIG, F.col("created_at"), asked)
     previous = lake.table("scores").select("customer_id", F.col("credit_score").alias("previous_credit_score"))
@@ -114,7 +114,7 @@ def what_if_scores(lake: Lake) -> DataFrame:
 
 @query("SELECT * EXCLUDE (event_time) FROM trail_features")
 def feature_trail(lake: Lake) -> DataFrame:
-    return _rounded(state.trail_features(lake.table("trail")).drop("event_time"))
+    return _rounded(state.trail_features(lake.trail()).drop("event_time"))
 
 
 @query(
@@ -136,7 +136,7 @@ _NEW_HISTORY = """SELECT customer_id, credit_score, risk_level, round(default_pr
 
 @query(_NEW_HISTORY)
 def append_score_history(lake: Lake) -> DataFrame:
-    features = state.trail_features(lake.table("trail"))
+    features = state.trail_features(lake.trail())
     simulated = score_customers(
         features, model_probability(), CONFIG, F.col("event_time"), ["transaction_id"]
     )

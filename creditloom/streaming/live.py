@@ -2,7 +2,9 @@
 
 All tables are folders of ``batch_id=N``; a batch only reads what earlier batches wrote and overwrites
 its own folders, so a replayed batch gives the same tables. The row of the newest batch is the current
-one. Tables by customer are split into hash buckets, and a batch reads only the buckets it touches.
+one. Every ``compact_every`` batches the current rows are written as a snapshot, and a batch reads the newest
+snapshot before it and what was written since, so its work doesn't grow with the number of batches. Tables are split into
+hash buckets, and a batch reads only the buckets it touches; choose their number by the size of the tables.
 """
 
 from __future__ import annotations
@@ -40,6 +42,7 @@ class LiveRefresh:
     raw_probability: Column
     config: ScoringConfig
     buckets: int = 16
+    compact_every: int = 20
     marked: set[str] = field(default_factory=set, compare=False)
 
     # --- tables ----------------------------------------------------------------------------------
@@ -72,10 +75,20 @@ class LiveRefresh:
         """Rows of earlier batches, with ``bucket``."""
         return self.spark.read.parquet(f"{self.root}/{table}").where(F.col("batch_id") < batch_id)
 
-    def _earlier(self, table: str, batch_id: int, touched: DataFrame, buckets: list[int]) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.root}/{table}")
-        earlier = df.where((F.col("batch_id") < batch_id) & F.col("bucket").isin(buckets))
-        return earlier.drop("bucket").join(touched, "customer_id", "left_semi")
+    def _since_snapshot(self, table: str, batch_id: int) -> DataFrame:
+        """Rows that hold every customer's newest one before ``batch_id``, with ``bucket``."""
+        snapshot = batch_id // self.compact_every * self.compact_every - 1
+        since = self._stored(table, batch_id)
+        if snapshot == BASE:
+            return since
+        base = self.spark.read.parquet(f"{self.root}/{table}_snapshot").where(F.col("batch_id") == snapshot)
+        return base.unionByName(since.where(F.col("batch_id") > snapshot))
+
+    def _compact(self, table: str, batch_id: int) -> None:
+        newest = last_per_key(self._since_snapshot(table, batch_id).unionByName(
+            self.spark.read.parquet(f"{self.root}/{table}").where(F.col("batch_id") == batch_id)
+        ), ["customer_id"], ["batch_id"])
+        self._write(newest.drop("batch_id", "bucket"), f"{table}_snapshot", batch_id)
 
     # --- life cycle ------------------------------------------------------------------------------
 
@@ -96,6 +109,7 @@ class LiveRefresh:
         self._write(states.known_accounts(transactions), "accounts", BASE)
         self._write(features.select(*FEATURE_ROW), "features", BASE)
         self._write(scores.select(*SCORE_COLUMNS), "scores", BASE)
+        self._write(history.select("customer_id").distinct(), "with_history", BASE)
         past = history.withColumn("transaction_id", F.lit(None).cast("string"))
         self._write(past.select("customer_id", "credit_score", "default_probability", "risk_level",
                                 "score_generated_at", "source", "transaction_id"), "history", BASE)
@@ -129,17 +143,25 @@ class LiveRefresh:
         refused = arrived.where("reason is not null").select("transaction_id", "customer_id", "event_time", "reason")
         self._write(refused, "rejected_events", batch_id)
         added = self._batch("transactions", batch_id)
-        if added.isEmpty():
-            return
-
-        touched = added.select("customer_id").distinct()
+        if not added.isEmpty():
+            self._refresh(added, batch_id)
+        if (batch_id + 1) % self.compact_every == 0:
+            for table in ("state", "scores"):
+                self._compact(table, batch_id)
+
+    def _refresh(self, added: DataFrame, batch_id: int) -> None:
+        customers = added.select("customer_id").distinct()
         buckets = [row[0] for row in added.select(self._bucket()).distinct().collect()]  # bounded by buckets
 
+        def touched(rows: DataFrame) -> DataFrame:
+            return rows.where(F.col("bucket").isin(buckets)).drop("bucket").join(customers, "customer_id", "left_semi")
+
         def earlier(table: str) -> DataFrame:
-            return self._earlier(table, batch_id, touched, buckets)
+            return touched(self._stored(table, batch_id))
 
         def newest(table: str) -> DataFrame:
-            return last_per_key(earlier(table), ["customer_id"], ["batch_id"]).drop("batch_id")
+            rows = touched(self._since_snapshot(table, batch_id))
+            return last_per_key(rows, ["customer_id"], ["batch_id"]).drop("batch_id")
 
         accounts = earlier("accounts").drop("batch_id")
         self._write(states.trail_measures(added, newest("state"), accounts), "trail", batch_id)
@@ -156,18 +178,39 @@ class LiveRefresh:
         last = states.last_of_trail(simulated)
         self._write(last.select(*SCORE_COLUMNS), "scores", batch_id)
         self._write(score_changes(before, last), "score_changes", batch_id)
-        past = earlier("history").select("customer_id").distinct()
+        past = earlier("with_history").select("customer_id")
         self._write(history_additions(past, before, simulated), "history", batch_id)
+        self._write(customers.join(past, "customer_id", "left_anti"), "with_history", batch_id)
 
     def _scored(self, features: DataFrame) -> DataFrame:
         extra = ["transaction_id", "event_time"]
         return score_customers(features, self.raw_probability, self.config, F.col("event_time"), extra)
 
     def start(self, events: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
-        """Run the refresh on a stream; by default until all available events are done."""
+        """Run the refresh on a stream; by default until all available events are done.
+
+        The checkpoint has to be the one that wrote the batches under this root: another one would number its
+        batches from 0 again and replace stored ones.
+        """
+        stored, committed = self._newest("arrived", "batch_id="), _newest_name(self.spark, f"{checkpoint}/commits", "")
+        if stored > committed + 1:
+            raise ValueError(f"{self.root} holds batch {stored}, but {checkpoint} ends with batch {committed}")
         writer = events.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint)
         return writer.trigger(**(trigger or {"availableNow": True})).start()
 
+    def _newest(self, table: str, prefix: str) -> int:
+        return _newest_name(self.spark, f"{self.root}/{table}", prefix)
+
+
+def _newest_name(spark: SparkSession, folder: str, prefix: str) -> int:
+    """The largest number among the names ``prefix<number>`` in a folder, -1 without any."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return BASE
+    names = [entry.getPath().getName().removeprefix(prefix) for entry in files.listStatus(path)]
+    return max((int(name) for name in names if name.isdigit()), default=BASE)
+
 
 def score_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """Previous and new score of the customers in ``after``."""

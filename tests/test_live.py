@@ -25,8 +25,8 @@ def as_set(df):
     return {tuple(r) for r in df.collect()}
 
 
-def prepared(lake, root):
-    refresh = LiveRefresh(lake.spark, root, model_probability(), CONFIG, buckets=4)
+def prepared(lake, root, **options):
+    refresh = LiveRefresh(lake.spark, root, model_probability(), CONFIG, buckets=4, **options)
     return refresh.prepare(
         profiles=lake.table("profile"),
         loans=lake.table("loans"),
@@ -126,6 +126,33 @@ def test_replayed_batch_changes_nothing(live, lake):
     assert {name: as_set(live.read(name)) for name in tables} == before
 
 
+def test_snapshots_change_nothing(live, lake, split_events):
+    refresh = prepared(lake, fresh_path(lake.spark, "test-snapshots"), compact_every=1)
+    stream = event_stream(lake.spark, split_events, "events-*.parquet", max_files=1)
+    refresh.start(stream, fresh_path(lake.spark, "test-snapshots-checkpoint")).awaitTermination()
+    for name in ("features", "scores", "state"):
+        assert as_set(refresh.current(name)) == as_set(live.current(name))
+    with pytest.raises(ValueError):
+        refresh.start(stream, fresh_path(lake.spark, "test-other-checkpoint"))
+
+
+def test_late_and_invalid_events(lake):
+    refresh = prepared(lake, fresh_path(lake.spark, "test-late"))
+    events = lake.events().join(lake.known().select("customer_id"), "customer_id", "left_semi").orderBy("event_time").limit(9)
+    early, late = events, events
+    refresh.apply(late.withColumn("event_time", F.col("event_time") + F.expr("interval 90 days")), 0)
+    again = early.withColumn("transaction_id", F.concat("transaction_id", F.lit("-early")))
+    odd = early.limit(1).withColumn("transaction_id", F.lit("odd"))
+    refund = odd.withColumn("transaction_type", F.lit("REFUND"))
+    nothing = odd.withColumns({"transaction_id": F.lit("none"), "amount": F.lit(None).cast("double")})
+    refresh.apply(early.unionByName(again).unionByName(again).unionByName(refund).unionByName(nothing), 1)
+    assert refresh.read("transactions").count() == 18
+    assert {(r["transaction_id"], r["reason"]) for r in refresh.read("rejected_events").collect()} == {
+        ("odd", "unknown type"),
+        ("none", "no amount"),
+    }
+
+
 def test_empty_batch_is_a_no_op(lake):
     refresh = prepared(lake, fresh_path(lake.spark, "test-empty"))
     before = as_set(refresh.current("features"))

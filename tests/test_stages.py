@@ -51,3 +51,13 @@ def test_backfilled_transactions_equal_the_first_build(spark, folders):
     before = spark.read.parquet(f"{root}/silver/transactions").checkpoint()
     main(["transactions", "--root", root], spark)
     assert spark.read.parquet(f"{root}/silver/transactions").exceptAll(before).count() == 0
+
+
+def test_tables_of_two_days_are_kept_apart(lake):
+    from datetime import date
+
+    from creditloom.plans.lake import Lake
+
+    other = Lake(lake.spark, lake.sf_dir, date(2025, 2, 1))
+    total = lambda one: one.table("features").agg({"account_age_days": "sum"}).first()[0]
+    assert total(other) > total(lake)
