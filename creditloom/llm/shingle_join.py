@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 
 from creditloom.llm.common import slices, written
 from creditloom.llm.components import components
-from creditloom.llm.spans import LAST
+from creditloom.llm.spans import LAST, with_texts
 from creditloom.llm.words import mix, window_hashes, word_hashes
 
 SHINGLE = 5
-DIMENSIONS = 64
+DIMENSIONS = 256
 SMALLEST = 64  # sizes from here on use one group per 1.4 tokens of the size class, smaller ones a group per token
 LEAF, FAN = 32, 16
 BLOCK = 512  # sets of a cell that one search holds
@@ -214,7 +214,7 @@ def shared_cells(blobs: DataFrame, buckets: int) -> DataFrame:
 
 
 def points(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """class, n, point and tokens of the classes in ``wanted`` (class, doc_id, text_hash: a document that has the set)."""
+    """class, n, point and tokens of the classes in ``wanted`` (class, place, text_hash: a document that has the set)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, SLICE):
@@ -231,14 +231,8 @@ def points(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     ["class", "n", "point", "tokens"],
                 )
 
-    texts = docs.select(
-        F.col("doc_id").cast("bigint").alias("_doc"), F.xxhash64("text").alias("_hash"), F.col("text").alias("_text")
-    )
-    found = wanted.join(texts, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")))
-    sets = found.select("class", F.col("_text").alias("text")).mapInArrow(
-        rows, "class bigint, n bigint, point binary, tokens binary"
-    )
-    return sets.dropDuplicates(["class"])
+    found = with_texts(wanted, docs)
+    return found.select("class", "text").mapInArrow(rows, "class bigint, n bigint, point binary, tokens binary")
 
 
 # pairs -----------------------------------------------------------------------------------------------
@@ -342,7 +336,10 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = written(shared_cells(table.where("bucket is not null"), buckets).distinct(), "cells")
     involved = members.select("class").union(members.select("pivot")).distinct()
     wanted = (
-        known.join(involved, "class").groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("d")).select("class", "d.*")
+        known.join(involved, "class")
+        .groupBy("class")
+        .agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("place"), "text_hash")).alias("d"))
+        .select("class", "d.*")
     )
     sets = written(points(docs, wanted), "sets")
 
