@@ -207,7 +207,8 @@ def shared_cells(blobs: DataFrame, buckets: int) -> DataFrame:
                 [pa.array(number[part]), pa.array(pivot[other[part]]), pa.array(owner[other[part]])], ["cell", "pivot", "class"]
             )
         known[bucket] = [] if last else [(cell[first], owner[first])]
-        held[bucket] = 0
+        # wait for as many new cells as are held, so that sorting stays proportional to the input
+        held[bucket] = min(0, (1 << 20) - len(first))
 
     dealt = blobs.select("bucket", "blob").repartition(buckets, "bucket")
     return dealt.mapInArrow(rows, "cell bigint, pivot bigint, class bigint")
