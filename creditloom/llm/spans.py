@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from creditloom.llm.common import written
+
 BITS = 1 << 24  # of the bitmap that keeps most unneeded texts out of a shuffle; its size doesn't depend on the data
 PER_BUCKET = 32768  # bits in a row of Spark's bitmap functions
 LAST = 2**63 - 1  # the place of a null doc_id: behind all others
@@ -51,6 +53,7 @@ def with_texts(keys: DataFrame, docs: DataFrame) -> DataFrame:
 
     A bitmap of fixed size over the wanted text hashes drops most other texts before they are shuffled.
     """
+    keys = written(keys, "wanted")  # read for the bitmap and for the join
     bit = F.pmod("text_hash", F.lit(BITS))
     maps = (
         keys.select(bit.alias("b"))
