@@ -118,7 +118,7 @@ class RTree:
 
 
 def filed(docs: DataFrame, buckets: int) -> DataFrame:
-    """Per document a row (doc_id, text_hash, n, class); per slice and bucket a row with the cells that fall into it.
+    """Per document a row (doc_id, text_hash, n, class, point); per slice and bucket a row with the cells that fall into it.
 
     A cell takes 8 bytes: 48 bits of its hash and the number of the class in the list that precedes the cells.
     """
@@ -129,10 +129,9 @@ def filed(docs: DataFrame, buckets: int) -> DataFrame:
             classes = np.array([class_of(s) for s in sets], dtype=np.int64)
             n = np.array([len(s) for s in sets], dtype=np.int64)
             none = pa.nulls(len(sets))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n), pa.array(classes), none.cast(pa.int32()), none.cast(pa.binary())],
-                FILED,
-            )
+            points = pa.array([point(s).tobytes() for s in sets], pa.binary())
+            known = [batch.column(0), batch.column(1), pa.array(n), pa.array(classes), points]
+            yield pa.RecordBatch.from_arrays([*known, none.cast(pa.int32()), none.cast(pa.binary())], FILED)
             different, first = np.unique(classes, return_index=True)
             keep = different != NO_CLASS
             different, first = different[keep], first[keep]
@@ -156,17 +155,16 @@ def filed(docs: DataFrame, buckets: int) -> DataFrame:
                     names.append(int(b))
                     blobs.append(len(used).to_bytes(8, "little") + table.tobytes() + own.tobytes())
                 none = pa.nulls(len(names), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [none, none, none, none, pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], FILED
-                )
+                blank = [none, none, none, none, pa.nulls(len(names), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*blank, pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], FILED)
 
-    schema = "doc_id bigint, text_hash bigint, n bigint, class bigint, bucket int, blob binary"
+    schema = "doc_id bigint, text_hash bigint, n bigint, class bigint, point binary, bucket int, blob binary"
     return docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").alias("text")
     ).mapInArrow(rows, schema)
 
 
-FILED = ["doc_id", "text_hash", "n", "class", "bucket", "blob"]
+FILED = ["doc_id", "text_hash", "n", "class", "point", "bucket", "blob"]
 
 
 def shared_cells(blobs: DataFrame, buckets: int) -> DataFrame:
@@ -214,26 +212,19 @@ def shared_cells(blobs: DataFrame, buckets: int) -> DataFrame:
     return dealt.mapInArrow(rows, "cell bigint, pivot bigint, class bigint")
 
 
-def points(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """class, n, point and tokens of the classes in ``wanted`` (class, place, text_hash: a document that has the set)."""
+def sets_of(pairs: DataFrame, points: DataFrame, docs: DataFrame) -> DataFrame:
+    """class and tokens of the classes in ``pairs``, from one document of each (place, text_hash in ``points``)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, SLICE):
             sets = shingle_sets(batch.column(1).to_pylist())
             right = [i for i, (c, s) in enumerate(zip(batch.column(0).to_pylist(), sets, strict=True)) if class_of(s) == c]
-            if right:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(right)),
-                        pa.array([len(sets[i]) for i in right], pa.int64()),
-                        pa.array([point(sets[i]).tobytes() for i in right], pa.binary()),
-                        pa.array([sets[i].tobytes() for i in right], pa.binary()),
-                    ],
-                    ["class", "n", "point", "tokens"],
-                )
+            tokens = pa.array([sets[i].tobytes() for i in right], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(right, pa.int64())), tokens], ["class", "tokens"])
 
-    found = with_texts(wanted, docs)
-    return found.select("class", "text").mapInArrow(rows, "class bigint, n bigint, point binary, tokens binary")
+    classes = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+    wanted = points.select("class", "place", "text_hash").join(classes, "class")
+    return with_texts(wanted, docs).select("class", "text").mapInArrow(rows, "class bigint, tokens binary")
 
 
 # pairs -----------------------------------------------------------------------------------------------
@@ -336,23 +327,25 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = table.where("bucket is null").select("doc_id", "text_hash", "n", "class")
     members = written(shared_cells(table.where("bucket is not null"), buckets).distinct(), "cells")
     involved = members.select("class").union(members.select("pivot")).distinct()
-    wanted = (
-        known.join(involved, "class")
-        .groupBy("class")
-        .agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("place"), "text_hash")).alias("d"))
-        .select("class", "d.*")
+    place = F.coalesce("doc_id", F.lit(LAST)).alias("place")
+    points = written(
+        table.where("bucket is null").select("class", place, "text_hash", "n", "point").join(involved, "class").dropDuplicates(["class"]),
+        "points",
     )
-    sets = written(points(docs, wanted), "sets")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        kept = written(pairs, "pairs")
+        return written(verified(kept, written(sets_of(kept, points, docs), "sets")), "verified")
 
     stars = members.select(F.least("pivot", "class").alias("a"), F.greatest("pivot", "class").alias("b")).distinct()
-    links = written(verified(bounded(stars, sets), sets), "verified")
+    links = checked(bounded(stars, points))
     joined = components(links)
 
     all_members = members.select("cell", "class").union(members.select("cell", "pivot")).distinct()
     labelled = all_members.join(joined, F.col("class") == F.col("node"), "left").select(
         "cell", "class", F.coalesce("component", "class").alias("component")
     )
-    more = written(verified(tree_pairs(labelled, sets).distinct(), sets), "verified")
+    more = checked(tree_pairs(labelled, points).distinct())
     return known, components(links.unionByName(more))
 
 
