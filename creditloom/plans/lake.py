@@ -38,7 +38,6 @@ MODEL_WEIGHTS = {
 }
 
 CONFIG = scoring.PUBLISHED
-TREES = 20  # for queries; training itself defaults to 500
 
 _published: dict[tuple[str, str, str, str], str] = {}
 _trained: dict[tuple[str, str, str], TrainedModel] = {}
@@ -130,10 +129,10 @@ class Lake:
     # models and live tables ---------------------------------------------------------------------
 
     def trained(self) -> TrainedModel:
-        """A model fitted on this lake's features, once per session; fewer trees than the default."""
+        """A model fitted on this lake's features with the defaults of training, once per session."""
         key = (self.spark.sparkContext.applicationId, self.sf_dir, str(self.as_of))
         if key not in _trained:
-            _trained[key] = fit_scoring(self.table("features"), trees=TREES)
+            _trained[key] = fit_scoring(self.table("features"))
         return _trained[key]
 
     def known(self) -> DataFrame:
