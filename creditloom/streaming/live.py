@@ -120,15 +120,16 @@ class LiveRefresh:
 
         The micro-batch itself is read once. An event counts if its id is neither stored by an earlier batch nor repeated
         in this one; late events are like any other. Without a known type, an amount and a known customer it is rejected.
+        Of an id that comes both valid and invalid a valid event counts, in whatever batches they come.
         """
         known = self._batch("customers", BASE)
         normalized = normalize_events(events, F.to_date("event_time"))
         raw = normalized.withColumn("raw_json", event_raw_json()).drop("raw_attributes")
-        order = [F.col(c).asc_nulls_first() for c in raw.columns if c != "transaction_id"]
-        once = first_per_key(raw, ["transaction_id"], order)
-        flagged = once.join(known, "customer_id", "left")
         reason = rejection(F.col("institution_id").isNotNull())
-        self._write(flagged.withColumn("reason", reason), "arrived", batch_id, by="transaction_id")
+        flagged = raw.join(known, "customer_id", "left").withColumn("reason", reason)
+        order = [F.col(c).asc_nulls_first() for c in raw.columns if c != "transaction_id"]
+        once = first_per_key(flagged, ["transaction_id"], [F.col("reason").isNotNull(), *order])
+        self._write(once, "arrived", batch_id, by="transaction_id")
         # what follows reads the stored events, not the stream
         arrived = self._batch("arrived", batch_id)
         touched = [row[0] for row in arrived.select(self._bucket("transaction_id")).distinct().collect()]  # bounded by buckets

@@ -153,6 +153,21 @@ def test_late_and_invalid_events(lake):
     }
 
 
+@pytest.mark.parametrize("together", [True, False])
+def test_a_valid_copy_counts_beside_invalid_ones(lake, together):
+    """The same events are accepted whether the copies come in one batch or in two."""
+    refresh = prepared(lake, fresh_path(lake.spark, "test-copies"))
+    valid = lake.events().join(lake.known().select("customer_id"), "customer_id", "left_semi").orderBy("event_time").limit(3)
+    nothing = valid.withColumn("amount", F.lit(None).cast("double"))
+    unknown = valid.withColumn("transaction_type", F.lit("A_REFUND"))
+    stranger = valid.withColumn("customer_id", F.lit(-1).cast("long"))
+    invalid = nothing.unionByName(unknown).unionByName(stranger)
+    for n, batch in enumerate([invalid.unionByName(valid)] if together else [invalid, valid]):
+        refresh.apply(batch, n)
+    key = ["transaction_id", "customer_id", "amount"]
+    assert as_set(refresh.read("transactions").select(*key)) == as_set(valid.select(*key))
+
+
 def test_empty_batch_is_a_no_op(lake):
     refresh = prepared(lake, fresh_path(lake.spark, "test-empty"))
     before = as_set(refresh.current("features"))
