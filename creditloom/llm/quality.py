@@ -141,7 +141,8 @@ def gradients(net: Net, texts: list[bytes], labels: np.ndarray) -> Net:
 
 
 def fit(texts: list[bytes], labels: np.ndarray, share: float, epochs: int = EPOCHS, seed: int = 7) -> Net:
-    """Adam steps on shuffled batches. ``share`` is how often label 1 is expected; it shifts the balanced fit."""
+    """Adam steps on shuffled batches. ``share`` is how often label 1 is expected; the fit, which has learned how often
+    it stands in ``labels``, is shifted by the difference of the two log odds."""
     rng = np.random.default_rng(seed)
     normal = lambda *shape, scale: rng.normal(0, scale, shape).astype(np.float32)
     net = Net(
@@ -164,8 +165,9 @@ def fit(texts: list[bytes], labels: np.ndarray, share: float, epochs: int = EPOC
                 m += 0.1 * (g - m)
                 s += 0.01 * (g * g - s)
                 p -= rate * (m / (1 - 0.9**steps)) / (np.sqrt(s / (1 - 0.99**steps)) + 1e-7)
-    share = min(max(share, 0.01), 0.99)
-    return net._replace(intercept=net.intercept + np.float32(np.log(share / (1 - share))))
+    ones = int((labels == 1).sum())
+    learned = np.log((ones + 1) / (len(labels) - ones + 1))  # smoothed as ``share`` is: no shift if all labels were fitted
+    return net._replace(intercept=net.intercept + np.float32(np.log(share / (1 - share)) - learned))
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -34,6 +34,25 @@ def test_held_out_quality(spark):
     assert np.mean([r["predicted"] for r in rows if r["quality"] == 1]) > 0.98
 
 
+@pytest.mark.parametrize(("rows", "least"), [(250, 0.7), (quality.ROWS_PER_CLASS, 0.87)])
+def test_held_out_recall_of_both_labels(spark, rows, least):
+    """With both labels at the bound, and with 376 rows of label 0 below it (0.851 when the share counted twice)."""
+    docs, labels = documents(spark, MIDDLE), spark.read.parquet(f"{MIDDLE}/labels.parquet")
+    result = quality.classify(docs, quality.train(docs, labels, rows)).join(labels, "doc_id").where("held_out")
+    recall = {r["quality"]: r["right"] for r in result.groupBy("quality").agg(F.avg((F.col("predicted") == F.col("quality")).cast("int")).alias("right")).collect()}
+    assert recall[1] > 0.98 and recall[0] > least
+
+
+@pytest.mark.parametrize(("ones", "zeros", "share"), [(40, 40, 0.9), (60, 20, 0.75), (60, 20, 0.99), (8, 2, 0.9999)])
+def test_the_share_counts_once(ones, zeros, share):
+    texts, labels = [b"x"] * (ones + zeros), np.array([1] * ones + [0] * zeros)
+    learned = quality.fit(texts, labels, (ones + 1) / (ones + zeros + 2)).intercept[0]
+    shift = quality.fit(texts, labels, share).intercept[0] - learned
+    assert abs(shift - (math.log(share / (1 - share)) - math.log((ones + 1) / (zeros + 1)))) < 1e-4
+    seen = quality.fit(texts, labels, share, epochs=0).intercept[0]
+    assert abs(seen - shift) < 1e-4
+
+
 def test_gradients_are_those_of_the_loss():
     net = quality.fit([], np.zeros(0), 0.5, 0)
     net = quality.Net(*[p.astype(np.float64) for p in net])
