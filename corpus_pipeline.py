@@ -28,7 +28,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents that the classifier, fitted on the labelled ones, doesn't reject. Empty texts are scored as well."""
     importable(spark)
     net = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.scored(docs, net).where("score >= 0.5").select(*docs.columns)
+    score = quality.unused("score", docs.columns)
+    return quality.scored(docs, net, score).where(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -209,8 +209,16 @@ def train(
     return fit([bytes(r["_text"]) for r in sample], np.array([r["_label"] for r in sample]), share, epochs)
 
 
-def scored(docs: DataFrame, net: Net) -> DataFrame:
-    """``docs`` with ``score``; a null text is scored as an empty one. Columns named score must not exist."""
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, behind as many underscores as no column has, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def scored(docs: DataFrame, net: Net, name: str = "score") -> DataFrame:
+    """``docs`` with the score as ``name``, which no column may have; a null text is scored as an empty one."""
     names = docs.columns
     at = names.index("text")
     width = len(names)
@@ -218,9 +226,9 @@ def scored(docs: DataFrame, net: Net) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, at, 1 << 20):
             found = score(net, [(t or "").encode("utf-8", "replace") for t in batch.column(at).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(found)], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(found)], [*names, name])
 
-    return docs.mapInArrow(rows, ", ".join([*(f"`{n}` {t}" for n, t in docs.dtypes), "score double"]))
+    return docs.mapInArrow(rows, ", ".join([*(f"`{n}` {t}" for n, t in docs.dtypes), f"`{name}` double"]))
 
 
 def classify(docs: DataFrame, net: Net) -> DataFrame:

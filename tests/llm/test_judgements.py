@@ -219,6 +219,15 @@ def test_stages_keep_the_columns_and_the_documents(spark, docs, empty):
     assert cut.where("doc_id = 27").first()["text"] == ""
 
 
+@pytest.mark.parametrize(("name", "stage"), corpus_pipeline.STAGES[:-1])
+def test_stages_keep_clashing_columns(spark, docs, empty, name, stage):
+    wide = docs.withColumnRenamed("n_words", "_Score")
+    out = stage(spark, wide, SMALL)
+    assert out.dtypes == wide.dtypes
+    assert {(r["score"], r["_Score"], r["length"]) for r in out.collect()} == {("x", "y", "z"), (None, None, None)}
+    assert stage(spark, empty, SMALL).count() == 0
+
+
 def test_the_pipeline_packs_what_is_left(spark):
     rows = corpus_pipeline.run(spark, SMALL)
     assert rows.columns[:4] == ["doc_id", "piece", "start", "length"]
