@@ -3,7 +3,8 @@
 White space ends every piece that the vocabulary's pattern cuts, so a text is the sequence of its chunks
 between blanks, and equal chunks have equal ids. A task keeps the ids of chunks it has met; a chunk of plain
 letters and punctuation is put together from the ids of its two parts, every other one goes through the whole
-tokenizer. Both caches are emptied at a fixed size.
+tokenizer, also one that holds the string of a special token (no such string has a blank or is plain). Both caches are
+emptied at a fixed size.
 """
 
 from __future__ import annotations
@@ -27,14 +28,18 @@ def byte_alphabet() -> list[str]:
 
 
 class ChunkIds(dict):
-    """chunk -> ids as little-endian unsigned 32-bit integers."""
+    """chunk -> ids as little-endian unsigned 32-bit integers.
 
-    def __init__(self, path: str, limit: int = CACHED) -> None:
+    With ``special`` the string of a special token gets that token's id, as the library does by itself; without, it is
+    ordinary text.
+    """
+
+    def __init__(self, path: str, limit: int = CACHED, special: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not special
         self.limit = limit
         self.runs: dict[str, bytes] = {}
         self.bytes = byte_alphabet()
@@ -74,7 +79,7 @@ _loaded: dict[str, ChunkIds] = {}
 
 
 def chunk_ids(path: str) -> ChunkIds:
-    """One per worker process and vocabulary."""
+    """One per worker process and vocabulary; ids as the library's plain call gives them."""
     if path not in _loaded:
-        _loaded[path] = ChunkIds(path)
+        _loaded[path] = ChunkIds(path, special=True)
     return _loaded[path]

@@ -40,6 +40,24 @@ def test_chunks_equal_the_whole_tokenizer(encode, texts):
         assert chunks.text(text) == little(encode(text))
 
 
+def test_operators_give_the_ids_of_the_plain_call(spark):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(WORDS)
+    texts = ["end <|endoftext|> next", "x<|endoftext|>y", "<|startoftext|><|endoftext|>", "<|ENDOFTEXT|> <|endof text|>", "a\n<|endoftext|>\u0338 's"]
+    ids = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids[0] == [806, 49407, 1131]
+    chunks = ChunkIds(WORDS, special=True)
+    assert [chunks.text(t) for t in [*texts, *ODD]] == [little(whole.encode(t, add_special_tokens=False).ids) for t in [*texts, *ODD]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    packed = {r["doc_id"]: r for r in packing.pack_documents(docs, WORDS).collect()}
+    assert [(packed[i]["length"], packed[i][4]) for i in range(len(texts))] == [(len(x) + 1, zlib.crc32(little([*x, 1]))) for x in ids]
+    folder = fresh_path(spark, "test-special")
+    token_files.write(token_files.encode(docs, WORDS), folder)
+    stored = token_files.read(spark, folder).orderBy("doc_id").collect()
+    assert [r["ids"] for r in stored] == [[*x, 2] for x in ids]
+
+
 def test_pieces_and_places(docs, plain, encode):
     capacity = 256
     rows = packing.pack_documents(docs, WORDS, capacity).collect()
