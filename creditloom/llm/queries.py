@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from creditloom.llm import byte_bpe, licenses, neighbours, packing, quality, shingle_join, spotsigs, substrings, suffixes, token_files
+from creditloom.llm import (
+    byte_bpe,
+    centroids,
+    licenses,
+    neighbours,
+    packing,
+    periods,
+    quality,
+    shingle_join,
+    spotsigs,
+    sql,
+    substrings,
+    suffixes,
+    token_files,
+    warc,
+)
 from creditloom.llm.common import documents, importable
 from creditloom.session import fresh_path
 
@@ -66,10 +82,37 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(documents(spark, sf_dir))
 
 
+def op11_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    folder = fresh_path(spark, "warc")
+    warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    return warc.described(warc.read(spark, folder))
+
+
+def made_periodic(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of a tenth of the documents (by the crc32 of doc_id) repeat from some word on."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    n, g = len(words), h // 10
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digests(periods.periodic_runs(documents(spark, sf_dir), made_periodic))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return centroids.described(*centroids.clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
 def queries() -> dict[str, Query]:
     found = [f for name, f in globals().items() if name.startswith("op") and callable(f)]
     return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.statements()
