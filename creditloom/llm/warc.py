@@ -4,8 +4,8 @@ A page becomes an HTTP response with a chunked body. A block longer than ``segme
 ``WARC-Segment-Number: 1`` and ``continuation`` records that name it as their origin; the last one gives the total length.
 Of equal payloads one page is written in full, the others as ``revisit`` records that refer to it.
 
-Files are plain text files to Spark, so any file system that Spark writes to will do, and readers split them between
-records. Payloads are cut inside of every version line they hold ("WARC" | "/1.1"), so that only records begin with one.
+Files are text files to Spark, so any file system that Spark writes to will do. Compressed ones are read by a task each;
+uncompressed ones are split between records. Payloads are cut inside of every version line they hold ("WARC" | "/1.1"), so that only records begin with one.
 Pages are shuffled once, by page and digest; which page is the full one is decided on narrow rows, and common digests are
 spread over tasks. On reading, only segments are shuffled, by origin; a task holds one page at a time.
 """
@@ -152,9 +152,9 @@ def originals(rows: DataFrame, least_bytes: int) -> DataFrame:
 
 def write(
     pages: DataFrame, folder: str, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES,
-    least_bytes: int = LEAST_BYTES, page_id: str = "page_id", url: str = "url", html: str = "html",
+    least_bytes: int = LEAST_BYTES, page_id: str = "page_id", url: str = "url", html: str = "html", compression: str = "gzip",
 ) -> None:
-    """A WARC record (or its segments) per row of ``pages``, in text files below ``folder``.
+    """A WARC record (or its segments) per row of ``pages``, in files below ``folder``, one per task.
 
     A null html is an empty payload. Of equal payloads of at least ``least_bytes`` the page with the largest page_id is
     written in full (of several rows with that page_id the one with the largest url); equal rows are copies that revisit the
@@ -184,7 +184,7 @@ def write(
             yield pa.RecordBatch.from_arrays([pa.array(block, pa.binary())], ["value"])
 
     out = dealt.select(*Page._fields).mapInArrow(lines, "value binary").select(F.col("value").cast("string").alias("value"))
-    out.write.option("lineSep", BREAK.decode()).text(folder)
+    out.write.options(lineSep=BREAK.decode(), compression=compression).text(folder)
 
 
 # reading ------------------------------------------------------------------------------------------------
