@@ -16,11 +16,11 @@ from __future__ import annotations
 import argparse
 from datetime import UTC, date, datetime
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditloom.operators import bronze, features, silver
+from creditloom.operators.boosting import BoostedTrees, Growth
 from creditloom.operators.scores import score_customers
 from creditloom.operators.training import fit_scoring, predict
 from creditloom.schemas import RAW
@@ -75,14 +75,14 @@ def to_features(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def train(spark: SparkSession, args: argparse.Namespace) -> None:
-    trained = fit_scoring(files.scan_layer(spark, args.root, "gold", "customer_credit_features"), trees=args.trees)
-    trained.model.write().overwrite().save(f"{args.artifacts}/model")
+    trained = fit_scoring(files.scan_layer(spark, args.root, "gold", "customer_credit_features"), Growth(trees=args.trees))
+    trained.model.save(spark, f"{args.artifacts}/model")
     files.save_scoring_config(spark, trained.config, f"{args.artifacts}/metadata", **trained.metrics)
     print(trained.metrics)
 
 
 def score(spark: SparkSession, args: argparse.Namespace) -> None:
-    model = PipelineModel.load(f"{args.artifacts}/model")
+    model = BoostedTrees.load(spark, f"{args.artifacts}/model")
     config = files.load_scoring_config(spark, f"{args.artifacts}/metadata")
     rows = predict(model, files.scan_layer(spark, args.root, "gold", "customer_credit_features"))
     now = F.lit(datetime.now(UTC).replace(tzinfo=None)).cast("timestamp")

@@ -52,10 +52,21 @@ class ScoringConfig:
                 found[field] = kind(value)
         return cls(**found)
 
-    def to_metadata(self) -> dict[str, Any]:
+    @classmethod
+    def keys(cls) -> list[tuple[str, str, str]]:
+        """(section, key, field) of the metadata document."""
+        return [(section, key, field) for section, key, field, _ in cls._KEYS]
+
+    @classmethod
+    def from_texts(cls, texts: dict[str, str | None]) -> ScoringConfig:
+        kinds = {field: kind for _, _, field, kind in cls._KEYS}
+        return cls(**{field: kinds[field](text) for field, text in texts.items() if text is not None})
+
+    def to_metadata(self, only: set[str] | None = None) -> dict[str, Any]:
         metadata: dict[str, Any] = {}
         for section, key, field, _ in self._KEYS:
-            metadata.setdefault(section, {})[key] = getattr(self, field)
+            if only is None or field in only:
+                metadata.setdefault(section, {})[key] = getattr(self, field)
         return metadata
 
 

@@ -7,12 +7,15 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.operators import training
+from creditloom.functions.scoring import ScoringConfig
+from creditloom.operators import boosting, training
 from creditloom.operators.scores import score_customers
 from creditloom.plans.lake import CONFIG, Lake, model_probability
+from creditloom.plans.oracle import training_sql
 from creditloom.plans.registry import query
+from creditloom.schemas import FEATURE_COLUMNS
 from creditloom.session import fresh_path
-from creditloom.sources.files import load_scoring_config, save_scoring_config
+from creditloom.sources.files import save_scoring_config, scan_scoring_config
 
 
 @query("SELECT default_flag, count(*) AS row_count FROM gold_features GROUP BY default_flag")
@@ -42,13 +45,41 @@ def train_default_model(lake: Lake) -> DataFrame:
 
 @query()
 def platt_fit(lake: Lake) -> DataFrame:
-    config = lake.trained().config
-    metrics = lake.trained().metrics
+    """Calibration and quality of the trained model on the held-out part, in one row."""
+    trained = lake.trained()
     names = ["auc", "brier_raw", "brier_calibrated", "base_rate", "train_rows", "valid_rows"]
-    fitted = [F.lit(config.intercept).alias("intercept"), F.lit(config.slope).alias("slope")]
-    # one row, repeated beside the class counts it was fitted on
-    return training.label_counts(lake.table("features")).select(
-        "*", *fitted, *[F.lit(float(metrics[n])).alias(n) for n in names]
+    row = (trained.config.intercept, trained.config.slope, *(float(trained.metrics[n]) for n in names))
+    return lake.spark.createDataFrame([row], ", ".join(f"{n} double" for n in ["intercept", "slope", *names]))
+
+
+def _training_rows(lake: Lake) -> DataFrame:
+    """The training part; standard deviations to four digits, below which engines differ."""
+    rows = lake.table("features").withColumn("account_stability", F.round("account_stability", 4))
+    return training.stratified_split(rows.select("customer_id", *FEATURE_COLUMNS, training.LABEL)).where("is_train")
+
+
+@query(training_sql.bins())
+def feature_bins(lake: Lake) -> DataFrame:
+    return boosting.bin_edges(_training_rows(lake), FEATURE_COLUMNS)
+
+
+@query(training_sql.first_tree())
+def first_tree_splits(lake: Lake) -> DataFrame:
+    rows = training.with_class_weights(_training_rows(lake))
+    found = boosting.first_tree(rows, FEATURE_COLUMNS, training.LABEL, "weight")
+    return found.withColumn("gain", F.round("gain", 6))
+
+
+@query(training_sql.PLATT)
+def platt_newton(lake: Lake) -> DataFrame:
+    """The calibration of the fixed model, on all customers."""
+    scored = lake.table("features").select(training.LABEL, model_probability().alias("raw_probability"))
+    fitted = training.platt_steps(scored)
+    return scored.agg(F.count(F.lit(1)).alias("row_count")).select(
+        F.round(F.lit(fitted.intercept), 6).alias("intercept"),
+        F.round(F.lit(fitted.slope), 6).alias("slope"),
+        F.round(F.lit(fitted.steps[-1][2]), 6).alias("loss"),
+        "row_count",
     )
 
 
@@ -85,19 +116,28 @@ def scorecard_params(lake: Lake) -> DataFrame:
     return training.scorecard_parameters(lake.table("features"))
 
 
+_FULL = """('calibration', 'platt_logit'), ('intercept', '-2.3946103913682166'), ('slope', '1.1236752427476158'),
+    ('scorecard', 'log_odds'), ('base_score', '600.0'), ('points_to_double_odds', '20.0'), ('min_score', '300'),
+    ('max_score', '850'), ('low_max', '0.05'), ('medium_max', '0.15')"""
+_DEFAULTS = """('calibration', NULL), ('intercept', '0.0'), ('slope', '1.0'), ('scorecard', NULL), ('base_score', '600.0'),
+    ('points_to_double_odds', '20.0'), ('min_score', '300'), ('max_score', '850'), ('low_max', '0.2'), ('medium_max', '0.5')"""
+
+
 @query(
-    """SELECT default_flag, count(*) AS row_count, 'platt_logit' AS calibration, -2.3946103913682166::DOUBLE AS intercept,
-       'log_odds' AS scorecard,
-       (SELECT (1 - avg(default_flag)) / greatest(avg(default_flag), 1e-6) FROM gold_features) AS base_odds,
-       300 AS min_score, 0.05::DOUBLE AS low_max FROM gold_features GROUP BY default_flag"""
+    f"""SELECT 'full' AS document, field, text, try_cast(text AS DOUBLE) AS number FROM (VALUES {_FULL}) AS v(field, text)
+    UNION ALL SELECT 'sparse', field, text, try_cast(text AS DOUBLE) FROM (VALUES {_DEFAULTS}) AS v(field, text)
+    UNION ALL SELECT document, 'base_odds', NULL, round((1 - r) / greatest(r, 1e-6), 9)
+        FROM (SELECT avg(default_flag) AS r FROM gold_features), (VALUES ('full'), ('sparse')) AS d(document)"""
 )
 def model_metadata(lake: Lake) -> DataFrame:
-    card = training.scorecard_parameters(lake.table("features")).first()
-    path = fresh_path(lake.spark, "metadata")
-    save_scoring_config(lake.spark, replace(CONFIG, base_odds=card["base_odds"]), path)
-    config = load_scoring_config(lake.spark, path)
-    fields = ("calibration", "intercept", "scorecard", "base_odds", "min_score", "low_max")
-    # beside the label counts that the odds come from
-    return training.label_counts(lake.table("features")).select(
-        "*", *[F.lit(getattr(config, name)).alias(name) for name in fields]
-    )
+    """Fields of a complete metadata document and of one that holds the odds alone, as they are read back."""
+    odds = training.scorecard_parameters(lake.table("features")).first()["base_odds"]
+    documents = []
+    for name, config in (("full", replace(CONFIG, base_odds=odds)), ("sparse", ScoringConfig(base_odds=odds))):
+        path = fresh_path(lake.spark, "metadata")
+        only = None if name == "full" else {"base_odds"}
+        save_scoring_config(lake.spark, config, path, only=only)
+        documents.append(scan_scoring_config(lake.spark, path).withColumn("document", F.lit(name)))
+    rows = documents[0].unionByName(documents[1])
+    plain = F.when(F.col("field") != "base_odds", F.col("text"))
+    return rows.select("document", "field", plain.alias("text"), F.round("number", 9).alias("number"))

@@ -58,14 +58,36 @@ def scan_last_wins(df: DataFrame, key: str, columns: Sequence[str], order: Seque
     return last_per_key(df, [key], order).select(key, *columns)
 
 
+def scan_scoring_config(spark: SparkSession, path: str) -> DataFrame:
+    """field, text and number (where the text is one) of a metadata document; missing parts take their defaults."""
+    keys = ScoringConfig.keys()
+    sections: dict[str, list[str]] = {}
+    for section, key, _ in keys:
+        sections.setdefault(section, []).append(f"{key}: string")
+    schema = ", ".join(f"{section} struct<{', '.join(fields)}>" for section, fields in sections.items())
+    document = spark.read.schema(schema).option("multiLine", True).json(path)
+    defaults = ScoringConfig()
+    rows = [
+        F.struct(
+            F.lit(name).alias("field"),
+            F.coalesce(F.col(f"{section}.{key}"), F.lit(getattr(defaults, name)).cast("string")).alias("text"),
+        )
+        for section, key, name in keys
+    ]
+    return document.select(F.inline(F.array(*rows))).withColumn("number", F.col("text").try_cast("double"))
+
+
 def load_scoring_config(spark: SparkSession, path: str) -> ScoringConfig:
     """Calibration, scorecard and risk bands of a trained model; missing parts take their defaults."""
-    row = spark.read.option("multiLine", True).json(path).select(F.to_json(F.struct("*"))).first()
-    return ScoringConfig.from_metadata(json.loads(row[0]))
+    found = {r["field"]: r["text"] for r in scan_scoring_config(spark, path).collect()}  # eleven rows
+    return ScoringConfig.from_texts(found)
 
 
-def save_scoring_config(spark: SparkSession, config: ScoringConfig, path: str, **extra) -> None:
-    text = json.dumps({**config.to_metadata(), **extra})
+def save_scoring_config(
+    spark: SparkSession, config: ScoringConfig, path: str, only: set[str] | None = None, **extra
+) -> None:
+    """A JSON document with the fields of ``config`` (those named by ``only``) and ``extra``."""
+    text = json.dumps({**config.to_metadata(only), **extra})
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 

@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from creditloom.plans import catalog
 from tests.conftest import SMALL
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
@@ -35,7 +36,9 @@ def _same(left, right):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"train_default_model", "platt_fit", "customer_credit_scores_trained"}
+    own = set(catalog.queries())  # with or without the text queries
+    assert own <= set(QUERIES)
+    assert own - set(ORACLES) == {"train_default_model", "platt_fit", "customer_credit_scores_trained"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -57,7 +60,7 @@ def test_trained_queries_give_a_row_per_customer(spark):
     assert QUERIES["train_default_model"](spark, SMALL).where("raw_probability BETWEEN 0 AND 1").count() == customers
     scores = QUERIES["customer_credit_scores_trained"](spark, SMALL)
     assert scores.where("credit_score BETWEEN 300 AND 850").count() == customers
-    assert QUERIES["platt_fit"](spark, SMALL).where("slope > 0").count() == 2
+    assert QUERIES["platt_fit"](spark, SMALL).where("slope > 0").count() == 1
 
 
 def test_entry_runs(spark):
