@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -120,8 +121,8 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Rows dealt by doc_id into sorted ranges, each range closed by the row that follows it.
 
     Returns doc_id, text, part and ``closing`` in an order within each task: by part, then doc_id descending (nulls
-    last), then text. The ranges come from quantiles of the ids, at most one id per range reaches the driver, and texts are
-    shuffled once. The closing row of the last range is the first row of all.
+    last), then text. The ranges come from quantiles of the ids, at most one id per range reaches the driver (tasks find a row's
+    range among them by binary search), and texts are shuffled once. The closing row of the last range is the first row of all.
     """
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -130,17 +131,26 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     ids = plain.select("doc_id").where("doc_id is not null")
     cuts = ids.agg(F.percentile_approx("doc_id", shares or [0.5], 10 * parts).alias("c")).first()["c"]
     cuts = sorted(set(cuts or []), reverse=True)
-    # part 0 has the largest ids, the last one the smallest and null
-    larger = F.expr(f"size(filter(array({', '.join(f'{c}L' for c in cuts)}), c -> c > doc_id))") if cuts else F.lit(0)
-    part = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(larger)
+    ascending = np.array(cuts[::-1], dtype=np.int64)
+
+    def parts_of(ids: pa.Array) -> np.ndarray:
+        """Part 0 has the largest ids, the last one the smallest and null."""
+        larger = len(cuts) - np.searchsorted(ascending, pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), side="right")
+        return np.where(pc.is_null(ids).to_numpy(zero_copy_only=False), len(cuts), larger)
+
+    part = F.arrow_udf(lambda ids: pa.array(parts_of(ids), pa.int32()), "int")("doc_id")
     heads = plain.select(part.alias("part"), "doc_id").groupBy("part").agg(F.max("doc_id").alias("head")).collect()
     order = sorted(r["part"] for r in heads)  # at most ``parts`` rows
     before = {p: order[i - 1] for i, p in enumerate(order)}  # the range that ends where p begins
     head = {r["part"]: r["head"] for r in heads}
+
+    def closes_of(ids: pa.Array) -> pa.Array:
+        """The range that a row closes: the one before its own, if it is the first of its own."""
+        found = zip(ids.to_pylist(), parts_of(ids).tolist(), strict=True)
+        return pa.array([before[p] if head[p] == i else None for i, p in found], pa.int32())
+
     rows = plain.withColumn("part", part)
-    closes = F.lit(None).cast("int")
-    for p in order:
-        closes = F.when((F.col("part") == p) & F.col("doc_id").eqNullSafe(F.lit(head[p])), before[p]).otherwise(closes)
+    closes = F.arrow_udf(closes_of, "int")("doc_id")
     own = F.struct(F.col("part").alias("part"), F.lit(False).alias("closing"))
     extra = F.struct(F.col("closes").alias("part"), F.lit(True).alias("closing"))
     return (

@@ -127,7 +127,7 @@ def test_notices_with_edits():
 # fingerprints ----------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("parts", [1, 3, 200])
+@pytest.mark.parametrize("parts", [1, 3, 200, 1000, 5000])
 def test_each_document_meets_the_next(docs, plain, empty, parts):
     rows = spotsigs.compare_with_next(docs, parts).collect()
     order = sorted(plain, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] is not None, r[1] or ""))
