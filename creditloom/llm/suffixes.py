@@ -25,15 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.llm.common import slices, written
-from creditloom.llm.spans import keyed, lists, marked, runs, sliding, spans_by_document, with_texts
+from creditloom.llm.spans import keyed, lists, runs, sliding, spans_by_document, with_texts
 from creditloom.llm.words import prefix_hashes, span_hashes
 
 SIZE = 400
 GRAM = 16
 LONGEST = 1024  # windows in a run
 SLICE = 2 << 20
-AT_ONCE = (1 << 21) - 8  # symbols of a sort: names have to fit into 21 bits
-WIDE = 1 << 20
+PIECE = 1 << 19  # windows of a text that are looked at together
+AT_ONCE = 1 << 19  # symbols of a sort: names have to fit into 21 bits
+WIDE = 1 << 19
 
 
 # suffix sorting --------------------------------------------------------------------------------------
@@ -108,8 +109,17 @@ def raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def text_runs(text: bytes, size: int = SIZE) -> tuple[np.ndarray, ...]:
-    """Smallest hash, reading, start, windows and whether that hash stands twice in it, of each run of a text."""
+def text_runs(text: bytes, size: int = SIZE, piece: int = PIECE) -> tuple[np.ndarray, ...]:
+    """Smallest hash, reading, start, windows and whether that hash stands twice in it, of each run of a text.
+
+    A longer text is looked at in pieces that overlap by all but one byte of a window; a run is cut where a piece ends.
+    """
+    found = [piece_runs(text[a : a + piece + size - 1], size) for a in range(0, max(1, len(text) - size + 1), piece)]
+    least, reading, starts, lengths, twice = (np.concatenate([f[k] for f in found]) for k in range(5))
+    return least, reading, starts + np.repeat(np.arange(len(found)) * piece, [len(f[0]) for f in found]), lengths, twice
+
+
+def piece_runs(text: bytes, size: int) -> tuple[np.ndarray, ...]:
     if len(text) < size:
         none = np.zeros(0, dtype=np.int64)
         return none.astype(np.uint64), none.astype(np.uint64), none, none, none.astype(bool)
@@ -256,6 +266,15 @@ def counted_repeats(cut: DataFrame, size: int = SIZE) -> DataFrame:
     return windows.join(often, "code", "left_semi").select("place", "text_hash", "start", F.lit(1).cast("bigint").alias("length"))
 
 
+def stretches(n: int, starts: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the maximal stretches covered by windows that start in [start, start + length)."""
+    order = np.argsort(starts, kind="stable")
+    begins = starts[order]
+    reach = np.maximum.accumulate(np.minimum(begins + lengths[order] - 1 + size, n))
+    first = np.flatnonzero(np.concatenate([[True], begins[1:] > reach[:-1]])) if len(begins) else np.zeros(0, dtype=np.int64)
+    return begins[first], reach[np.append(first[1:], len(begins)) - 1] if len(first) else first
+
+
 def cut_out(docs: DataFrame, spans: DataFrame, size: int = SIZE) -> DataFrame:
     """place, text_hash, n_removed, n_spans, kept_sha256 and kept of the documents that lose bytes.
 
@@ -267,11 +286,12 @@ def cut_out(docs: DataFrame, spans: DataFrame, size: int = SIZE) -> DataFrame:
             out = []
             spans_of = lists(batch.column(2), batch.num_rows)
             for text, (starts, lengths) in zip(batch.column(3).to_pylist(), spans_of, strict=True):
-                data = np.frombuffer(raw(text), dtype=np.uint8)
-                gone = marked(len(data), starts, lengths, size)
-                kept = data[~gone].tobytes()
-                pieces = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
-                out.append((int(gone.sum()), pieces, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
+                data = raw(text)
+                begins, ends = stretches(len(data), starts, lengths, size)
+                bounds = zip([0, *ends.tolist()], [*begins.tolist(), len(data)], strict=True)
+                kept = b"".join(data[a:b] for a, b in bounds)
+                removed = len(data) - len(kept)
+                out.append((removed, len(begins), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
             removed, pieces, shas, kept = zip(*out, strict=True) if out else ((),) * 4
             yield pa.RecordBatch.from_arrays(
                 [

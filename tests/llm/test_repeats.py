@@ -126,6 +126,58 @@ def test_repeated_bytes(docs, plain, multiset, monkeypatch, wide):
     assert multiset(suffixes.remove_repeats(docs), *BYTES) == without_byte_repeats(plain, 400)
 
 
+def test_runs_of_a_text_in_pieces():
+    """Every window lies in one run, wherever pieces end, and a run's windows have its smallest hash."""
+    rng = random.Random(9)
+    text = bytes(rng.choices(b"abc ", k=5000)) * 2 + bytes(rng.choices(b"xyz", k=777))
+    whole = suffixes.text_runs(text)
+    least = np.repeat(whole[0], whole[3])
+    for piece in (1, 399, 400, 1000, 10_000, len(text)):
+        hashes, _, starts, lengths, _ = suffixes.text_runs(text, 400, piece)
+        assert np.array_equal(np.repeat(hashes, lengths), least)
+        assert starts[0] == 0 and np.array_equal(starts[1:], (starts + lengths)[:-1])
+    assert all(len(part) == 0 for part in suffixes.text_runs(b"x" * 399))
+
+
+def test_stretches_are_the_covered_bytes():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        n = int(rng.integers(1, 80))
+        size = int(rng.integers(1, n + 1))
+        starts = rng.integers(0, n - size + 1, int(rng.integers(0, 6)))
+        lengths = np.array([int(rng.integers(1, n - size - s + 2)) for s in starts], dtype=np.int64)
+        gone = np.zeros(n, dtype=bool)
+        for a, m in zip(starts, lengths, strict=True):
+            gone[a : a + m - 1 + size] = True
+        begins, ends = suffixes.stretches(n, starts, lengths, size)
+        edges = np.diff(gone.astype(int), prepend=0, append=0)
+        assert begins.tolist() == np.flatnonzero(edges == 1).tolist() and ends.tolist() == np.flatnonzero(edges == -1).tolist()
+
+
+def test_a_very_long_text(spark, docs):
+    """Texts longer than a piece, with passages that stand again in a later piece, over a border, and elsewhere."""
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage, border = letters(700), letters(900)
+    long = passage + letters(suffixes.PIECE - 1000) + border + letters(300_000) + passage + letters(1000) + border
+    rows = [(1, long), (2, letters(500) + passage), (3, letters(2000)), (4, border[:399]), (5, border[100:501])]
+    seen = Counter()
+    for _, t in rows:
+        seen.update(hash(t[i : i + 400]) for i in range(len(t) - 399))
+    want = Counter()
+    for doc, t in rows:
+        gone = np.zeros(len(t), dtype=bool)
+        for i in range(len(t) - 399):
+            if seen[hash(t[i : i + 400])] > 1:
+                gone[i : i + 400] = True
+        kept = np.frombuffer(t.encode(), dtype=np.uint8)[~gone].tobytes()
+        pieces = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
+        want[(doc, len(t), int(gone.sum()), pieces, hashlib.sha256(kept).hexdigest())] += 1
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter(tuple(r) for r in suffixes.remove_repeats(table).select(*BYTES).collect())
+    assert got == want and max(r[2] for r in want) > 3000
+
+
 def test_suffix_order():
     rng = random.Random(1)
     for _ in range(800):
