@@ -2,8 +2,8 @@
 
 Two named definitions exist side by side. ``offline`` ignores NULL balances and lets the account age
 go negative; ``online`` reads NULL as zero, floors the age at zero, averages only limits above zero and
-takes the tenant from every table. Either way the numbers come from one aggregation over the stacked rows of the
-three tables, so no customer list has to be built and joined to first. Names of tenants are aggregated
+takes the tenant from every table. Either way the numbers come from one aggregation over the stacked rows of loans and
+transactions, so no customer list has to be built and joined to first. Names of tenants are aggregated
 apart: a text minimum in the same aggregation would turn it from a hash into a sort of all rows.
 """
 
@@ -302,27 +302,24 @@ def customer_measures(
     mode: str = "offline",
     unique_ids: bool = False,
 ) -> DataFrame:
-    """All measures of all customers; the tenant joins in on the partitioning the aggregation left."""
+    """All measures of all customers.
+
+    Offline, customers are read once, for tenant and income; they meet the aggregate of loans and transactions in a full join
+    on the partitioning that both aggregations left. Online, tenants come from all three tables.
+    """
     online = _check_mode(mode)
-    profile = customers.select("customer_id", "income", F.lit(1).alias("has_profile"))
-    stacked = profile.unionByName(_loan_rows(loans, online), allowMissingColumns=True).unionByName(
-        _transaction_rows(transactions, online), allowMissingColumns=True
-    )
+    stacked = _loan_rows(loans, online).unionByName(_transaction_rows(transactions, online), allowMissingColumns=True)
     measures = (
         stacked.where(F.col("customer_id").isNotNull())
         .groupBy("customer_id")
-        .agg(
-            F.max("income").alias("income"),
-            F.max("has_profile").alias("has_profile"),
-            *_loan_measures(unique_ids),
-            *_payment_measures(unique_ids),
-            *_balance_measures(),
-        )
+        .agg(*_loan_measures(unique_ids), *_payment_measures(unique_ids), *_balance_measures())
     )
-    if online:
-        known = measures.where("has_profile = 1")
-        return known.join(_tenants([customers, loans, transactions]), "customer_id", "left")
-    return measures.join(customer_meta(customers).drop("income"), "customer_id", "left")
+    people = customers.where(F.col("customer_id").isNotNull())
+    if not online:
+        return customer_meta(people).join(measures, "customer_id", "full")
+    known = people.groupBy("customer_id").agg(F.max("income").alias("income"))
+    tenants = _tenants([customers, loans, transactions])
+    return known.join(measures, "customer_id", "left").join(tenants, "customer_id", "left")
 
 
 def customer_credit_features(
