@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 MONEY = "decimal(38,8)"  # amounts below 1e30, to 1e-8
 TOTAL = MONEY
+LARGEST_AMOUNT = 1e20  # and beyond: unreadable in files, rejected in events; ten billion smaller ones add up
 
 
 def double_of(text: Column) -> Column:
     return text.try_cast("double")
 
 
+def amount_of(number: Column) -> Column:
+    """``number``, or NULL where it is no number, infinite or as large as ``LARGEST_AMOUNT``."""
+    return F.when(F.abs(number) < LARGEST_AMOUNT, number)
+
+
 def money_total(amount: Column) -> Column:
     """Sum of money in decimals.
 

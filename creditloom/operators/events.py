@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.functions.numbers import or_zero
+from creditloom.functions.numbers import LARGEST_AMOUNT, or_zero
 
 # Statuses each kind accepts, the word for late and for in time, and the reference prefix.
 KINDS = {
@@ -125,10 +125,16 @@ def event_transactions(normalized: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def rejection(known: Column) -> Column:
-    """Why an event is not accepted, NULL if it is. ``known``: whether its customer is."""
+    """Why an event is not accepted, NULL if it is. ``known``: whether its customer is.
+
+    Amounts beyond ``LARGEST_AMOUNT`` can't be added up in decimals, and infinite ones not at all.
+    """
+    sizes = [F.coalesce(F.abs(F.col(c)), F.lit(0.0)) for c in ("amount", "expected_amount")]
     return (
-        F.when(~F.coalesce(F.col("transaction_type").isin(list(KINDS)), F.lit(False)), "unknown type")
+        F.when(F.col("transaction_id").isNull(), "no id")
+        .when(~F.coalesce(F.col("transaction_type").isin(list(KINDS)), F.lit(False)), "unknown type")
         .when(F.col("amount").isNull() | F.isnan("amount"), "no amount")
+        .when((sizes[0] >= LARGEST_AMOUNT) | (sizes[1] >= LARGEST_AMOUNT), "amount out of range")
         .when(~known, "unknown customer")
     )
 

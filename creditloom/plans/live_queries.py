@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.operators import events, history, state
@@ -11,7 +11,8 @@ from creditloom.operators.scores import score_customers
 from creditloom.plans.lake import CONFIG, Lake, model_probability
 from creditloom.plans.registry import query
 from creditloom.session import fresh_path
-from creditloom.streaming.source import deduplicated, event_stream
+from creditloom.streaming.source import EachOnce, event_stream
+from creditloom.streaming.versions import Versions
 
 _EVENT_COLUMNS = [
     "transaction_id", "customer_id", "transaction_type", "transaction_date", "amount", "expected_amount",
@@ -72,17 +73,21 @@ def event_to_transaction(lake: Lake) -> DataFrame:
 
 
 @query(
-    """SELECT transaction_id, customer_id, CASE WHEN event_id % 13 = 0 THEN 'unknown type'
-           WHEN event_id % 11 = 0 THEN 'no amount' ELSE 'unknown customer' END AS reason
-       FROM known_events WHERE event_id % 13 = 0 OR event_id % 11 = 0
+    """SELECT CASE WHEN event_id % 17 <> 0 THEN transaction_id END AS transaction_id, customer_id,
+           CASE WHEN event_id % 17 = 0 THEN 'no id' WHEN event_id % 13 = 0 THEN 'unknown type'
+           WHEN event_id % 11 = 0 THEN 'no amount' WHEN event_id % 7 = 0 THEN 'amount out of range'
+           ELSE 'unknown customer' END AS reason
+       FROM known_events WHERE event_id % 17 = 0 OR event_id % 13 = 0 OR event_id % 11 = 0 OR event_id % 7 = 0
           OR customer_id NOT IN (SELECT customer_id FROM profile)"""
 )
 def rejected_events(lake: Lake) -> DataFrame:
     number = F.split("transaction_id", "::")[1].cast("long")
+    sizes = F.when(number % 2 == 0, float("inf")).otherwise(-1e31)
     odd = lake.normalized_events().withColumns(
         {
             "transaction_type": F.when(number % 13 == 0, "REFUND").otherwise(F.col("transaction_type")),
-            "amount": F.when(number % 11 != 0, F.col("amount")),
+            "amount": F.when(number % 11 != 0, F.when(number % 7 == 0, sizes).otherwise(F.col("amount"))),
+            "transaction_id": F.when(number % 17 != 0, F.col("transaction_id")),
         }
     )
     return events.rejected_events(odd, lake.known()).drop("event_time")
@@ -158,28 +163,28 @@ def stream_source(lake: Lake) -> DataFrame:
 
 @query("SELECT transaction_id, customer_id FROM raw_events")
 def stream_dedup(lake: Lake) -> DataFrame:
-    path, checkpoint = fresh_path(lake.spark, "dedup"), fresh_path(lake.spark, "dedup-checkpoint")
+    once = EachOnce(Versions(lake.spark, fresh_path(lake.spark, "dedup")))
     stream = event_stream(lake.spark, lake.sf_dir).drop("raw_attributes")
-    twice = deduplicated(stream.unionByName(stream))  # every event arrives twice
-    writer = twice.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-    writer.trigger(availableNow=True).start().awaitTermination()
-    return lake.spark.read.parquet(path).select("transaction_id", "customer_id")
+    twice = stream.unionByName(stream)  # every event arrives twice
+    once.start(twice, fresh_path(lake.spark, "dedup-checkpoint")).awaitTermination()
+    return once.read().select("transaction_id", "customer_id")
 
 
 @query("SELECT transaction_id, customer_id, amount, event_time FROM raw_events")
 def stream_late(lake: Lake) -> DataFrame:
-    """Events in four files by time, newest first, a fifth with every third event again; one file per trigger."""
+    """Events in four folders by time, newest first, then every third event again; a few files per trigger."""
     folder, source = fresh_path(lake.spark, "late"), lake.spark.read.parquet(f"{lake.sf_dir}/events.parquet")
-    quarter = F.ntile(4).over(Window.orderBy(F.desc("ts"), "event_id"))  # stand-in files of a small test table
-    split = source.withColumn("_part", quarter)
-    for part in (1, 2, 3, 4, 5):
-        rows = split.where(F.col("_part") == part) if part < 5 else split.where("event_id % 3 = 0")
-        rows.drop("_part").coalesce(1).write.mode("append").parquet(folder)
-    path, checkpoint = fresh_path(lake.spark, "late-out"), fresh_path(lake.spark, "late-checkpoint")
-    stream = deduplicated(event_stream(lake.spark, folder, "*.parquet", max_files=1).drop("raw_attributes"))
-    writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-    writer.trigger(availableNow=True).start().awaitTermination()
-    return lake.spark.read.parquet(path).select("transaction_id", "customer_id", "amount", "event_time")
+    time = F.col("ts").cast("timestamp").cast("double")
+    cuts = source.agg(F.percentile_approx(time, [0.75, 0.5, 0.25])).first()[0] or [0.0] * 3
+    upper = [None, *cuts]
+    for above, below in zip([*cuts, None], upper, strict=True):
+        rows = source if above is None else source.where(time > above)
+        (rows if below is None else rows.where(time <= below)).hint("rebalance").write.mode("append").parquet(folder)
+    source.where("event_id % 3 = 0").hint("rebalance").write.mode("append").parquet(folder)
+    once = EachOnce(Versions(lake.spark, fresh_path(lake.spark, "late-out")))
+    stream = event_stream(lake.spark, folder, "*.parquet", max_files=1).drop("raw_attributes")
+    once.start(stream, fresh_path(lake.spark, "late-checkpoint")).awaitTermination()
+    return once.read().select("transaction_id", "customer_id", "amount", "event_time")
 
 
 @query(f"SELECT institution_id, source_system, {_EVENT_SQL} FROM accepted_events")

@@ -1,15 +1,14 @@
 """Live refresh: every micro-batch of events updates the touched customers.
 
-All tables are folders of ``batch_id=N``; a batch only reads what earlier batches wrote and overwrites
-its own folders, so a replayed batch gives the same tables. The row of the newest batch is the current
-one. Every ``compact_every`` batches the current rows are written as a snapshot, and a batch reads the newest
-snapshot before it and what was written since, so its work doesn't grow with the number of batches. Tables are split into
-hash buckets, and a batch reads only the buckets it touches; choose their number by the size of the tables.
+All tables belong to one store of versions (``versions.py``): a batch reads the version before it, adds parts of its own and
+commits them together, so a batch that dies or is repeated gives the same tables. The row of the newest batch is the
+current one. Tables are split into hash buckets, and a batch reads only the buckets it touches; choose their number by the
+size of the tables. Parts are merged as they grow in number, so the work of a batch doesn't grow with the batches before.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,12 +24,11 @@ from creditloom.operators.events import (
     rejection,
 )
 from creditloom.operators.history import history_additions
-from creditloom.operators.keyed import first_per_key, last_per_key
+from creditloom.operators.keyed import first_per_key
 from creditloom.operators.scores import score_customers
 from creditloom.operators.serving import SCORE_COLUMNS
 from creditloom.schemas import FEATURE_COLUMNS
-
-BASE = -1  # batch id of what was there before the stream
+from creditloom.streaming.versions import BASE, Files, Version, Versions
 
 FEATURE_ROW = ["customer_id", "institution_id", "source_system", *FEATURE_COLUMNS]
 
@@ -42,53 +40,21 @@ class LiveRefresh:
     raw_probability: Column
     config: ScoringConfig
     buckets: int = 16
-    compact_every: int = 20
-    marked: set[str] = field(default_factory=set, compare=False)
+    fan: int = 8
 
     # --- tables ----------------------------------------------------------------------------------
 
-    def _bucket(self, by: str = "customer_id") -> Column:
-        return F.pmod(F.xxhash64(by), F.lit(self.buckets)).cast("int")
-
-    def _write(self, df: DataFrame, table: str, batch_id: int, by: str = "customer_id") -> None:
-        bucketed = df.withColumn("bucket", self._bucket(by))
-        # one hot bucket may be split over several files, small buckets share tasks
-        sized = bucketed.hint("rebalance", "bucket")
-        sized.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{table}/batch_id={batch_id}")
-        if batch_id == BASE or table not in self.marked:
-            # a table without rows has no files to take the schema from: keep one empty file
-            df.limit(0).write.mode("overwrite").parquet(f"{self.root}/{table}/batch_id={BASE}/bucket=-1")
-            self.marked.add(table)
+    @property
+    def store(self) -> Versions:
+        return Versions(self.spark, self.root, self.buckets, self.fan)
 
     def read(self, table: str) -> DataFrame:
-        """All rows of all batches, with ``batch_id``."""
-        return self.spark.read.parquet(f"{self.root}/{table}").drop("bucket")
+        """All rows of the newest version, with ``batch_id``; of customers' current values at least the newest."""
+        return self.store.read(table)
 
     def current(self, table: str) -> DataFrame:
         """The newest row per customer."""
-        return last_per_key(self.read(table), ["customer_id"], ["batch_id"]).drop("batch_id")
-
-    def _batch(self, table: str, batch_id: int) -> DataFrame:
-        return self.read(table).where(F.col("batch_id") == batch_id).drop("batch_id")
-
-    def _stored(self, table: str, batch_id: int) -> DataFrame:
-        """Rows of earlier batches, with ``bucket``."""
-        return self.spark.read.parquet(f"{self.root}/{table}").where(F.col("batch_id") < batch_id)
-
-    def _since_snapshot(self, table: str, batch_id: int) -> DataFrame:
-        """Rows that hold every customer's newest one before ``batch_id``, with ``bucket``."""
-        snapshot = batch_id // self.compact_every * self.compact_every - 1
-        since = self._stored(table, batch_id)
-        if snapshot == BASE:
-            return since
-        base = self.spark.read.parquet(f"{self.root}/{table}_snapshot").where(F.col("batch_id") == snapshot)
-        return base.unionByName(since.where(F.col("batch_id") > snapshot))
-
-    def _compact(self, table: str, batch_id: int) -> None:
-        newest = last_per_key(self._since_snapshot(table, batch_id).unionByName(
-            self.spark.read.parquet(f"{self.root}/{table}").where(F.col("batch_id") == batch_id)
-        ), ["customer_id"], ["batch_id"])
-        self._write(newest.drop("batch_id", "bucket"), f"{table}_snapshot", batch_id)
+        return self.store.newest().current(table)
 
     # --- life cycle ------------------------------------------------------------------------------
 
@@ -102,86 +68,76 @@ class LiveRefresh:
         history: DataFrame,
     ) -> LiveRefresh:
         """Write what the stream starts from: the measures of the stored history, scores and history."""
-        self._write(known_customers(profiles, scores), "customers", BASE)
-        stored_ids = transactions.select("customer_id", "transaction_id").where("transaction_id is not null")
-        self._write(stored_ids, "ids", BASE, by="transaction_id")
-        self._write(states.base_state(profiles, loans, transactions), "state", BASE)
-        self._write(states.known_accounts(transactions), "accounts", BASE)
-        self._write(features.select(*FEATURE_ROW), "features", BASE)
-        self._write(scores.select(*SCORE_COLUMNS), "scores", BASE)
-        self._write(history.select("customer_id").distinct(), "with_history", BASE)
+        version = self.store.begin(BASE)
+        version.write(known_customers(profiles, scores), "customers")
+        stored_ids = transactions.select("transaction_id").where("transaction_id is not null")
+        version.write(stored_ids, "ids", by="transaction_id", filtered=True)
+        version.write(states.base_state(profiles, loans, transactions), "state", newest=True)
+        version.write(states.known_accounts(transactions), "accounts")
+        version.write(features.select(*FEATURE_ROW), "features", newest=True)
+        version.write(scores.select(*SCORE_COLUMNS), "scores", newest=True)
+        version.write(history.select("customer_id").distinct(), "with_history")
         past = history.withColumn("transaction_id", F.lit(None).cast("string"))
-        self._write(past.select("customer_id", "credit_score", "default_probability", "risk_level",
-                                "score_generated_at", "source", "transaction_id"), "history", BASE)
+        version.write(past.select("customer_id", "credit_score", "default_probability", "risk_level",
+                                  "score_generated_at", "source", "transaction_id"), "history")
+        version.commit()
         return self
 
     def apply(self, events: DataFrame, batch_id: int) -> None:
-        """One micro-batch: store the events, then refresh features, scores and history.
+        """One micro-batch: store the events, then refresh features, scores and history, all in one version.
 
         The micro-batch itself is read once. An event counts if its id is neither stored by an earlier batch nor repeated
-        in this one; late events are like any other. Without a known type, an amount and a known customer it is rejected.
-        Of an id that comes both valid and invalid a valid event counts, in whatever batches they come.
+        in this one; late events are like any other. Without an id, a known type, an amount and a known customer it is
+        rejected. Of an id that comes both valid and invalid a valid event counts, in whatever batches they come.
         """
-        known = self._batch("customers", BASE)
+        version = self.store.begin(batch_id)
+        known = version.read("customers").drop("batch_id")
         normalized = normalize_events(events, F.to_date("event_time"))
         raw = normalized.withColumn("raw_json", event_raw_json()).drop("raw_attributes")
         reason = rejection(F.col("institution_id").isNotNull())
         flagged = raw.join(known, "customer_id", "left").withColumn("reason", reason)
-        order = [F.col(c).asc_nulls_first() for c in raw.columns if c != "transaction_id"]
-        once = first_per_key(flagged, ["transaction_id"], [F.col("reason").isNotNull(), *order])
-        self._write(once, "arrived", batch_id, by="transaction_id")
         # what follows reads the stored events, not the stream
-        arrived = self._batch("arrived", batch_id)
-        touched = [row[0] for row in arrived.select(self._bucket("transaction_id")).distinct().collect()]  # bounded by buckets
-        ids = self._stored("ids", batch_id).where(F.col("bucket").isin(touched)).select("transaction_id")
-        accepted = arrived.where("reason is null").join(ids, "transaction_id", "left_anti").drop("reason")
-        self._write(accepted, "bronze_events", batch_id)
-        stored = self._batch("bronze_events", batch_id)
-        self._write(stored.select("customer_id", "transaction_id"), "ids", batch_id, by="transaction_id")
-        self._write(
-            event_transactions(stored.drop("institution_id", "source_system"), known), "transactions", batch_id
+        arrived = version.write(flagged, "arrived", by="transaction_id")
+        order = [F.col(c).asc_nulls_first() for c in raw.columns if c != "transaction_id"]
+        named = arrived.where("transaction_id IS NOT NULL")
+        once = first_per_key(named, ["transaction_id"], [F.col("reason").isNotNull(), *order])
+        accepted = version.unseen(once.where("reason is null"), "ids").drop("reason")
+        stored = version.write(accepted, "bronze_events")
+        version.write(stored.select("transaction_id"), "ids", by="transaction_id", filtered=True)
+        added = version.write(
+            event_transactions(stored.drop("institution_id", "source_system"), known), "transactions"
         )
-        refused = arrived.where("reason is not null").select("transaction_id", "customer_id", "event_time", "reason")
-        self._write(refused, "rejected_events", batch_id)
-        added = self._batch("transactions", batch_id)
-        if not added.isEmpty():
-            self._refresh(added, batch_id)
-        if (batch_id + 1) % self.compact_every == 0:
-            for table in ("state", "scores"):
-                self._compact(table, batch_id)
-
-    def _refresh(self, added: DataFrame, batch_id: int) -> None:
+        refused = once.where("reason is not null").unionByName(arrived.where("transaction_id IS NULL"))
+        version.write(refused.select("transaction_id", "customer_id", "event_time", "reason"), "rejected_events")
+        if version.added["transactions"]:
+            self._refresh(version, added)
+        version.commit(transient=["arrived"])
+
+    def _refresh(self, version: Version, added: DataFrame) -> None:
         customers = added.select("customer_id").distinct()
-        buckets = [row[0] for row in added.select(self._bucket()).distinct().collect()]  # bounded by buckets
+        buckets = version.added["transactions"].buckets
 
         def touched(rows: DataFrame) -> DataFrame:
-            return rows.where(F.col("bucket").isin(buckets)).drop("bucket").join(customers, "customer_id", "left_semi")
+            return rows.join(customers, "customer_id", "left_semi")
 
-        def earlier(table: str) -> DataFrame:
-            return touched(self._stored(table, batch_id))
-
-        def newest(table: str) -> DataFrame:
-            rows = touched(self._since_snapshot(table, batch_id))
-            return last_per_key(rows, ["customer_id"], ["batch_id"]).drop("batch_id")
-
-        accounts = earlier("accounts").drop("batch_id")
-        self._write(states.trail_measures(added, newest("state"), accounts), "trail", batch_id)
-        trail = self._batch("trail", batch_id)
+        accounts = touched(version.read("accounts", buckets)).drop("batch_id")
+        before = touched(version.current("scores", buckets))
+        past = touched(version.read("with_history", buckets)).select("customer_id")
+        state = touched(version.current("state", buckets))
+        trail = version.write(states.trail_measures(added, state, accounts), "trail")
 
         features = states.trail_features(trail)
-        self._write(states.last_of_trail(trail).select(*states.MEASURES), "state", batch_id)
+        version.write(states.last_of_trail(trail).select(*states.MEASURES), "state", newest=True)
         new_accounts = states.known_accounts(added).join(accounts, ["customer_id", "reference_id"], "left_anti")
-        self._write(new_accounts, "accounts", batch_id)
-        self._write(states.last_of_trail(features).select(*FEATURE_ROW), "features", batch_id)
+        version.write(new_accounts, "accounts")
+        version.write(states.last_of_trail(features).select(*FEATURE_ROW), "features", newest=True)
 
         simulated = self._scored(features)
-        before = newest("scores")
         last = states.last_of_trail(simulated)
-        self._write(last.select(*SCORE_COLUMNS), "scores", batch_id)
-        self._write(score_changes(before, last), "score_changes", batch_id)
-        past = earlier("with_history").select("customer_id")
-        self._write(history_additions(past, before, simulated), "history", batch_id)
-        self._write(customers.join(past, "customer_id", "left_anti"), "with_history", batch_id)
+        version.write(last.select(*SCORE_COLUMNS), "scores", newest=True)
+        version.write(score_changes(before, last), "score_changes")
+        version.write(history_additions(past, before, simulated), "history")
+        version.write(customers.join(past, "customer_id", "left_anti"), "with_history")
 
     def _scored(self, features: DataFrame) -> DataFrame:
         extra = ["transaction_id", "event_time"]
@@ -193,25 +149,14 @@ class LiveRefresh:
         The checkpoint has to be the one that wrote the batches under this root: another one would number its
         batches from 0 again and replace stored ones.
         """
-        stored, committed = self._newest("arrived", "batch_id="), _newest_name(self.spark, f"{checkpoint}/commits", "")
+        names = Files(self.spark, checkpoint).names("commits")
+        committed = max((int(n) for n in names if n.isdigit()), default=BASE)
+        stored = self.store.newest().number
         if stored > committed + 1:
             raise ValueError(f"{self.root} holds batch {stored}, but {checkpoint} ends with batch {committed}")
         writer = events.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint)
         return writer.trigger(**(trigger or {"availableNow": True})).start()
 
-    def _newest(self, table: str, prefix: str) -> int:
-        return _newest_name(self.spark, f"{self.root}/{table}", prefix)
-
-
-def _newest_name(spark: SparkSession, folder: str, prefix: str) -> int:
-    """The largest number among the names ``prefix<number>`` in a folder, -1 without any."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(path):
-        return BASE
-    names = [entry.getPath().getName().removeprefix(prefix) for entry in files.listStatus(path)]
-    return max((int(name) for name in names if name.isdigit()), default=BASE)
-
 
 def score_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """Previous and new score of the customers in ``after``."""

@@ -13,8 +13,8 @@ from creditloom.plans.lake import CONFIG, model_probability
 from creditloom.schemas import FEATURE_COLUMNS, TRANSACTIONS
 from creditloom.session import fresh_path
 from creditloom.streaming.live import LiveRefresh
-from creditloom.streaming.source import deduplicated, event_stream
-
+from creditloom.streaming.source import EachOnce, event_stream
+from creditloom.streaming.versions import BASE, Versions
 
 
 def rounded(df):
@@ -57,7 +57,7 @@ def split_events(lake, tmp_path_factory):
 @pytest.fixture(scope="module")
 def live(lake, split_events):
     refresh = prepared(lake, fresh_path(lake.spark, "test-live"))
-    stream = deduplicated(event_stream(lake.spark, split_events, "events-*.parquet", max_files=1))
+    stream = event_stream(lake.spark, split_events, "events-*.parquet", max_files=1)
     query = refresh.start(stream, fresh_path(lake.spark, "test-live-checkpoint"))
     query.awaitTermination()
     return refresh
@@ -126,8 +126,8 @@ def test_replayed_batch_changes_nothing(live, lake):
     assert {name: as_set(live.read(name)) for name in tables} == before
 
 
-def test_snapshots_change_nothing(live, lake, split_events):
-    refresh = prepared(lake, fresh_path(lake.spark, "test-snapshots"), compact_every=1)
+def test_merged_parts_change_nothing(live, lake, split_events):
+    refresh = prepared(lake, fresh_path(lake.spark, "test-snapshots"), fan=2)
     stream = event_stream(lake.spark, split_events, "events-*.parquet", max_files=1)
     refresh.start(stream, fresh_path(lake.spark, "test-snapshots-checkpoint")).awaitTermination()
     for name in ("features", "scores", "state"):
@@ -145,12 +145,99 @@ def test_late_and_invalid_events(lake):
     odd = early.limit(1).withColumn("transaction_id", F.lit("odd"))
     refund = odd.withColumn("transaction_type", F.lit("REFUND"))
     nothing = odd.withColumns({"transaction_id": F.lit("none"), "amount": F.lit(None).cast("double")})
-    refresh.apply(early.unionByName(again).unionByName(again).unionByName(refund).unionByName(nothing), 1)
+    endless = odd.withColumns({"transaction_id": F.lit("endless"), "amount": F.lit(float("-inf"))})
+    large = odd.withColumns({"transaction_id": F.lit("large"), "expected_amount": F.lit(1e31)})
+    nameless = early.limit(2).withColumn("transaction_id", F.lit(None).cast("string"))
+    odd_ones = refund.unionByName(nothing).unionByName(endless).unionByName(large).unionByName(nameless)
+    refresh.apply(early.unionByName(again).unionByName(again).unionByName(odd_ones), 1)
     assert refresh.read("transactions").count() == 18
-    assert {(r["transaction_id"], r["reason"]) for r in refresh.read("rejected_events").collect()} == {
-        ("odd", "unknown type"),
+    refused = [(r["transaction_id"], r["reason"]) for r in refresh.read("rejected_events").collect()]
+    assert sorted(refused, key=str) == [
+        ("endless", "amount out of range"),
+        ("large", "amount out of range"),
         ("none", "no amount"),
-    }
+        ("odd", "unknown type"),
+        (None, "no id"),
+        (None, "no id"),
+    ]
+
+
+def test_a_batch_that_dies_leaves_the_version_before(lake, monkeypatch):
+    refresh = prepared(lake, fresh_path(lake.spark, "test-killed"), fan=2)
+    events = lake.events().join(lake.known().select("customer_id"), "customer_id", "left_semi").orderBy("event_time").limit(30)
+    first, second = events.limit(10).checkpoint(), events.orderBy(F.desc("event_time")).limit(10).checkpoint()
+    refresh.apply(first, 0)
+    tables = ("transactions", "features", "scores", "history", "state", "accounts", "ids")
+    before = {name: as_set(refresh.read(name)) for name in tables}
+    from creditloom.streaming import live
+
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(live, "history_additions", dies)  # nearly everything is written by then
+        with pytest.raises(RuntimeError):
+            refresh.apply(second, 1)
+    assert refresh.store.newest().number == 0
+    assert {name: as_set(refresh.read(name)) for name in tables} == before
+    refresh.apply(second, 1)
+    assert refresh.read("transactions").count() == 20
+
+
+def test_paths_stay_few_over_two_hundred_batches(spark):
+    """Parts are merged by size class and dead ones deleted; every row stays, of current values the newest."""
+    store = Versions(spark, fresh_path(spark, "test-versions"), buckets=2, fan=4)
+    version = store.begin(BASE)
+    version.write(spark.createDataFrame([(0, -1)], "customer_id long, value int").coalesce(1), "rows")
+    version.write(spark.createDataFrame([(0, -1)], "customer_id long, value int").coalesce(1), "newest", newest=True)
+    version.commit()
+    most = folders = 0
+    for batch in range(200):
+        version = store.begin(batch)
+        rows = spark.createDataFrame([(batch % 5, batch)], "customer_id long, value int").coalesce(1)
+        version.write(rows, "rows")
+        if batch % 10 == 0:
+            version.write(rows, "newest", newest=True)
+        version.commit()
+        now = store.newest()
+        most = max(most, len(now.paths(now.tables["rows"].parts)))
+        folders = max(folders, len(store.files.names("data/rows")))
+    assert most <= 1 + 3 * 4 + 1 and folders <= most + 12 and store.committed() == [197, 198, 199]
+    assert {r["value"] for r in store.read("rows").collect()} == set(range(-1, 200)) and store.read("rows").count() == 201
+    assert as_set(store.newest().current("newest")) == {(0, 190)}
+    with pytest.raises(ValueError):
+        store.begin(100)
+
+
+def test_lookups_are_exact_and_read_little(spark):
+    store = Versions(spark, fresh_path(spark, "test-seen"), buckets=4, fan=3)
+    store.begin(BASE).commit()
+    for batch in range(7):
+        version = store.begin(batch)
+        version.write(spark.range(batch * 1000, batch * 1000 + 1000).selectExpr("concat('id', id) AS k"), "ids", by="k", filtered=True)
+        version.commit()
+    version = store.begin(7)
+    asked = spark.range(6500, 9000).selectExpr("concat('id', id) AS k", "id")
+    assert as_set(version.unseen(asked, "ids").select("id")) == {(i,) for i in range(7000, 9000)}
+    none_seen = version.unseen(spark.range(10**6, 10**6 + 50).selectExpr("concat('id', id) AS k"), "ids")
+    plan = none_seen._jdf.queryExecution().optimizedPlan().toString()
+    assert none_seen.count() == 50 and "Join" not in plan  # no stored key was read
+    assert version.unseen(asked.where("false"), "ids").count() == 0
+
+
+def test_each_event_is_stored_once(spark, tmp_path):
+    """Copies in one batch, in later ones and very late ones; nothing is held in the state of the stream."""
+    once = EachOnce(Versions(spark, fresh_path(spark, "test-once"), buckets=4, fan=2))
+    schema = "transaction_id string, value int, event_time timestamp"
+    for batch in range(6):
+        rows = [(f"t{i}", i, None) for i in range(batch * 10, batch * 10 + 15)] + [("t0", 0, None), ("t0", 0, None), (None, batch, None)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = once.start(stream, str(tmp_path / "checkpoint"))
+    query.awaitTermination()
+    assert sorted(r["value"] for r in once.read().collect()) == list(range(65))
+    assert once.read("without_id").count() == 6
+    assert not any(p["stateOperators"] for p in query.recentProgress)
 
 
 @pytest.mark.parametrize("together", [True, False])
