@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextvars import ContextVar
 from pathlib import Path
 
 import pyarrow as pa
@@ -44,9 +45,31 @@ def slices(batches: Iterable[pa.RecordBatch], text: int, limit: int = SLICE_BYTE
             yield batch.slice(begin)
 
 
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read again: what follows never computes it a second time."""
     path = fresh_path(df.sparkSession, label)
+    if _made.get() is not None:
+        _made.get().append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
+
+def settled(spark: SparkSession, build: Callable[[], DataFrame], label: str) -> DataFrame:
+    """What ``build`` returns, written; the tables that it wrote on the way are deleted then."""
+    made: list[str] = []
+    before = _made.set(made)
+    try:
+        path = fresh_path(spark, label)
+        df = build()
+        df.write.parquet(path)
+    finally:
+        _made.reset(before)
+    if before.old_value is not before.MISSING and before.old_value is not None:
+        before.old_value.append(path)
+    for each in made:
+        place = spark._jvm.org.apache.hadoop.fs.Path(each)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return spark.read.schema(df.schema).parquet(path)

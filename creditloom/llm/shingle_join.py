@@ -13,6 +13,10 @@ Surviving pairs are verified on the sets. A first round verifies each cell's fir
 joins groups of near copies in time linear in their size; the R-trees then look only in cells that still hold
 different components, for pairs between those. Cells of any size are searched in blocks.
 
+Sets are filed under some more cells than the first D + 1 (``spare``), so linked sets meet as many times more. A set that
+lies in no more crowded cells than that meets each of its partners in another cell as well, and leaves the crowded
+ones: a passage that very many texts share crowds a few cells of each, and none of them has to be searched for it.
+
 Equal sets are one class, known by a 64-bit hash. That a set of 64 and more tokens has fewer than D + 1 groups has a
 chance below 1e-9; shingles and classes are told apart by 64-bit hashes.
 """
@@ -20,6 +24,7 @@ chance below 1e-9; shingles and classes are told apart by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import slices, written
+from creditloom.llm.common import settled, slices, written
 from creditloom.llm.components import components
 from creditloom.llm.spans import LAST, with_texts
 from creditloom.llm.words import mix, window_hashes, word_hashes
@@ -60,19 +65,49 @@ def linked(shared, a, b):
     return 9 * shared >= 4 * (a + b)
 
 
+def levels_of(n: int) -> list[int]:
+    """Size classes that a set of ``n`` tokens is filed in: its own, and the next one if a partner can be in it."""
+    own = n.bit_length() - 1
+    return [own] + [own + 1] * (5 * n // 4 >= 2 << own)
+
+
+def groups_of(level: int) -> int:
+    return (1 << level) * 7 // 10 if 1 << level >= SMALLEST else 1 << 16
+
+
+def differing(n: int) -> int:
+    """The most tokens in which a set of ``n`` differs from a linked one."""
+    return (n + 5 * n // 4) // 9
+
+
+def filed_more(n: int) -> int:
+    """Cells beyond the first D + 1, a quarter of D at most and no more than sets of that size have by far."""
+    fewest = n
+    for level in levels_of(n):
+        groups = groups_of(level)
+        full = -np.expm1(-n / groups)
+        fewest = min(fewest, groups * full - 8 * np.sqrt(groups * full * (1 - full)) - 4)
+    return int(max(0, min(fewest - differing(n) - 1, 4 + differing(n) // 4)))
+
+
+@lru_cache(1 << 16)
+def spare(n: int) -> int:
+    """Cells beyond one in which a set of ``n`` tokens and any linked one meet at least."""
+    low, high = -(-4 * n // 5), 5 * n // 4
+    # between these sizes the number of cells grows or falls steadily
+    turns = {t + d for level in range(1, high.bit_length() + 1) for t in (1 << level, -(-(2 << level) * 4 // 5)) for d in (-1, 0, 1)}
+    return min(filed_more(m) for m in {low, n, high} | {t for t in turns if low <= t <= high})
+
+
 def cells(tokens: np.ndarray) -> np.ndarray:
     """Hashes of the cells of a set."""
     n = len(tokens)
     if not n:
         return np.zeros(0, dtype=np.uint64)
-    own = n.bit_length() - 1
-    wanted = (n + 5 * n // 4) // 9 + 1
-    levels = [own] + [own + 1] * (5 * n // 4 >= 2 << own)
+    wanted = differing(n) + 1 + filed_more(n)
     out = []
-    for level in levels:
-        size = 1 << level
-        groups = np.uint64(size * 7 // 10 if size >= SMALLEST else 1 << 16)
-        group = ((tokens >> np.uint64(32)) * groups) >> np.uint64(32)
+    for level in levels_of(n):
+        group = ((tokens >> np.uint64(32)) * np.uint64(groups_of(level))) >> np.uint64(32)
         starts = np.flatnonzero(np.diff(group, prepend=group[0] + np.uint64(1)))[: wanted + 1]
         content = np.add.reduceat(mix(tokens), starts)[:wanted]
         out.append(mix(content + mix(group[starts[:wanted]] + np.uint64(level << 40))))
@@ -83,6 +118,21 @@ def point(tokens: np.ndarray) -> np.ndarray:
     return np.bincount((tokens & np.uint64(DIMENSIONS - 1)).astype(np.int64), minlength=DIMENSIONS).astype(np.int32)
 
 
+def narrowed(counts: np.ndarray) -> bytes:
+    """A point in as few bytes a coordinate as its largest one needs: 1, 2 or 4."""
+    largest = int(counts.max(initial=0))
+    return counts.astype(np.uint8 if largest < 1 << 8 else np.uint16 if largest < 1 << 16 else np.int32).tobytes()
+
+
+def widened(points: list[bytes]) -> np.ndarray:
+    out = np.empty((len(points), DIMENSIONS), dtype=np.int32)
+    sizes = np.array([len(p) for p in points])
+    for kind in (np.uint8, np.uint16, np.int32):
+        own = np.flatnonzero(sizes == DIMENSIONS * np.dtype(kind).itemsize)
+        out[own] = np.frombuffer(b"".join(points[i] for i in own), kind).reshape(-1, DIMENSIONS)
+    return out
+
+
 class RTree:
     """Count vectors in boxes of which only the upper corner matters, with the sizes that occur inside."""
 
@@ -118,7 +168,7 @@ class RTree:
 
 
 def filed(docs: DataFrame, buckets: int) -> DataFrame:
-    """Per document a row (doc_id, text_hash, n, class, point); per slice and bucket a row with the cells that fall into it.
+    """Per document a row (doc_id, text_hash, n, class, spare, point); per slice and bucket a row with the cells that fall into it.
 
     A cell takes 8 bytes: 48 bits of its hash and the number of the class in the list that precedes the cells.
     """
@@ -129,8 +179,9 @@ def filed(docs: DataFrame, buckets: int) -> DataFrame:
             classes = np.array([class_of(s) for s in sets], dtype=np.int64)
             n = np.array([len(s) for s in sets], dtype=np.int64)
             none = pa.nulls(len(sets))
-            points = pa.array([point(s).tobytes() for s in sets], pa.binary())
-            known = [batch.column(0), batch.column(1), pa.array(n), pa.array(classes), points]
+            points = pa.array([narrowed(point(s)) for s in sets], pa.binary())
+            spares = pa.array([spare(len(s)) if len(s) else 0 for s in sets], pa.int32())
+            known = [batch.column(0), batch.column(1), pa.array(n), pa.array(classes), spares, points]
             yield pa.RecordBatch.from_arrays([*known, none.cast(pa.int32()), none.cast(pa.binary())], FILED)
             different, first = np.unique(classes, return_index=True)
             keep = different != NO_CLASS
@@ -155,16 +206,16 @@ def filed(docs: DataFrame, buckets: int) -> DataFrame:
                     names.append(int(b))
                     blobs.append(len(used).to_bytes(8, "little") + table.tobytes() + own.tobytes())
                 none = pa.nulls(len(names), pa.int64())
-                blank = [none, none, none, none, pa.nulls(len(names), pa.binary())]
+                blank = [none, none, none, none, pa.nulls(len(names), pa.int32()), pa.nulls(len(names), pa.binary())]
                 yield pa.RecordBatch.from_arrays([*blank, pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], FILED)
 
-    schema = "doc_id bigint, text_hash bigint, n bigint, class bigint, point binary, bucket int, blob binary"
+    schema = "doc_id bigint, text_hash bigint, n bigint, class bigint, spare int, point binary, bucket int, blob binary"
     return docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").alias("text")
     ).mapInArrow(rows, schema)
 
 
-FILED = ["doc_id", "text_hash", "n", "class", "point", "bucket", "blob"]
+FILED = ["doc_id", "text_hash", "n", "class", "spare", "point", "bucket", "blob"]
 
 
 def shared_cells(blobs: DataFrame, buckets: int) -> DataFrame:
@@ -236,12 +287,15 @@ def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                p, q = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.int32).reshape(-1, DIMENSIONS) for i in (2, 3))
+                p, q = (widened(batch.column(i).to_pylist()) for i in (2, 3))
                 keep = linked(np.minimum(p, q).sum(axis=1, dtype=np.int64), p.sum(axis=1, dtype=np.int64), q.sum(axis=1, dtype=np.int64))
                 yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    narrow = lambda side: sets.select(F.col("class").alias(side), F.col("n").alias(f"n{side}"), F.col("point").alias(f"p{side}"))
-    joined = pairs.join(narrow("a"), "a").join(narrow("b"), "b").where("5 * na >= 4 * nb and 5 * nb >= 4 * na")
+    sizes = lambda side: sets.select(F.col("class").alias(side), F.col("n").alias(f"n{side}"))
+    points = lambda side: sets.select(F.col("class").alias(side), F.col("point").alias(f"p{side}"))
+    # sizes rule out most pairs; points, which are wider, join the rest
+    sized = pairs.join(sizes("a"), "a").join(sizes("b"), "b").where("5 * na >= 4 * nb and 5 * nb >= 4 * na")
+    joined = sized.select("a", "b").join(points("a"), "a").join(points("b"), "b")
     return joined.select("a", "b", "pa", "pb").mapInArrow(rows, "a bigint, b bigint")
 
 
@@ -262,15 +316,30 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("a", "b", "ta", "tb").mapInArrow(rows, "a bigint, b bigint")
 
 
+def undecided(members: DataFrame) -> DataFrame:
+    """cell and size k of the cells that hold several components."""
+    sides = members.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k"))
+    return sides.where("lo <> hi").select("cell", "k")
+
+
+def thinned(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``members`` without those that leave crowded cells: they have no more of them than cells to spare."""
+    crowded = written(undecided(members).where(F.col("k") > BLOCK).select("cell"), "crowded")
+    inside = members.join(crowded, "cell", "left_semi")
+    often = inside.groupBy("class").agg(F.count(F.lit(1)).alias("crowded"))
+    need = often.join(sets.select("class", "spare"), "class").where("crowded > spare").select("class")
+    return members.join(crowded, "cell", "left_anti").unionByName(inside.join(need, "class", "left_semi").select(members.columns))
+
+
 def tree_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of different components that meet in a cell and whose bound allows a link.
 
-    ``members``: cell, class, component. A cell's classes fall into blocks by hash; each pair of blocks is a search of its
-    own: an R-tree over one block, the other one's points as queries.
+    ``members``: cell, class, component, each once; sets meet in at least one cell more than they have to spare. A cell's
+    classes fall into blocks by hash; each pair of blocks is a search of its own: an R-tree over one block, the other one's
+    points as queries.
     """
-    several = members.groupBy("cell").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k")
-    ).where("lo <> hi")
+    members = written(thinned(members, sets), "members")
+    several = undecided(members)
     placed = (
         members.join(several.select("cell", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), "cell")
         .withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
@@ -301,7 +370,7 @@ def tree_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
         right: list[int] = []
         for held in searches(batches):
             names, parts, blocks, sizes = (np.array([h[k] for h in held]) for k in range(4))
-            vectors = np.frombuffer(b"".join(h[4] for h in held), np.int32).reshape(-1, DIMENSIONS)
+            vectors = widened([h[4] for h in held])
             one = blocks == blocks.min()
             two = ~one if (~one).any() else one
             tree, inside = RTree(vectors[one], sizes[one]), np.flatnonzero(one)
@@ -329,7 +398,7 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     involved = members.select("class").union(members.select("pivot")).distinct()
     place = F.coalesce("doc_id", F.lit(LAST)).alias("place")
     points = written(
-        table.where("bucket is null").select("class", place, "text_hash", "n", "point").join(involved, "class").dropDuplicates(["class"]),
+        table.where("bucket is null").select("class", place, "text_hash", "n", "spare", "point").join(involved, "class").dropDuplicates(["class"]),
         "points",
     )
 
@@ -345,7 +414,7 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     labelled = all_members.join(joined, F.col("class") == F.col("node"), "left").select(
         "cell", "class", F.coalesce("component", "class").alias("component")
     )
-    more = checked(tree_pairs(labelled, points).distinct())
+    more = checked(tree_pairs(written(labelled, "labelled"), points).distinct())
     return known, components(links.unionByName(more))
 
 
@@ -354,6 +423,10 @@ def representatives(docs: DataFrame) -> DataFrame:
 
     Documents without words are linked with nothing, so they all stay.
     """
+    return settled(docs.sparkSession, lambda: _representatives(docs), "representatives")
+
+
+def _representatives(docs: DataFrame) -> DataFrame:
     known, joined = link_classes(docs)
     at = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("place"), "text_hash")
     placed = known.join(joined, F.col("class") == F.col("node"), "left").select(
@@ -369,6 +442,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     A document without words is linked with nothing, so it is its own component. Documents with equal sets are linked.
     Rows with a null doc_id take part; a component of such rows alone has a null id. Repeated rows are equal documents.
     """
+    return settled(docs.sparkSession, lambda: _components(docs), "components")
+
+
+def _components(docs: DataFrame) -> DataFrame:
     known, joined = link_classes(docs)
     labelled = known.join(joined, F.col("class") == F.col("node"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "class")).alias("_group")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import slices, written
+from creditloom.llm.common import settled, slices, written
 from creditloom.llm.spans import keyed, lists, runs, sliding, spans_by_document, with_texts
 from creditloom.llm.words import prefix_hashes, span_hashes
 
@@ -344,6 +344,15 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     Every byte covered by ``size`` bytes that also start anywhere else goes, in all copies. Repeated rows are copies of
     each other, null texts are empty, a null doc_id takes part like any other; other columns are ignored.
     """
+    return settled(docs.sparkSession, lambda: _removed(docs, size), "removed")
+
+
+def without_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """What ``cut_out`` returns for the repeated passages of ``docs``: the documents that lose bytes and what is left."""
+    return settled(docs.sparkSession, lambda: cut_out(docs, repeated_spans(docs, size)[1], size), "cut")
+
+
+def _removed(docs: DataFrame, size: int) -> DataFrame:
     known, spans = repeated_spans(docs, size)
     changed = cut_out(docs, spans, size).select(
         F.col("place").alias("_place"), F.col("text_hash").alias("_hash"), "n_removed", "n_spans", F.col("kept_sha256").alias("_sha")

@@ -67,6 +67,56 @@ def test_cells_of_linked_sets_meet():
             assert np.intersect1d(shingle_join.cells(a), shingle_join.cells(b)).size
 
 
+def test_linked_sets_meet_in_spare_cells():
+    """In one cell more than either has to spare, whatever crowds the others."""
+    rng = np.random.default_rng(13)
+    met = 0
+    for _ in range(1500):
+        n = int(rng.choice([rng.integers(1, 80), rng.integers(80, 300), rng.integers(300, 3000)]))
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        lost = int(rng.integers(0, 1 + len(a) // 9))
+        keep = np.sort(rng.permutation(a)[lost:])
+        b = np.unique(np.concatenate([keep, rng.integers(0, 2**63, int(rng.integers(0, 1 + len(a) // 9)), dtype=np.uint64)]))
+        if len(b) and shingle_join.linked(len(np.intersect1d(a, b)), len(a), len(b)):
+            least = max(shingle_join.spare(len(a)), shingle_join.spare(len(b)))
+            met += least > 0
+            assert np.intersect1d(shingle_join.cells(a), shingle_join.cells(b)).size > least
+    assert met > 300
+
+
+def test_points_keep_their_counts():
+    counts = [np.zeros(256, np.int32), np.full(256, 255, np.int32), np.full(256, 256, np.int32), np.full(256, 70_000, np.int32)]
+    blobs = [shingle_join.narrowed(c) for c in counts]
+    assert [len(b) for b in blobs] == [256, 256, 512, 1024]
+    assert np.array_equal(shingle_join.widened(blobs), np.array(counts))
+
+
+def test_crowded_cells_lose_no_link(spark, monkeypatch, multiset):
+    """Texts that share a passage, some of them near copies: small blocks make many cells crowded."""
+    monkeypatch.setattr(shingle_join, "BLOCK", 5)
+    rng = random.Random(21)
+    prose = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    shared, texts = prose(60), []
+    for _ in range(60):
+        own = prose(240)
+        texts.append(own + shared)
+        near = list(own)
+        for _ in range(rng.choice([0, 1, 3, 9])):
+            near[rng.randrange(240)] = "edit"
+        texts.append((shared + near) if rng.random() < 0.3 else near + shared)
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    sets = [set(zip(*[t[k:] for k in range(5)], strict=False)) for t in texts]
+    least = list(range(len(texts)))
+    for _ in range(5):
+        for i in range(len(texts)):
+            for j in range(i):
+                if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                    least[i] = least[j] = min(least[i], least[j])
+    want = {(i, len(s), least[i]) for i, s in enumerate(sets)}
+    got = shingle_join.jaccard_components(table)
+    assert set(multiset(got, "doc_id", "n_shingles", "component_id")) == want and len({w[2] for w in want}) < 100
+
+
 def test_tree_finds_every_linked_point():
     rng = np.random.default_rng(4)
     base = [rng.integers(0, 2**63, int(rng.integers(5, 300)), dtype=np.uint64) for _ in range(40)]
@@ -87,8 +137,8 @@ def test_cells_with_several_components_are_searched_in_blocks(spark, monkeypatch
     sets = [np.sort(rng.integers(0, 2**63, 50, dtype=np.uint64)) for _ in range(40)]
     sets += [np.sort(np.concatenate([s[1:], rng.integers(0, 2**63, 1, dtype=np.uint64)])) for s in sets]
     table = spark.createDataFrame(
-        [(i, len(s), bytearray(shingle_join.point(s).tobytes()), bytearray(s.tobytes())) for i, s in enumerate(sets)],
-        "class long, n long, point binary, tokens binary",
+        [(i, len(s), 0, bytearray(shingle_join.narrowed(shingle_join.point(s))), bytearray(s.tobytes())) for i, s in enumerate(sets)],
+        "class long, n long, spare int, point binary, tokens binary",
     )
     members = spark.range(len(sets)).select(F.lit(1).cast("long").alias("cell"), F.col("id").alias("class"), F.col("id").alias("component"))
     pairs = shingle_join.verified(shingle_join.tree_pairs(members, table).distinct(), table)
@@ -212,6 +262,20 @@ def test_repeated_words(docs, plain, multiset, monkeypatch, held):
     assert multiset(substrings.remove_repeats(docs), *WORDS) == without_word_repeats(plain, 13)
 
 
+def test_scratch_tables_go(spark, docs):
+    """Only a query's own narrow result stays in the shared folder."""
+    from pathlib import Path
+
+    from creditloom.session import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:")) / "creditloom"
+    for query in (shingle_join.jaccard_components, shingle_join.representatives, suffixes.remove_repeats):
+        before = set(folder.iterdir()) if folder.exists() else set()
+        rows = query(docs)
+        after = set(folder.iterdir()) - before
+        assert len(after) == 1 and rows.count() > 0
+
+
 def test_empty_tables(empty):
     assert shingle_join.jaccard_components(empty).count() == 0
     assert suffixes.remove_repeats(empty).count() == 0
