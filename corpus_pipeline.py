@@ -46,8 +46,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A piece of a character at a cut goes with the passage; ``n_chars`` follows the text.
     """
     importable(spark)
-    _, spans = suffixes.repeated_spans(docs)
-    changed = suffixes.cut_out(docs, spans).select(
+    changed = suffixes.without_repeats(docs).select(
         F.col("place").alias("_place"), F.col("text_hash").alias("_text_hash"), F.col("kept").alias("_kept")
     )
     joined = _keyed(docs).join(changed, ["_place", "_text_hash"], "left")
