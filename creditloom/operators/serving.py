@@ -107,6 +107,47 @@ def search_customers(
     return found.orderBy(F.desc("credit_score"), "customer_id").limit(limit)
 
 
+SEARCH_COLUMNS = ["age", "income", "employment_type", "credit_score", "risk_level", "default_probability"]
+GRAM = 3  # characters of the longest index entry
+
+
+def search_rows(profiles: DataFrame, scores: DataFrame, features: DataFrame) -> DataFrame:
+    """What a search shows of every complete customer."""
+    found = profiles.join(scores.select("customer_id", *SEARCH_COLUMNS[3:]), "customer_id")
+    return found.join(features.select("customer_id"), "customer_id", "left_semi").select("customer_id", *SEARCH_COLUMNS)
+
+
+def search_grams(rows: DataFrame) -> DataFrame:
+    """gram and customer_id: every one to three characters in a row that an id holds, once, in the order of grams."""
+    text = F.col("customer_id").cast("string")
+    size = F.length(text)
+
+    def pieces(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1)))
+        return F.when(size >= n, F.transform(places, lambda at: F.substr(text, at, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    every = F.array_distinct(F.concat(*[pieces(n) for n in range(1, GRAM + 1)]))
+    listed = rows.where("customer_id IS NOT NULL").select(F.explode(every).alias("gram"), "customer_id")
+    return listed.repartitionByRange("gram", "customer_id").sortWithinPartitions("gram", "customer_id")
+
+
+def search_indexed(rows: DataFrame, grams: DataFrame, text: str | None = None, limit: int = 50) -> DataFrame:
+    """``search_customers`` over the two tables above: ids that hold all pieces of ``text`` are looked at, no others.
+
+    Pieces are those of three characters, or the text itself where it is shorter.
+    """
+    wanted = text.strip() if text else ""
+    if not wanted:
+        return rows.orderBy(F.desc("credit_score"), "customer_id").limit(limit)
+    size = min(GRAM, len(wanted))
+    pieces = sorted({wanted[i : i + size] for i in range(len(wanted) - size + 1)})
+    lists = grams.where(F.col("gram").isin(pieces))
+    if len(pieces) > 1:
+        lists = lists.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(pieces))
+    ids = lists.where(F.col("customer_id").cast("string").contains(wanted)).select("customer_id")
+    return rows.join(ids, "customer_id", "left_semi").orderBy(F.desc("credit_score"), "customer_id").limit(limit)
+
+
 def customer_profile(profiles: DataFrame) -> DataFrame:
     return profiles.select(*PROFILE_COLUMNS)
 

@@ -186,19 +186,12 @@ def event_usage(transactions: DataFrame) -> DataFrame:
 SORT_COLUMNS = ("transaction_date", "activity", "amount", "expected_amount", "status", "reference")
 
 
-def transactions_page(
-    recent: DataFrame,
-    transaction_type: str | None = None,
-    sort_by: str = "transaction_date",
-    descending: bool = True,
-    page: int = 1,
-    page_size: int = 20,
-) -> DataFrame:
-    """One page of every customer's recent transactions; a page too far gives the last one."""
+INDEX_ROWS = 200  # of a customer's ordered transactions per entry of a page index
+
+
+def _sort_key(sort_by: str) -> Column:
     if sort_by not in SORT_COLUMNS:
         raise ValueError(f"sort_by is one of {SORT_COLUMNS}")
-    if transaction_type:
-        recent = recent.where(F.col("transaction_type") == transaction_type)
     keys = {
         "transaction_date": F.coalesce("transaction_date", F.lit("1970-01-01").cast("date")),
         "activity": F.col("activity"),
@@ -207,8 +200,85 @@ def transactions_page(
         "status": F.col("tone"),
         "reference": F.coalesce("reference_id", F.lit("")),
     }
-    key = keys[sort_by].desc() if descending else keys[sort_by].asc()
-    totals = recent.groupBy("customer_id").agg(F.ceil(F.count(F.lit(1)) / page_size).cast("int").alias("pages"))
-    rows = ranked_rows(labelled_events(recent), [key, F.col("rank").asc()], "place").join(totals, "customer_id")
+    return keys[sort_by]
+
+
+def _sortable(recent: DataFrame, sort_by: str, transaction_type: str | None) -> DataFrame:
+    if transaction_type:
+        recent = recent.where(F.col("transaction_type") == transaction_type)
+    return labelled_events(recent).withColumn("_key", _sort_key(sort_by))
+
+
+def page_index(
+    recent: DataFrame,
+    sort_by: str = "transaction_date",
+    descending: bool = True,
+    transaction_type: str | None = None,
+    rows_per_entry: int = INDEX_ROWS,
+) -> DataFrame:
+    """Per customer and ``rows_per_entry`` transactions in order: first and last place, the sort key and rank of both, and
+    how many transactions the customer has. Stored once, it tells where a page lies without sorting anything."""
+    rows = _sortable(recent, sort_by, transaction_type).select("customer_id", "_key", "rank")
+    order = [F.col("_key").desc() if descending else F.col("_key").asc(), F.col("rank").asc()]
+    placed = ranked_rows(rows, order, "place")
+    entry = F.floor((F.col("place") - 1) / rows_per_entry)
+    at = F.struct(F.col("_key").alias("key"), F.col("rank").alias("rank"))
+    entries = placed.groupBy("customer_id", entry.alias("entry")).agg(
+        F.min("place").alias("first"), F.max("place").alias("last"), F.min_by(at, "place").alias("low"), F.max_by(at, "place").alias("high")
+    )
+    sizes = placed.groupBy("customer_id").agg(F.count(F.lit(1)).alias("total"))
+    return entries.join(sizes, "customer_id")
+
+
+def indexed_page(
+    recent: DataFrame,
+    index: DataFrame,
+    sort_by: str = "transaction_date",
+    descending: bool = True,
+    transaction_type: str | None = None,
+    page: int = 1,
+    page_size: int = 20,
+) -> DataFrame:
+    """``transactions_page`` by an index with the same order and type: only the rows of the entries that a page lies in
+    are compared and sorted, some hundreds per customer."""
+    pages = F.ceil(F.col("total") / page_size).cast("int")
+    shown = F.least(F.lit(page), pages)
+    sized = index.withColumn("pages", pages).withColumn("page", shown)
+    holds = (F.col("first") <= F.col("page") * page_size) & (F.col("last") > (F.col("page") - 1) * page_size)
+    ranges = sized.where(holds).groupBy("customer_id", "pages", "page").agg(
+        F.min("first").alias("first"), F.min_by("low", "first").alias("low"), F.max_by("high", "first").alias("high")
+    )
+    rows = _sortable(recent, sort_by, transaction_type).join(ranges, "customer_id")
+    key, rank = F.col("_key"), F.col("rank")
+
+    def comes_before(a: Column, a_rank: Column, b: Column, b_rank: Column) -> Column:
+        ahead = a > b if descending else a < b
+        return ahead | ((a == b) & (a_rank <= b_rank))
+
+    inside = rows.where(comes_before(F.col("low.key"), F.col("low.rank"), key, rank)).where(
+        comes_before(key, rank, F.col("high.key"), F.col("high.rank"))
+    )
+    order = [key.desc() if descending else key.asc(), rank.asc()]
+    local = F.row_number().over(Window.partitionBy("customer_id").orderBy(*order))
+    placed = inside.withColumn("place", (F.col("first") - 1 + local).cast("int"))
+    return placed.where(F.ceil(F.col("place") / page_size) == F.col("page")).drop("_key", "first", "low", "high")
+
+
+def transactions_page(
+    recent: DataFrame,
+    transaction_type: str | None = None,
+    sort_by: str = "transaction_date",
+    descending: bool = True,
+    page: int = 1,
+    page_size: int = 20,
+) -> DataFrame:
+    """One page of every customer's recent transactions; a page too far gives the last one."""
+    rows = _sortable(recent, sort_by, transaction_type)
+    key = F.col("_key").desc() if descending else F.col("_key").asc()
+    placed = ranked_rows(rows, [key, F.col("rank").asc()], "place").drop("_key")
+    totals = recent if not transaction_type else recent.where(F.col("transaction_type") == transaction_type)
+    totals = totals.groupBy("customer_id").agg(F.ceil(F.count(F.lit(1)) / page_size).cast("int").alias("pages"))
     shown = F.least(F.lit(page), F.col("pages"))
-    return rows.withColumn("page", shown).where(F.ceil(F.col("place") / page_size) == F.col("page"))
+    return placed.join(totals, "customer_id").withColumn("page", shown).where(
+        F.ceil(F.col("place") / page_size) == F.col("page")
+    )

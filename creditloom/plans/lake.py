@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditloom.functions import scoring
-from creditloom.operators import bronze, features, silver
+from creditloom.operators import bronze, features, serving, silver, views
 from creditloom.operators import state as states
 from creditloom.operators.events import event_transactions, known_customers, normalize_events
 from creditloom.operators.keyed import first_per_key
@@ -21,7 +21,7 @@ from creditloom.operators.scores import score_customers
 from creditloom.operators.training import TrainedModel, fit_scoring
 from creditloom.session import fresh_path
 from creditloom.sources import standin
-from creditloom.sources.files import write_layer
+from creditloom.sources.files import write_bucketed, write_layer
 from creditloom.streaming.live import LiveRefresh
 from creditloom.streaming.source import event_stream
 
@@ -40,10 +40,19 @@ MODEL_WEIGHTS = {
 CONFIG = scoring.PUBLISHED
 
 _published: dict[tuple[str, str, str, str], str] = {}
+_bucketed: dict[tuple[str, str, str, str], DataFrame] = {}
 _trained: dict[tuple[str, str, str], TrainedModel] = {}
 _live: dict[tuple[str, str, str], LiveRefresh] = {}
 
 
+# Tables kept in buckets, and their keys.
+BUCKETED = {
+    "state": ["customer_id"],
+    "accounts": ["customer_id", "reference_id"],
+    "search_rows": ["customer_id"],
+}
+
+
 def model_probability() -> Column:
     return scoring.linear_probability(MODEL_WEIGHTS, MODEL_INTERCEPT)
 
@@ -151,7 +160,7 @@ class Lake:
         return states.known_accounts(self.table("transactions"))
 
     def trail(self) -> DataFrame:
-        return states.trail_measures(self.event_transactions(), self.table("state"), self.table("accounts"))
+        return states.trail_measures(self.event_transactions(), self.bucketed("state"), self.bucketed("accounts"))
 
     def live(self) -> LiveRefresh:
         """The live tables after all events of this lake went through the stream, once per session."""
@@ -171,6 +180,20 @@ class Lake:
             _live[key] = refresh
         return _live[key]
 
+    # indexes ------------------------------------------------------------------------------------
+
+    def recent(self) -> DataFrame:
+        return serving.recent_transactions(self.table("transactions"))
+
+    def pages_by_amount(self) -> DataFrame:
+        return views.page_index(self.table("recent"), "amount", descending=False)
+
+    def search_rows(self) -> DataFrame:
+        return serving.search_rows(self.table("profile"), self.table("scores"), self.table("features"))
+
+    def search_grams(self) -> DataFrame:
+        return serving.search_grams(self.bucketed("search_rows"))
+
     # published ----------------------------------------------------------------------------------
 
     def table(self, name: str) -> DataFrame:
@@ -181,3 +204,11 @@ class Lake:
             root = fresh_path(self.spark, "lake")
             _published[key] = write_layer(build(), root, "published", name)
         return self.spark.read.parquet(_published[key])
+
+    def bucketed(self, name: str) -> DataFrame:
+        """A table of this lake in buckets by its key, for joins that leave it where it is."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, str(self.as_of), name)
+        if key not in _bucketed:
+            build: Callable[[], DataFrame] = getattr(self, name)
+            _bucketed[key] = write_bucketed(build(), fresh_path(self.spark, "lake"), name, BUCKETED[name])
+        return _bucketed[key]

@@ -102,7 +102,7 @@ def rejected_events(lake: Lake) -> DataFrame:
 )
 def what_if_scores(lake: Lake) -> DataFrame:
     scenarios = lake.normalized_events().withColumnRenamed("transaction_id", "scenario_id")
-    features = state.what_if_features(scenarios, lake.table("state"), lake.table("accounts"), lake.as_of)
+    features = state.what_if_features(scenarios, lake.bucketed("state"), lake.bucketed("accounts"), lake.as_of)
     asked = ["scenario_id", "transaction_type", "status", "expected_amount", "transaction_date"]
     projected = score_customers(features, model_probability(), CONFIG, F.col("created_at"), asked)
     previous = lake.table("scores").select("customer_id", F.col("credit_score").alias("previous_credit_score"))

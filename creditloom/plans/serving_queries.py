@@ -57,6 +57,17 @@ def search_customers(lake: Lake) -> DataFrame:
     return _rounded(found)
 
 
+@query(
+    """SELECT p.customer_id, p.age, p.income, p.employment_type, s.credit_score, s.risk_level,
+       round(s.default_probability, 9) AS default_probability
+       FROM profile p JOIN current_scores s ON s.customer_id = p.customer_id
+       WHERE CAST(p.customer_id AS VARCHAR) LIKE '%12%'
+       ORDER BY s.credit_score DESC, p.customer_id LIMIT 200"""
+)
+def search_by_grams(lake: Lake) -> DataFrame:
+    return _rounded(serving.search_indexed(lake.bucketed("search_rows"), lake.table("search_grams"), "12", 200))
+
+
 @query("SELECT * FROM profile")
 def customer_profile(lake: Lake) -> DataFrame:
     return serving.customer_profile(lake.table("profile"))

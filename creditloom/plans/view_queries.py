@@ -173,7 +173,8 @@ def event_usage(lake: Lake) -> DataFrame:
        WHERE ceil(place / 20.0) = page"""
 )
 def transactions_page(lake: Lake) -> DataFrame:
-    page = views.transactions_page(_recent(lake), sort_by="amount", descending=False, page=2)
+    index = lake.table("pages_by_amount")
+    page = views.indexed_page(lake.table("recent"), index, sort_by="amount", descending=False, page=2)
     return page.select("customer_id", "transaction_id", "place", "page", "pages")
 
 

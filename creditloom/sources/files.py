@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -109,6 +110,19 @@ def write_layer(
     return path
 
 
+def write_bucketed(df: DataFrame, root: str, table: str, keys: Sequence[str], buckets: int | None = None) -> DataFrame:
+    """A table in buckets by ``keys``, sorted inside, read back as such: a join on the keys moves the other side only.
+
+    ``buckets`` defaults to the session's shuffle partitions. The name it gets in the catalog is the session's own.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"{table}_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
+    dealt.option("path", f"{root}/bucketed/{table}").format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def write_serving(df: DataFrame, root: str, table: str, cluster_by: Sequence[str]) -> str:
     """Replace a serving table, range-clustered so that row-group statistics find one customer.
 
