@@ -34,7 +34,7 @@ LONGEST = 1024  # windows in a run
 SLICE = 2 << 20
 PIECE = 1 << 19  # windows of a text that are looked at together
 AT_ONCE = 1 << 19  # symbols of a sort: names have to fit into 21 bits
-WIDE = 1 << 19
+WIDE = 1 << 20
 
 
 # suffix sorting --------------------------------------------------------------------------------------
