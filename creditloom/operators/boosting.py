@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditloom.operators.running import running
-from creditloom.session import fresh_path, importable
+from creditloom.session import fresh_path, importable, remove
 
 STEP_ROWS = 20_000  # a leaf with no more rows is grown by one task
 WRITE_EVERY = 10  # trees after which margins are written
@@ -563,6 +563,14 @@ def _kept(state: DataFrame) -> DataFrame:
     return state.sparkSession.read.schema(STATE).parquet(path).persist()
 
 
+def _dropped(state: DataFrame) -> None:
+    """The end of a table that ``_kept`` returned."""
+    files = state.inputFiles()
+    state.unpersist()
+    if files:
+        remove(state.sparkSession, files[0].rsplit("/", 1)[0])
+
+
 def scale_for(weight: float) -> int:
     """Binary digits of a gradient behind the point: sums of all rows stay within 63 bits."""
     return min(32, 61 - max(0, math.ceil(math.log2(weight + 1))))
@@ -591,8 +599,8 @@ def fit(rows: DataFrame, columns: Sequence[str], label: str, weight: str, growth
         since.append(tree)
         if len(since) == WRITE_EVERY and number + 1 < growth.trees:
             before, state, since = state, _kept(with_margins(state, since)), []
-            before.unpersist()
-    state.unpersist()
+            _dropped(before)
+    _dropped(state)
     return BoostedTrees(list(columns), edges, base, trees)
 
 
@@ -603,7 +611,7 @@ def first_tree(rows: DataFrame, columns: Sequence[str], label: str, weight: str,
     """
     state, edges, _, scale, count = start(rows, columns, label, weight, growth)
     _, steps = grow_tree(Round(state, (), scale, rules_for(growth, 0, columns, edges, scale)), count, growth)
-    state.unpersist()
+    _dropped(state)
     found = [
         (i, s.leaf, columns[s.split.feature], float(edges[s.split.feature][s.split.bin]), s.split.gain, s.split.left[2], s.split.right[2])
         for i, s in enumerate(steps, 1)

@@ -17,7 +17,7 @@ from creditloom.operators.boosting import BoostedTrees, Growth
 from creditloom.operators.running import running
 from creditloom.operators.scores import model_probabilities
 from creditloom.schemas import FEATURE_COLUMNS
-from creditloom.session import fresh_path, shared_dir
+from creditloom.session import fresh_path, remove, shared_dir
 
 LABEL = "default_flag"
 
@@ -183,6 +183,7 @@ def platt_steps(
         steps.append((a, b, now[0]))
         if max(abs(da), abs(db)) * size <= 1e-9 * max(1.0, abs(a), abs(b)):
             break  # the next step would be below the last digits
+    remove(scored.sparkSession, path)
     return PlattFit(a, b, steps)
 
 

@@ -21,6 +21,8 @@ def build_session(app_name: str = "creditloom", master: str | None = None, **con
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # files of checkpoints that nothing refers to any more are deleted
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # recording a Python call site for every column expression slows plan building
         "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
@@ -68,3 +70,9 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that nothing has written to yet."""
     return f"{shared_dir(spark).rstrip('/')}/creditloom/{label}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch folder; one that isn't there is no error."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
