@@ -4,8 +4,8 @@ Bytes are embedded, learned filters slide over them, and each filter's largest a
 by half and cover the whole document; their answers are combined by mean and maximum into one vector and that into
 one probability. Only the text is an input.
 
-The model is fitted on the driver on a bounded sample of labelled documents, ``rows`` per class, each
-contributing at most ``chunks`` evenly spread chunks; scoring reads every byte of every document, in tasks.
+The model is fitted on the driver on a bounded sample of labelled documents, ``rows`` per class, with their whole texts;
+scoring reads every byte of every document, in tasks.
 """
 
 from __future__ import annotations
@@ -22,8 +22,7 @@ from pyspark.sql import functions as F
 from creditloom.llm.common import slices
 
 ROWS_PER_CLASS = 700  # bound of the training sample
-CHUNKS = 32  # half chunks a training document contributes at most
-EPOCHS = 6
+EPOCHS = 16
 BATCH = 32
 HALF = 256  # bytes of half a chunk
 STRIDE = 4
@@ -95,12 +94,8 @@ def score(net: Net, texts: list[bytes]) -> np.ndarray:
 # fitting -------------------------------------------------------------------------------------------
 
 
-def spread(text: bytes, chunks: int) -> bytes:
-    """The text, or evenly spread half chunks of a longer one (for fitting only)."""
-    n = len(text) // HALF
-    if n <= chunks:
-        return text
-    return b"".join(text[i * HALF : (i + 1) * HALF] for i in np.linspace(0, n - 1, chunks).astype(int))
+def parts(n: int) -> list[slice]:
+    return [slice(a, a + AT_ONCE) for a in range(0, n, AT_ONCE)]
 
 
 def gradients(net: Net, texts: list[bytes], labels: np.ndarray) -> Net:
@@ -108,15 +103,18 @@ def gradients(net: Net, texts: list[bytes], labels: np.ndarray) -> Net:
     values = [padded(t) for t in texts]
     counts = [len(v) // HALF for v in values]
     seen = windows(values)
-    embedded = net.embedding[seen.reshape(-1)].reshape(*seen.shape[:2], -1)
-    answers = embedded @ net.filters
-    best = answers.argmax(axis=1)
-    raw = np.take_along_axis(answers, best[:, None, :], axis=1)[:, 0] + net.bias
+    k = net.filters.shape[1]
+    best = np.empty((len(seen), k), dtype=np.int64)
+    raw = np.empty((len(seen), k), dtype=net.filters.dtype)
+    for part in parts(len(seen)):  # a long text is never held in embedded form
+        embedded = net.embedding[seen[part].reshape(-1)].reshape(*seen[part].shape[:2], -1)
+        answers = embedded @ net.filters
+        best[part] = answers.argmax(axis=1)
+        raw[part] = answers.max(axis=1) + net.bias
     halves = np.maximum(raw, 0)
     chunks, vectors = combined(halves, counts)
     error = (probability(net, vectors) - labels).astype(np.float32) / len(labels)
 
-    k = net.filters.shape[1]
     back = np.zeros_like(halves)
     at = 0
     for chunk, n, e in zip(chunks, counts, error, strict=True):
@@ -131,12 +129,15 @@ def gradients(net: Net, texts: list[bytes], labels: np.ndarray) -> Net:
             back[at : at + n] += grad
         at += n
     back *= raw > 0
-    index = np.arange(len(best))[:, None]
-    inputs = embedded[index, best]  # (halves, FILTERS, WIDTH * EMBEDDED)
-    filters = np.einsum("hfw,hf->wf", inputs, back, optimize=True)
-    spread_back = back[:, :, None] * net.filters.T[None]
-    embedding = np.zeros_like(net.embedding)
-    np.add.at(embedding, seen[index, best].reshape(-1), spread_back.reshape(-1, net.embedding.shape[1]))
+    filters, embedding = np.zeros_like(net.filters), np.zeros_like(net.embedding)
+    for part in parts(len(seen)):
+        chosen = seen[part][np.arange(len(best[part]))[:, None], best[part]]  # (halves, FILTERS, WIDTH) bytes
+        inputs = net.embedding[chosen.reshape(-1)].reshape(*chosen.shape[:2], -1)
+        filters += np.einsum("hfw,hf->wf", inputs, back[part], optimize=True)
+        shares = (back[part][:, :, None] * net.filters.T[None]).reshape(-1, embedding.shape[1])
+        at = chosen.reshape(-1)
+        for d in range(embedding.shape[1]):
+            embedding[:, d] += np.bincount(at, shares[:, d], len(embedding)).astype(embedding.dtype)
     return Net(embedding, filters, back.sum(axis=0), vectors.T @ error, np.array([error.sum()], dtype=np.float32))
 
 
@@ -174,9 +175,7 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(
-    docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS, chunks: int = CHUNKS, epochs: int = EPOCHS
-) -> Net:
+def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS, epochs: int = EPOCHS) -> Net:
     """Fits on the labelled documents with the ``rows`` smallest hashes of each class, none of them held out.
 
     A document labelled twice counts with its smaller label; null labels, ids and texts are left out. Without
@@ -196,12 +195,11 @@ def train(
     if chosen is None:
         return fit([], np.zeros(0), 0.5, 0)
     texts = docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text")).where("_text is not null")
-    spread_text = F.udf(lambda t: spread(t.encode(), chunks), "binary")
     sample = (
         texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))  # at most ``rows`` ids per class
         .groupBy("_id", "_label")
         .agg(F.min("_text").alias("_text"))
-        .select("_id", "_label", spread_text("_text").alias("_text"))
+        .select("_id", "_label", F.col("_text").cast("binary").alias("_text"))
         .orderBy("_id")
         .collect()
     )
