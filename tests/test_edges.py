@@ -96,6 +96,14 @@ def test_ties_up_for_browser_text(spark, rows):
 # --- keys ----------------------------------------------------------------------------------------
 
 
+def test_amounts_that_cannot_be_added_up_are_unreadable(spark, rows):
+    """Infinite, NaN and too large amounts are missing ones, in every layout; the rest of the row stays."""
+    bad = ['{"A":1e31,"N":"x"}', '{"A":"Infinity","N":"x"}', '{"A":NaN,"N":"x"}', '{"A":-1e20,"N":"x"}', '{"A":"1e400","N":"x"}']
+    good = ['{"A":9e19,"N":"x"}', '{"A" : " 12.5 " , "N":"x"}', '{"A":12.5,"N":"x"}', '{"A":-0.5,"N":"x"}']
+    parsed = silver.json_fields(raw_json(spark, *bad, *good), ("N",), (), ("A",))
+    assert [(r["A"], r["N"]) for r in rows(parsed, "key")] == [(None, "x")] * 5 + [(9e19, "x"), (12.5, "x"), (12.5, "x"), (-0.5, "x")]
+
+
 def test_first_per_key_is_the_same_for_any_partitioning(spark):
     values = [(i % 5, i % 7, f"v{i % 11}") for i in range(500)]
     results = set()
