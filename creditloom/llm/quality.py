@@ -86,9 +86,11 @@ def probability(net: Net, vectors: np.ndarray) -> np.ndarray:
 
 
 def score(net: Net, texts: list[bytes]) -> np.ndarray:
+    """Probabilities to 12 digits, in double precision: the same for a text in whatever batch it comes."""
+    net = Net(*(p.astype(np.float64) for p in net))
     values = [padded(t) for t in texts]
     halves = responses(net, values)
-    return probability(net, combined(halves, [len(v) // HALF for v in values])[1])
+    return np.round(probability(net, combined(halves, [len(v) // HALF for v in values])[1]), 12)
 
 
 # fitting -------------------------------------------------------------------------------------------

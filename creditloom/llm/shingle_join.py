@@ -13,9 +13,9 @@ Surviving pairs are verified on the sets. A first round verifies each cell's fir
 joins groups of near copies in time linear in their size; the R-trees then look only in cells that still hold
 different components, for pairs between those. Cells of any size are searched in blocks.
 
-Sets are filed under some more cells than the first D + 1 (``spare``), so linked sets meet as many times more. A set that
-lies in no more crowded cells than that meets each of its partners in another cell as well, and leaves the crowded
-ones: a passage that very many texts share crowds a few cells of each, and none of them has to be searched for it.
+Sets are filed under some more cells than the first D + 1 (``spare``), so linked sets meet as many times more, and each set
+leaves as many of its most crowded cells: the least crowded cell that two linked sets share has at least as many behind it
+in both. A passage that many texts share crowds a few cells of each, and none of them has to be searched for it.
 
 Equal sets are one class, known by a 64-bit hash. That a set of 64 and more tokens has fewer than D + 1 groups has a
 chance below 1e-9; shingles and classes are told apart by 64-bit hashes.
@@ -29,7 +29,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditloom.llm.common import settled, slices, written
@@ -323,12 +323,11 @@ def undecided(members: DataFrame) -> DataFrame:
 
 
 def thinned(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """``members`` without those that leave crowded cells: they have no more of them than cells to spare."""
-    crowded = written(undecided(members).where(F.col("k") > BLOCK).select("cell"), "crowded")
-    inside = members.join(crowded, "cell", "left_semi")
-    often = inside.groupBy("class").agg(F.count(F.lit(1)).alias("crowded"))
-    need = often.join(sets.select("class", "spare"), "class").where("crowded > spare").select("class")
-    return members.join(crowded, "cell", "left_anti").unionByName(inside.join(need, "class", "left_semi").select(members.columns))
+    """``members`` (cell, class and more, each once) without the cells, most crowded first, that each class can spare."""
+    sizes = members.groupBy("cell").agg(F.count(F.lit(1)).alias("_k"))
+    behind = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("_k"), F.desc("cell")))  # a document's cells
+    placed = members.join(sizes, "cell").join(sets.select("class", "spare"), "class").withColumn("_behind", behind)
+    return placed.where("_behind > spare").select(members.columns)
 
 
 def tree_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -338,7 +337,7 @@ def tree_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
     classes fall into blocks by hash; each pair of blocks is a search of its own: an R-tree over one block, the other one's
     points as queries.
     """
-    members = written(thinned(members, sets), "members")
+    members = written(thinned(members.join(undecided(members).select("cell"), "cell", "left_semi"), sets), "members")
     several = undecided(members)
     placed = (
         members.join(several.select("cell", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), "cell")
@@ -406,12 +405,14 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         kept = written(pairs, "pairs")
         return written(verified(kept, written(sets_of(kept, points, docs), "sets")), "verified")
 
-    stars = members.select(F.least("pivot", "class").alias("a"), F.greatest("pivot", "class").alias("b")).distinct()
+    everyone = written(members.select("cell", "class").union(members.select("cell", "pivot")).distinct(), "everyone")
+    kept = written(thinned(everyone, points), "kept")
+    first = kept.groupBy("cell").agg(F.min("class").alias("a"))
+    stars = kept.join(first, "cell").where("a < class").select("a", F.col("class").alias("b")).distinct()
     links = checked(bounded(stars, points))
     joined = components(links)
 
-    all_members = members.select("cell", "class").union(members.select("cell", "pivot")).distinct()
-    labelled = all_members.join(joined, F.col("class") == F.col("node"), "left").select(
+    labelled = everyone.join(joined, F.col("class") == F.col("node"), "left").select(
         "cell", "class", F.coalesce("component", "class").alias("component")
     )
     more = checked(tree_pairs(written(labelled, "labelled"), points).distinct())
