@@ -57,5 +57,54 @@ FROM a{rounds} JOIN c{rounds} USING (cluster)
 """
 
 
+# rows are told apart by their number, as ids may be null or repeated; a null id counts as the largest
+_WORDS = r"""
+numbered AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS place, coalesce({text}, '') AS body FROM documents
+),
+split AS MATERIALIZED (SELECT r, doc_id, place, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS words FROM numbered)"""
+
+SHINGLES = f"""
+WITH RECURSIVE {_WORDS.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")},
+shingles AS MATERIALIZED (
+    SELECT DISTINCT r, CASE WHEN len(words) < 5 THEN array_to_string(words, ' ') ELSE array_to_string(words[i:i + 4], ' ') END AS s
+    FROM split, unnest(range(1, greatest(len(words) - 3, 2))) AS t(i) WHERE len(words) > 0
+),
+sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+shared AS (SELECT a.r AS a, b.r AS b, count(*) AS common FROM shingles a JOIN shingles b ON a.s = b.s AND a.r <> b.r GROUP BY a.r, b.r),
+links AS MATERIALIZED (
+    SELECT a, b FROM shared JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE 100 * common >= 80 * (x.n + y.n - common)
+),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles,
+    CASE WHEN any_value(n) IS NULL THEN any_value(d.doc_id) ELSE least(any_value(d.doc_id), min(o.doc_id)) END AS component_id
+FROM split d LEFT JOIN sizes USING (r) LEFT JOIN reach ON reach.a = d.r LEFT JOIN split o ON o.r = reach.b
+GROUP BY d.r, d.doc_id
+"""
+
+PASSAGES = f"""
+WITH {_WORDS.format(text="text")},
+windows AS MATERIALIZED (
+    SELECT r, place, i, array_to_string(words[i:i + 12], ' ') AS k FROM split, unnest(range(1, len(words) - 11)) AS t(i)
+),
+earliest AS (SELECT k, min(place) AS least FROM windows GROUP BY k),
+gone AS MATERIALIZED (
+    SELECT DISTINCT r, i + o AS spot FROM windows JOIN earliest USING (k), range(13) AS t(o) WHERE least < place
+),
+placed AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS spot FROM split),
+kept AS (
+    SELECT r, string_agg(word, ' ' ORDER BY spot) AS body FROM placed LEFT JOIN gone USING (r, spot) WHERE gone.r IS NULL GROUP BY r
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, (SELECT count(*) FROM gone WHERE gone.r = split.r)::BIGINT AS n_removed,
+    sha256(coalesce(body, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (r)
+"""
+
+
 def statements() -> dict[str, str]:
-    return {"op11_warc_segments": PAGES, "op13_centroid_clusters": clusters(40, 5, 64, 2)}
+    return {
+        "op1_shingle_join": SHINGLES,
+        "op10_substring_dedup": PASSAGES,
+        "op11_warc_segments": PAGES,
+        "op13_centroid_clusters": clusters(40, 5, 64, 2),
+    }
