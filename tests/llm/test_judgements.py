@@ -169,11 +169,18 @@ def exact_neighbours(vectors, k, asks):
     return out
 
 
-def test_recall_and_scores(spark):
-    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+@pytest.mark.parametrize(("sample", "hot"), [(2000, 0), (200, 0), (200, 1000)])
+def test_recall_and_scores(spark, sample, hot):
+    """Also where the table is ten times the sample, and where a third of all vectors are near copies of one."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
     vectors = {r["vec_id"]: r["embedding"] for r in table.collect()}
+    if hot:
+        rng = np.random.default_rng(5)
+        copies = [(10_000 + i, [float(v) for v in np.array(vectors[0]) + rng.normal(0, 0.01, 64)]) for i in range(hot)]
+        vectors |= dict(copies)
+        table = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>").repartition(6)
     want = exact_neighbours(vectors, 10, [i for i in vectors if i % 100 == 0])
-    rows = neighbours.nearest(table, "vec_id % 100 = 0").collect()
+    rows = neighbours.nearest(table, "vec_id % 100 = 0", sample=sample).collect()
     found = 0
     for q, best in want.items():
         own = sorted((r for r in rows if r["query_id"] == q), key=lambda r: r["rank"])
