@@ -30,7 +30,7 @@ WIDTH = 8
 EMBEDDED = 8
 FILTERS = 24
 PAD = 256  # the byte value beyond the end of a text
-AT_ONCE = 1024  # half chunks held in embedded form
+AT_ONCE = 256  # half chunks held in embedded form
 
 
 class Net(NamedTuple):

@@ -9,7 +9,7 @@ A set is the distinct hashes of 5-word shingles. Its tokens are hashed into grou
 * Coarsely, into ``DIMENSIONS`` groups. The counts per group are a point, and the sum of the smaller coordinates bounds
   how many tokens two sets share. An R-tree over the points of a cell gives the pairs whose bound is high enough.
 
-Surviving pairs are verified on the sets. A first round verifies each cell's first set against the others, which
+Surviving pairs are verified on the sets. A first round verifies each set against the first sets of its most crowded cells, which
 joins groups of near copies in time linear in their size; the R-trees then look only in cells that still hold
 different components, for pairs between those. Cells of any size are searched in blocks.
 
@@ -41,8 +41,10 @@ SHINGLE = 5
 DIMENSIONS = 256
 SMALLEST = 64  # sizes from here on use one group per 1.4 tokens of the size class, smaller ones a group per token
 LEAF, FAN = 32, 16
+STARS = 6  # pairs of a set in the first round
 BLOCK = 512  # sets of a cell that one search holds
-SLICE = 2 << 20
+SLICE = 1 << 20
+HELD = 1 << 19  # cells of a bucket between two sorts
 NO_CLASS = 0
 
 
@@ -234,7 +236,7 @@ def shared_cells(blobs: DataFrame, buckets: int) -> DataFrame:
                 packed = np.frombuffer(blob, dtype=np.uint64, offset=8 + 8 * n)
                 known.setdefault(bucket, []).append((packed & ~np.uint64(0xFFFF), table[(packed & np.uint64(0xFFFF)).astype(np.int64)]))
                 held[bucket] = held.get(bucket, 0) + len(packed)
-                if held[bucket] > 1 << 20:
+                if held[bucket] > HELD:
                     yield from emit(known, held, bucket)
         for bucket in list(known):
             yield from emit(known, held, bucket, last=True)
@@ -257,7 +259,7 @@ def shared_cells(blobs: DataFrame, buckets: int) -> DataFrame:
             )
         known[bucket] = [] if last else [(cell[first], owner[first])]
         # wait for as many new cells as are held, so that sorting stays proportional to the input
-        held[bucket] = min(0, (1 << 20) - len(first))
+        held[bucket] = min(0, HELD - len(first))
 
     dealt = blobs.select("bucket", "blob").repartition(buckets, "bucket")
     return dealt.mapInArrow(rows, "cell bigint, pivot bigint, class bigint")
@@ -322,6 +324,17 @@ def undecided(members: DataFrame) -> DataFrame:
     return sides.where("lo <> hi").select("cell", "k")
 
 
+def stars(members: DataFrame) -> DataFrame:
+    """Pairs (a, b): each class and the smallest classes of its cells, those of its most crowded cells, ``STARS`` at most.
+
+    They join large groups of near copies before anything is searched; what they miss is left to the search.
+    """
+    sizes = members.groupBy("cell").agg(F.count(F.lit(1)).alias("k"), F.min("class").alias("a"))
+    met = members.join(sizes, "cell").where("a < class").groupBy("a", F.col("class").alias("b")).agg(F.max("k").alias("k"))
+    order = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("k"), "a"))  # no more than a document has cells
+    return met.withColumn("_order", order).where(F.col("_order") <= STARS).select("a", "b")
+
+
 def thinned(members: DataFrame, sets: DataFrame) -> DataFrame:
     """``members`` (cell, class and more, each once) without the cells, most crowded first, that each class can spare."""
     sizes = members.groupBy("cell").agg(F.count(F.lit(1)).alias("_k"))
@@ -406,10 +419,7 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return written(verified(kept, written(sets_of(kept, points, docs), "sets")), "verified")
 
     everyone = written(members.select("cell", "class").union(members.select("cell", "pivot")).distinct(), "everyone")
-    kept = written(thinned(everyone, points), "kept")
-    first = kept.groupBy("cell").agg(F.min("class").alias("a"))
-    stars = kept.join(first, "cell").where("a < class").select("a", F.col("class").alias("b")).distinct()
-    links = checked(bounded(stars, points))
+    links = checked(bounded(stars(everyone), points))
     joined = components(links)
 
     labelled = everyone.join(joined, F.col("class") == F.col("node"), "left").select(
