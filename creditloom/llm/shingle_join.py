@@ -9,7 +9,7 @@ A set is the distinct hashes of 5-word shingles. Its tokens are hashed into grou
 * Coarsely, into ``DIMENSIONS`` groups. The counts per group are a point, and the sum of the smaller coordinates bounds
   how many tokens two sets share. An R-tree over the points of a cell gives the pairs whose bound is high enough.
 
-Surviving pairs are verified on the sets. A first round verifies each set against the first sets of its most crowded cells, which
+Surviving pairs are verified on the sets. First, three rounds verify each set against a few sets drawn from its most crowded cells, which
 joins groups of near copies in time linear in their size; the R-trees then look only in cells that still hold
 different components, for pairs between those. Cells of any size are searched in blocks.
 
@@ -41,7 +41,8 @@ SHINGLE = 5
 DIMENSIONS = 256
 SMALLEST = 64  # sizes from here on use one group per 1.4 tokens of the size class, smaller ones a group per token
 LEAF, FAN = 32, 16
-STARS = 6  # pairs of a set in the first round
+STARS = 6  # pairs of a set in a round before the search
+ROUNDS = 3
 BLOCK = 512  # sets of a cell that one search holds
 SLICE = 1 << 20
 HELD = 1 << 19  # cells of a bucket between two sorts
@@ -324,15 +325,17 @@ def undecided(members: DataFrame) -> DataFrame:
     return sides.where("lo <> hi").select("cell", "k")
 
 
-def stars(members: DataFrame) -> DataFrame:
-    """Pairs (a, b): each class and the smallest classes of its cells, those of its most crowded cells, ``STARS`` at most.
+def stars(members: DataFrame, number: int) -> DataFrame:
+    """Pairs (a, b): each class with one class of another component in its most crowded cells, ``STARS`` at most.
 
-    They join large groups of near copies before anything is searched; what they miss is left to the search.
+    ``members``: cell, class, component. A cell's ``a`` is drawn by hash, another one in every round ``number``.
     """
-    sizes = members.groupBy("cell").agg(F.count(F.lit(1)).alias("k"), F.min("class").alias("a"))
-    met = members.join(sizes, "cell").where("a < class").groupBy("a", F.col("class").alias("b")).agg(F.max("k").alias("k"))
+    drawn = F.min(F.struct(F.xxhash64(F.col("class"), F.lit(number)).alias("h"), F.col("class").alias("a"), F.col("component").alias("ca")))
+    sizes = members.groupBy("cell").agg(F.count(F.lit(1)).alias("k"), drawn.alias("first")).select("cell", "k", "first.a", "first.ca")
+    met = members.join(sizes, "cell").where("component <> ca").groupBy("a", F.col("class").alias("b")).agg(F.max("k").alias("k"))
     order = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("k"), "a"))  # no more than a document has cells
-    return met.withColumn("_order", order).where(F.col("_order") <= STARS).select("a", "b")
+    few = met.withColumn("_order", order).where(F.col("_order") <= STARS)
+    return few.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def thinned(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -343,12 +346,25 @@ def thinned(members: DataFrame, sets: DataFrame) -> DataFrame:
     return placed.where("_behind > spare").select(members.columns)
 
 
+def cell_lists(members: DataFrame) -> DataFrame:
+    """class and its cells in ascending order, as 64-bit numbers: as many as a document has at most."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, values = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()
+            blobs = [values[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["class", "cells"])
+
+    lists = members.groupBy("class").agg(F.sort_array(F.collect_list("cell")).alias("cells"))
+    return lists.mapInArrow(rows, "class bigint, cells binary")
+
+
 def tree_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of different components that meet in a cell and whose bound allows a link.
 
     ``members``: cell, class, component, each once; sets meet in at least one cell more than they have to spare. A cell's
     classes fall into blocks by hash; each pair of blocks is a search of its own: an R-tree over one block, the other one's
-    points as queries.
+    points as queries. Of the cells that a pair shares the smallest one gives it.
     """
     members = written(thinned(members.join(undecided(members).select("cell"), "cell", "left_semi"), sets), "members")
     several = undecided(members)
@@ -362,33 +378,37 @@ def tree_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
         .select("cell", "class", "component", "block", F.explode("search").alias("s"))
         .select("cell", "class", "component", "block", "s.i", "s.j")
     )
-    narrow = sets.select("class", "n", "point")
+    narrow = sets.select("class", "n", "point").join(cell_lists(members), "class")
     dealt = placed.join(narrow, "class").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
 
-    def searches(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    def searches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
         key, held = None, []
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if row[:3] != key:
                     if len(held) > 1:
-                        yield held
+                        yield key[0], held
                     key, held = row[:3], []
                 held.append(row[3:])
         if len(held) > 1:
-            yield held
+            yield key[0], held
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: list[int] = []
         right: list[int] = []
-        for held in searches(batches):
+        for cell, held in searches(batches):
             names, parts, blocks, sizes = (np.array([h[k] for h in held]) for k in range(4))
             vectors = widened([h[4] for h in held])
+            earlier = [np.frombuffer(h[5], np.int64) for h in held]
+            earlier = [e[: np.searchsorted(e, cell)] for e in earlier]
             one = blocks == blocks.min()
             two = ~one if (~one).any() else one
             tree, inside = RTree(vectors[one], sizes[one]), np.flatnonzero(one)
             for k in np.flatnonzero(two):
                 for m in inside[tree.search(vectors[k], sizes[k])]:
                     if parts[m] != parts[k] and (blocks[m] != blocks[k] or names[m] < names[k]):
+                        if np.isin(earlier[m], earlier[k], assume_unique=True).any():
+                            continue  # the pair is found in that cell
                         left.append(min(names[m], names[k]))
                         right.append(max(names[m], names[k]))
             if len(left) > 1 << 16:
@@ -396,7 +416,7 @@ def tree_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
                 left, right = [], []
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    ordered = dealt.select("cell", "i", "j", "class", "component", "block", "n", "point")
+    ordered = dealt.select("cell", "i", "j", "class", "component", "block", "n", "point", "cells")
     return ordered.mapInArrow(rows, "a bigint, b bigint")
 
 
@@ -419,13 +439,19 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return written(verified(kept, written(sets_of(kept, points, docs), "sets")), "verified")
 
     everyone = written(members.select("cell", "class").union(members.select("cell", "pivot")).distinct(), "everyone")
-    links = checked(bounded(stars(everyone), points))
-    joined = components(links)
-
-    labelled = everyone.join(joined, F.col("class") == F.col("node"), "left").select(
-        "cell", "class", F.coalesce("component", "class").alias("component")
-    )
-    more = checked(tree_pairs(written(labelled, "labelled"), points).distinct())
+    labelled = everyone.withColumn("component", F.col("class"))
+    links = None
+    for number in range(ROUNDS):
+        found = checked(bounded(stars(labelled, number), points))
+        links = found if links is None else links.unionByName(found)
+        joined = components(links)
+        named = everyone.join(joined, F.col("class") == F.col("node"), "left").select(
+            "cell", "class", F.coalesce("component", "class").alias("component")
+        )
+        # cells of one component are done with
+        named = written(named, "labelled")
+        labelled = written(named.join(undecided(named).select("cell"), "cell", "left_semi"), "undecided")
+    more = checked(tree_pairs(labelled, points).distinct())
     return known, components(links.unionByName(more))
 
 
