@@ -6,6 +6,9 @@ whatever the table holds), picks the leaf whose split gains most and goes on unt
 its parent less the leaf. Leaves with few rows are grown to the end by one task each, as a step that aggregates
 them again and again would cost more than their rows. Which leaf comes next is decided afterwards, in the same order.
 
+A tree takes several jobs, so a job must cost little: rows are kept in blocks of columns (one row of the table holds some
+thousand rows as bytes), and the histograms of a few tasks go to the driver without a shuffle.
+
 Gradients are whole numbers of 2^-scale, so sums and with them splits don't depend on how rows are dealt to tasks.
 """
 
@@ -30,6 +33,8 @@ WRITE_EVERY = 10  # trees after which margins are written
 LEAST_GAIN = 1e-9
 LOW_BITS = 26
 LOW = (1 << LOW_BITS) - 1
+BLOCK_TASK_ROWS = 10_000  # a task that reads blocks has that many rows or more
+FEW_TASKS = 32  # histograms of more tasks are added up before they go to the driver
 
 
 @dataclass(frozen=True)
@@ -91,6 +96,19 @@ def codes_of(values: np.ndarray, edges: Sequence[np.ndarray]) -> np.ndarray:
     return np.stack(found, axis=1).astype(np.int16) if found else np.zeros((len(values), 0), dtype=np.int16)
 
 
+def _codes(block: bytes, rows: int) -> np.ndarray:
+    """The bin numbers of a block, one row per row; columns lie together."""
+    return np.frombuffer(block, dtype=np.int16).reshape(-1, rows).T
+
+
+def _block(codes: np.ndarray) -> bytes:
+    return np.ascontiguousarray(codes.T, dtype=np.int16).tobytes()
+
+
+def _some(codes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    return np.take(codes.T, rows, axis=1).T
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
@@ -115,16 +133,15 @@ class Tree:
 
     def leaves_of(self, codes: np.ndarray) -> np.ndarray:
         """The leaf that each row ends in."""
-        feature, cut = np.array(self.feature), np.array(self.bin)
-        left, right = np.array(self.left), np.array(self.right)
         at = np.zeros(len(codes), dtype=np.int64)
-        moving = np.arange(len(codes)) if feature[0] >= 0 else np.zeros(0, dtype=np.int64)
-        while len(moving):
-            node = at[moving]
-            over = codes[moving, feature[node]] > cut[node]
-            node = np.where(over, right[node], left[node])
-            at[moving] = node
-            moving = moving[feature[node] >= 0]
+        waiting = [(0, np.arange(len(codes)))]
+        while waiting:
+            node, rows = waiting.pop()
+            if self.feature[node] < 0:
+                at[rows] = node
+            elif len(rows):
+                over = codes[:, self.feature[node]][rows] > self.bin[node]
+                waiting += [(self.left[node], rows[~over]), (self.right[node], rows[over])]
         return at
 
     def values_of(self, codes: np.ndarray) -> np.ndarray:
@@ -175,15 +192,19 @@ class Rules:
 def histogram(codes: np.ndarray, g: np.ndarray, h: np.ndarray, bins: int) -> np.ndarray:
     """(features, bins, 3): gradient, second derivative and rows, added up exactly."""
     features = codes.shape[1]
-    slot = (codes + np.arange(features) * bins).ravel()
-    size = features * bins
-    out = np.empty((size, 3), dtype=np.int64)
-    for i, values in enumerate((g, h)):
-        high = np.bincount(slot, np.repeat(values >> LOW_BITS, features), size).astype(np.int64)
-        low = np.bincount(slot, np.repeat(values & LOW, features), size).astype(np.int64)
-        out[:, i] = (high << LOW_BITS) + low
-    out[:, 2] = np.bincount(slot, minlength=size)
-    return out.reshape(features, bins, 3)
+    out = np.empty((features, bins, 3), dtype=np.int64)
+    parts = []
+    for values in (g, h):
+        # sums of doubles are exact below 2^53; larger ones are added up in two halves
+        small = len(values) * int(np.abs(values).max(initial=0)) < 1 << 53
+        halves = [(values, 0)] if small else [(values >> LOW_BITS, LOW_BITS), (values & LOW, 0)]
+        parts.append([(half.astype(np.float64), shift) for half, shift in halves])
+    for f in range(features):
+        slot = codes[:, f].astype(np.int64)
+        for i, halves in enumerate(parts):
+            out[f, :, i] = sum(np.bincount(slot, half, bins).astype(np.int64) << shift for half, shift in halves)
+        out[f, :, 2] = np.bincount(slot, minlength=bins)
+    return out
 
 
 def gains(counts: np.ndarray, rules: Rules) -> tuple[np.ndarray, np.ndarray]:
@@ -235,7 +256,7 @@ def grown(codes: np.ndarray, g: np.ndarray, h: np.ndarray, splits: int, rules: R
         parts = [rows[~over], rows[over]]
         smaller = int(len(parts[1]) < len(parts[0]))
         some = parts[smaller]
-        part = histogram(codes[some], g[some], h[some], rules.bins)
+        part = histogram(_some(codes, some), g[some], h[some], rules.bins)
         both = [part, counts - part] if smaller == 0 else [counts - part, part]
         for child in (0, 1):
             look(parts[child], both[child], len(out) - 1, child)
@@ -244,7 +265,33 @@ def grown(codes: np.ndarray, g: np.ndarray, h: np.ndarray, splits: int, rules: R
 
 # one tree over a table ----------------------------------------------------------------------------------
 
-STATE = "codes array<smallint>, label double, weight double, margin double"
+# A block of rows: bin numbers column by column (smallint), then three columns of doubles, all as bytes.
+STATE = "n int, codes binary, label binary, weight binary, margin binary"
+HISTOGRAM = "cell binary, g binary, h binary, n binary"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Codes, label, weight and margin of each block of ``STATE``."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            yield _codes(row["codes"], row["n"]), *(np.frombuffer(row[c]) for c in ("label", "weight", "margin"))
+
+
+def _packed(total: np.ndarray) -> pa.RecordBatch:
+    """The filled cells of histograms, as one row of ``HISTOGRAM``."""
+    flat = total.reshape(-1, 3)
+    some = np.flatnonzero(flat[:, 2])
+    columns = [some, *flat[some].T]
+    return pa.RecordBatch.from_pydict({c: [v.astype(np.int64).tobytes()] for c, v in zip(["cell", *"ghn"], columns, strict=True)})
+
+
+def _summed(packed: pa.Table, cells: int) -> np.ndarray:
+    out = np.zeros((cells, 3), dtype=np.int64)
+    for row in packed.to_pylist():
+        cell = np.frombuffer(row["cell"], dtype=np.int64)  # each occurs once
+        for i, name in enumerate("ghn"):
+            out[cell, i] += np.frombuffer(row[name], dtype=np.int64)
+    return out
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -266,6 +313,7 @@ class Round:
     since: tuple[Tree, ...]
     scale: int
     rules: Rules
+    tasks: int = FEW_TASKS
 
     def rows(self, wanted: dict[int, int], tree: Tree):
         """Codes, derivatives and slot of the rows that end in one of the ``wanted`` leaves, per batch."""
@@ -275,12 +323,10 @@ class Round:
             slots = np.full(len(tree.feature), -1)
             for leaf, slot in wanted.items():
                 slots[leaf] = slot
-            for batch in batches:
-                codes = _matrix(batch.column(0))
-                label, weight, margin = (batch.column(i).to_numpy() for i in (1, 2, 3))
+            for codes, label, weight, margin in _blocks(batches):
                 slot = slots[tree.leaves_of(codes)]
                 some = np.flatnonzero(slot >= 0)
-                codes, slot, margin = codes[some], slot[some], margin[some].copy()
+                codes, slot, margin = _some(codes, some), slot[some], margin[some]
                 for earlier in since:
                     margin += earlier.values_of(codes)
                 g, h = derivatives(label[some], weight[some], margin, scale)
@@ -299,35 +345,37 @@ class Round:
             for codes, slot, g, h in rows(batches):
                 for i in np.unique(slot).tolist():
                     mine = slot == i
-                    total[i] += histogram(codes[mine], g[mine], h[mine], bins)
-            flat = total.reshape(-1, 3)
-            some = np.flatnonzero(flat[:, 2])
-            columns = [some.astype(np.int32), *(np.ascontiguousarray(c) for c in flat[some].T)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cell", "g", "h", "n"])
-
-        parts = self.state.mapInArrow(add, "cell int, g bigint, h bigint, n bigint")
-        table = parts.groupBy("cell").agg(*[F.sum(c).alias(c) for c in "ghn"]).toArrow()
-        out = np.zeros((len(leaves) * size, 3), dtype=np.int64)
-        cells = table.column("cell").to_numpy()
-        for i, name in enumerate("ghn"):
-            out[cells, i] = table.column(name).to_numpy()
+                    total[i] += histogram(_some(codes, np.flatnonzero(mine)), g[mine], h[mine], bins)
+            yield _packed(total)
+
+        def join(table: pa.Table) -> pa.Table:
+            return pa.Table.from_batches([_packed(_summed(table, len(leaves) * size))])
+
+        parts = self.state.mapInArrow(add, HISTOGRAM)
+        if self.tasks > FEW_TASKS:
+            parts = parts.groupBy(F.spark_partition_id() % FEW_TASKS).applyInArrow(join, HISTOGRAM)
+        out = _summed(parts.toArrow(), len(leaves) * size)
         return {leaf: out[i * size : (i + 1) * size].reshape(features, bins, 3) for i, leaf in enumerate(leaves)}
 
     def subtrees(self, leaves: list[int], tree: Tree, splits: int) -> dict[int, list[tuple]]:
         """The best splits below each leaf, every leaf's rows brought together in one task."""
         rows, rules = self.rows({leaf: leaf for leaf in leaves}, tree), self.rules
-        names = ["leaf", "codes", "g", "h"]
+        names = ["leaf", "n", "codes", "g", "h"]
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for codes, slot, g, h in rows(batches):
-                ends = np.arange(len(codes) + 1, dtype=np.int32) * codes.shape[1]
-                listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(codes.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), listed, pa.array(g), pa.array(h)], names)
+                out = []
+                for leaf in np.unique(slot).tolist():
+                    mine = np.flatnonzero(slot == leaf)
+                    out.append((leaf, len(mine), _block(_some(codes, mine)), g[mine].tobytes(), h[mine].tobytes()))
+                if out:
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=blocks)
 
         def grow(table: pa.Table) -> pa.Table:
-            table = table.combine_chunks()
-            codes = _matrix(table.column("codes").combine_chunks())
-            found = grown(codes, table.column("g").to_numpy(), table.column("h").to_numpy(), splits, rules)
+            parts = table.to_pylist()
+            codes = np.concatenate([_codes(p["codes"], p["n"]).T for p in parts], axis=1).T
+            g, h = (np.concatenate([np.frombuffer(p[c], dtype=np.int64) for p in parts]) for c in "gh")
+            found = grown(codes, g, h, splits, rules)
             leaf = table.column("leaf")[0].as_py()
             flat = [(leaf, i, p, side, s.gain, s.feature, s.bin, *s.left, *s.right) for i, (p, side, s) in enumerate(found)]
             return pa.Table.from_pylist([dict(zip(fields, r, strict=True)) for r in flat], schema=kinds)
@@ -335,8 +383,10 @@ class Round:
         fields = ["leaf", "place", "parent", "side", "gain", "feature", "bin", "lg", "lh", "ln", "rg", "rh", "rn"]
         types = [pa.int32()] * 4 + [pa.float64()] + [pa.int32()] * 2 + [pa.int64()] * 6
         kinds = pa.schema(list(zip(fields, types, strict=True)))
+        blocks = pa.schema(list(zip(names, [pa.int32()] * 2 + [pa.binary()] * 3, strict=True)))
         schema = ", ".join(f"{f} {t}" for f, t in zip(fields, ["int"] * 4 + ["double"] + ["int"] * 2 + ["bigint"] * 6, strict=True))
-        sent = self.state.mapInArrow(send, "leaf int, codes array<smallint>, g bigint, h bigint")
+        sent = self.state.mapInArrow(send, "leaf int, n int, codes binary, g binary, h binary")
+        sent = sent.repartition(min(len(leaves), self.tasks), "leaf")  # one task would grow all small leaves otherwise
         out: dict[int, list[tuple]] = {leaf: [] for leaf in leaves}
         found = sent.groupBy("leaf").applyInArrow(grow, schema).collect()  # at most ``splits`` rows per leaf
         for r in sorted(found, key=lambda r: (r["leaf"], r["place"])):
@@ -407,26 +457,27 @@ def _adopt(node: Node, splits: list[tuple]) -> None:
 
 
 def _look(this: Round, root: Node, parents: list[Node], splits: int, step_rows: int) -> None:
-    """Finds the best splits of the children of ``parents`` (of the root itself if there are none), in two jobs at most."""
+    """Finds the best splits of the children of ``parents`` (of the root itself if there are none), in one job.
+
+    As long as one of them is large, all are counted, as that costs less than bringing the rows of the small ones together.
+    """
     tree, ends = _structure(root)
     nodes = [c for p in parents for c in p.children if not c.known] if parents else [root]
-    small = [n for n in nodes if n.rows <= step_rows]
-    large = [n for n in nodes if n.rows > step_rows]
-    if large:
-        # of two children the smaller one is counted, the other is what is left of the parent
-        pairs = [(p, *sorted(p.children, key=lambda n: n.rows)) for p in parents if any(c in large for c in p.children)]
-        counted = [less for _, less, _ in pairs] if parents else [root]
-        found = this.histograms([ends[id(n)] for n in counted], tree)
-        for node in counted:
-            node.histogram = found[ends[id(node)]]
-        for parent, less, more in pairs:
-            more.histogram = parent.histogram - less.histogram
-        for node in large:
-            node.settle(best_split(node.histogram, this.rules))
-    if small:
-        found = this.subtrees([ends[id(n)] for n in small], tree, splits)
-        for node in small:
+    if all(n.rows <= step_rows for n in nodes):
+        found = this.subtrees([ends[id(n)] for n in nodes], tree, splits)
+        for node in nodes:
             _adopt(node, found[ends[id(node)]])
+        return
+    # of two children the smaller one is counted, the other is what is left of the parent
+    pairs = [(p, *sorted(p.children, key=lambda n: n.rows)) for p in parents if any(c in nodes for c in p.children)]
+    counted = [less for _, less, _ in pairs] if parents else nodes
+    found = this.histograms([ends[id(n)] for n in counted], tree)
+    for node in counted:
+        node.histogram = found[ends[id(node)]]
+    for parent, less, more in pairs:
+        more.histogram = parent.histogram - less.histogram
+    for node in nodes:
+        node.settle(best_split(node.histogram, this.rules))
 
 
 def grow_tree(this: Round, rows: int, growth: Growth) -> tuple[Tree, list[Step]]:
@@ -513,16 +564,20 @@ class BoostedTrees:
         return BoostedTrees([r["name"] for r in names], [np.array(e) for e in edges], base, trees)
 
 
+def _state_row(codes: np.ndarray, label: np.ndarray, weight: np.ndarray, margin: np.ndarray) -> pa.RecordBatch:
+    columns = {"label": label, "weight": weight, "margin": margin}
+    first = {"n": pa.array([len(codes)], pa.int32()), "codes": [_block(codes)]}
+    return pa.RecordBatch.from_pydict(first | {c: [v.tobytes()] for c, v in columns.items()})
+
+
 def coded(rows: DataFrame, columns: Sequence[str], edges: list[np.ndarray], label: str, weight: str, margin: float) -> DataFrame:
     """The rows of ``STATE``: bin numbers, label, weight and the margin to begin with."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = codes_of(_matrix(batch.column(0)), edges)
-            ends = np.arange(len(codes) + 1, dtype=np.int32) * len(edges)
-            listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(codes.ravel()))
-            columns = [listed, batch.column(1), batch.column(2), pa.array(np.full(len(codes), margin))]
-            yield pa.RecordBatch.from_arrays(columns, ["codes", "label", "weight", "margin"])
+            if batch.num_rows:
+                columns = (batch.column(i).to_numpy() for i in (1, 2))
+                yield _state_row(codes_of(_matrix(batch.column(0)), edges), *columns, np.full(batch.num_rows, margin))
 
     values = F.array(*[_value(c) for c in columns]).alias("values")
     plain = rows.select(values, F.col(label).cast("double").alias("label"), F.col(weight).cast("double").alias("weight"))
@@ -531,11 +586,11 @@ def coded(rows: DataFrame, columns: Sequence[str], edges: list[np.ndarray], labe
 
 def with_margins(state: DataFrame, trees: Sequence[Tree]) -> DataFrame:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes, margin = _matrix(batch.column(0)), batch.column(3).to_numpy().copy()
+        for codes, label, weight, margin in _blocks(batches):
+            margin = margin.copy()
             for tree in trees:
                 margin += tree.values_of(codes)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(margin)], batch.schema.names)
+            yield _state_row(codes, label, weight, margin)
 
     return state.mapInArrow(add, STATE)
 
@@ -553,7 +608,8 @@ def start(
     share = min(max(sums["y"] / sums["w"], 1e-15), 1 - 1e-15)
     base = math.log(share / (1 - share))
     base = 0.0 if abs(base) < 1e-12 else base  # balanced weights
-    state = _kept(coded(rows, columns, edges, label, weight, base))
+    tasks = max(1, min(spark.sparkContext.defaultParallelism, sums["n"] // BLOCK_TASK_ROWS))
+    state = _kept(coded(rows, columns, edges, label, weight, base).repartition(tasks))  # whole blocks move
     return state, edges, base, scale_for(sums["w"]), sums["n"]
 
 
@@ -588,10 +644,11 @@ def fit(rows: DataFrame, columns: Sequence[str], label: str, weight: str, growth
     Margins are written every ``WRITE_EVERY`` trees, so a lost executor costs a read and a few trees, not the fit.
     """
     state, edges, base, scale, count = start(rows, columns, label, weight, growth)
+    tasks = state.rdd.getNumPartitions()
     trees: list[Tree] = []
     since: list[Tree] = []
     for number in range(growth.trees):
-        this = Round(state, tuple(since), scale, rules_for(growth, number, columns, edges, scale))
+        this = Round(state, tuple(since), scale, rules_for(growth, number, columns, edges, scale), tasks)
         tree, steps = grow_tree(this, count, growth)
         if not steps:
             break  # nothing is left to gain
@@ -610,7 +667,8 @@ def first_tree(rows: DataFrame, columns: Sequence[str], label: str, weight: str,
     The left part keeps the leaf's number (the root has 0), the right one gets the number of the step.
     """
     state, edges, _, scale, count = start(rows, columns, label, weight, growth)
-    _, steps = grow_tree(Round(state, (), scale, rules_for(growth, 0, columns, edges, scale)), count, growth)
+    this = Round(state, (), scale, rules_for(growth, 0, columns, edges, scale), state.rdd.getNumPartitions())
+    _, steps = grow_tree(this, count, growth)
     _dropped(state)
     found = [
         (i, s.leaf, columns[s.split.feature], float(edges[s.split.feature][s.split.bin]), s.split.gain, s.split.left[2], s.split.right[2])

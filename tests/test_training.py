@@ -220,3 +220,37 @@ def test_the_split_reads_the_table_once(spark, rows):
     plan = split._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 1
     assert split.count() == rows.count() and split.columns == [*rows.columns, "is_train"]
+
+
+def test_a_step_of_a_tree_is_one_job_over_blocks(spark, rows, monkeypatch):
+    """Rows lie in blocks, and rows of small leaves are brought together only once no large leaf is left."""
+    looked = []
+
+    def noted(kind):
+        job = getattr(boosting.Round, kind)
+
+        def call(self, leaves, *rest):
+            looked.append((kind, self.state.count()))
+            return job(self, leaves, *rest)
+
+        monkeypatch.setattr(boosting.Round, kind, call)
+
+    noted("histograms")
+    noted("subtrees")
+    growth = Growth(trees=1, leaves=15, least_rows=5, step_rows=200)
+    boosting.first_tree(rows.repartition(3), COLUMNS, "default_flag", "weight", growth)
+    kinds = [kind for kind, _ in looked]
+    assert "histograms" in kinds and "subtrees" in kinds and "histograms" not in kinds[kinds.index("subtrees") :]
+    assert all(blocks <= 3 for _, blocks in looked)
+
+
+def test_histograms_of_large_gradients_are_exact():
+    rng = random.Random(3)
+    codes = np.array([[rng.randrange(4), rng.randrange(7)] for _ in range(500)], dtype=np.int16)
+    for size in (1 << 20, 1 << 52):  # below 2^53 in sum, and above
+        g, h = (np.array([rng.randrange(-size, size) for _ in range(500)], dtype=np.int64) for _ in "gh")
+        got = boosting.histogram(codes, g, h, 8)
+        for f in range(2):
+            for b in range(8):
+                some = [i for i in range(500) if codes[i, f] == b]
+                assert got[f, b].tolist() == [sum(int(v[i]) for i in some) for v in (g, h)] + [len(some)]
