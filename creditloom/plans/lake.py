@@ -105,9 +105,8 @@ class Lake:
     # gold ---------------------------------------------------------------------------------------
 
     def features(self) -> DataFrame:
-        return features.customer_credit_features(
-            self.customers(), self.loans(), self.transactions(), self.as_of, unique_ids=True
-        )
+        names = ("customers", "loans", "transactions")
+        return features.customer_credit_features(*[self.held(name) for name in names], self.as_of, unique_ids=True)
 
     def online_features(self) -> DataFrame:
         return features.customer_credit_features(
@@ -160,7 +159,9 @@ class Lake:
         return states.known_accounts(self.table("transactions"))
 
     def trail(self) -> DataFrame:
-        return states.trail_measures(self.event_transactions(), self.bucketed("state"), self.bucketed("accounts"))
+        # first what publishes the layers, so that the scores of known customers read them
+        state, accounts = self.bucketed("state"), self.bucketed("accounts")
+        return states.trail_measures(self.event_transactions(), state, accounts)
 
     def live(self) -> LiveRefresh:
         """The live tables after all events of this lake went through the stream, once per session."""
@@ -196,9 +197,16 @@ class Lake:
 
     # published ----------------------------------------------------------------------------------
 
+    def _key(self, name: str) -> tuple[str, str, str, str]:
+        return self.spark.sparkContext.applicationId, self.sf_dir, str(self.as_of), name
+
+    def held(self, name: str) -> DataFrame:
+        """The published table where there is one already; otherwise it is composed, as one use does not pay for writing it."""
+        return self.table(name) if self._key(name) in _published else getattr(self, name)()
+
     def table(self, name: str) -> DataFrame:
         """A table of this lake, written on first use and read back as parquet."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, str(self.as_of), name)
+        key = self._key(name)
         if key not in _published:
             build: Callable[[], DataFrame] = getattr(self, name)
             root = fresh_path(self.spark, "lake")
@@ -207,7 +215,7 @@ class Lake:
 
     def bucketed(self, name: str) -> DataFrame:
         """A table of this lake in buckets by its key, for joins that leave it where it is."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, str(self.as_of), name)
+        key = self._key(name)
         if key not in _bucketed:
             build: Callable[[], DataFrame] = getattr(self, name)
             _bucketed[key] = write_bucketed(build(), fresh_path(self.spark, "lake"), name, BUCKETED[name])

@@ -129,7 +129,8 @@ def feature_trail(lake: Lake) -> DataFrame:
 )
 def upsert_by_key(lake: Lake) -> DataFrame:
     columns = ["customer_id", "total_accounts", "avg_balance"]
-    return upsert(lake.table("features").select(*columns), lake.table("online_features").select(*columns), ["customer_id"])
+    new = lake.table("online_features").select(*columns)  # publishes the layers that the other one reads
+    return upsert(lake.table("features").select(*columns), new, ["customer_id"])
 
 
 _NEW_HISTORY = """SELECT customer_id, credit_score, risk_level, round(default_probability, 9) AS default_probability,

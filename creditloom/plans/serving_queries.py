@@ -200,7 +200,8 @@ def serving_ready(lake: Lake) -> DataFrame:
        ORDER BY has_transactions DESC, credit_score DESC, customer_id LIMIT 1"""
 )
 def top_active_customer(lake: Lake) -> DataFrame:
-    return serving.top_active_customer(lake.table("profile"), lake.table("scores"), lake.table("transactions"))
+    profile, transactions = lake.table("profile"), lake.table("transactions")  # before the scores, which read the latter
+    return serving.top_active_customer(profile, lake.table("scores"), transactions)
 
 
 @query(

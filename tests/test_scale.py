@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from creditloom.operators import features, serving, views
 from creditloom.operators.running import running
+from creditloom.plans import lake as lakes
 from creditloom.schemas import TRANSACTIONS
 from tests.conftest import SMALL
 
@@ -111,3 +112,24 @@ def test_checkpoint_folder_comes_from_the_session(spark):
     folder = shared_dir(spark)
     assert fresh_path(spark, "x").startswith(folder.rstrip("/"))
     assert spark.sparkContext.getCheckpointDir() is not None
+
+
+def test_features_read_layers_that_are_published(spark, monkeypatch):
+    """Once the layers are written, the raw files are not parsed a second time for the features; without them all is composed."""
+    monkeypatch.setattr(lakes, "_published", {})
+    own = lakes.Lake(spark, SMALL)
+    composed = own.features()
+    assert "get_json" in plan(composed) or "from_json" in plan(composed)
+    own.table("profile"), own.table("loans"), own.table("transactions")
+    read = own.features()
+    assert "from_json" not in plan(read) and "get_json" not in plan(read) and "lineitem" not in plan(read)
+    assert read.exceptAll(composed).count() == 0 and read.count() == composed.count()
+
+
+@pytest.mark.parametrize("name", ["feature_trail", "upsert_by_key", "top_active_customer", "what_if_scores"])
+def test_queries_publish_the_layers_before_the_features(spark, monkeypatch, name):
+    monkeypatch.setattr(lakes, "_published", {})
+    monkeypatch.setattr(lakes, "_bucketed", {})
+    entry.queries()[name](spark, SMALL)
+    made = [key[-1] for key in lakes._published]
+    assert made.index("transactions") < made.index("features")
