@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from creditloom.session import fresh_path
 from creditloom.streaming.source import EachOnce, event_stream
 from creditloom.streaming.versions import Versions
 
+LATE_BATCHES = 8
+
 _EVENT_COLUMNS = [
     "transaction_id", "customer_id", "transaction_type", "transaction_date", "amount", "expected_amount",
     "delta_amount", "status", "reference_id", "days_past_due",
@@ -173,7 +177,10 @@ def stream_dedup(lake: Lake) -> DataFrame:
 
 @query("SELECT transaction_id, customer_id, amount, event_time FROM raw_events")
 def stream_late(lake: Lake) -> DataFrame:
-    """Events in four folders by time, newest first, then every third event again; a few files per trigger."""
+    """Events in four lots by time, newest first, then every third event again, in at most ``LATE_BATCHES`` batches.
+
+    Every batch looks its ids up in those stored before, so their number must not grow with the table.
+    """
     folder, source = fresh_path(lake.spark, "late"), lake.spark.read.parquet(f"{lake.sf_dir}/events.parquet")
     time = F.col("ts").cast("timestamp").cast("double")
     cuts = source.agg(F.percentile_approx(time, [0.75, 0.5, 0.25])).first()[0] or [0.0] * 3
@@ -183,7 +190,8 @@ def stream_late(lake: Lake) -> DataFrame:
         (rows if below is None else rows.where(time <= below)).hint("rebalance").write.mode("append").parquet(folder)
     source.where("event_id % 3 = 0").hint("rebalance").write.mode("append").parquet(folder)
     once = EachOnce(Versions(lake.spark, fresh_path(lake.spark, "late-out")))
-    stream = event_stream(lake.spark, folder, "*.parquet", max_files=1).drop("raw_attributes")
+    files = len(lake.spark.read.parquet(folder).inputFiles())
+    stream = event_stream(lake.spark, folder, "*.parquet", max_files=math.ceil(files / LATE_BATCHES)).drop("raw_attributes")
     once.start(stream, fresh_path(lake.spark, "late-checkpoint")).awaitTermination()
     return once.read().select("transaction_id", "customer_id", "amount", "event_time")
 

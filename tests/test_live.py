@@ -7,6 +7,7 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from creditloom.operators import state
 from creditloom.operators.features import customer_credit_features
 from creditloom.plans.lake import CONFIG, model_probability
@@ -15,6 +16,7 @@ from creditloom.session import fresh_path
 from creditloom.streaming.live import LiveRefresh
 from creditloom.streaming.source import EachOnce, event_stream
 from creditloom.streaming.versions import BASE, Versions
+from tests.conftest import SMALL
 
 
 def rounded(df):
@@ -302,3 +304,23 @@ def test_state_of_a_customer_without_history(spark):
     trail = state.trail_features(state.trail_measures(events, base, state.known_accounts(none)))
     got = trail.orderBy("event_time").select("total_accounts", "avg_balance", F.round("account_stability", 6)).collect()
     assert [tuple(r) for r in got] == [(1, 10.0, 0.0), (1, 10.5, 0.707107), (1, 11.0, 1.0)]
+
+
+def test_late_batches_do_not_grow_with_files(spark, monkeypatch):
+    """However many files the events lie in, every id is looked up in a bounded number of batches."""
+    batches = []
+    apply = EachOnce.apply
+
+    def noted(self, events, batch_id):
+        batches.append(batch_id)
+        apply(self, events, batch_id)
+
+    monkeypatch.setattr(EachOnce, "apply", noted)
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "40")
+    try:
+        found = entry.queries()["stream_late"](spark, SMALL)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    events = spark.read.parquet(f"{SMALL}/events.parquet").count()
+    assert found.count() == events and found.select("transaction_id").distinct().count() == events
+    assert 2 <= len(set(batches)) <= 8
