@@ -97,9 +97,9 @@ def _balance_columns(is_balance: Column, online: bool) -> list[Column]:
     ]
 
 
-def _balance_measures() -> list[Column]:
+def _balance_measures(accounts: Column | None = None) -> list[Column]:
     return [
-        F.count_distinct("account_id").alias("total_accounts"),
+        (F.count_distinct("account_id") if accounts is None else accounts).alias("total_accounts"),
         F.min("snapshot_date").alias("first_snapshot"),
         F.max("snapshot_date").alias("last_snapshot"),
         F.count("balance").alias("balance_count"),
@@ -295,6 +295,21 @@ def features_from_measures(
     )
 
 
+SALTS = 4  # groups of a customer's rows without an account
+
+
+def _in_cells(rows: DataFrame) -> DataFrame:
+    """Adds ``_cell``, the account or, in rows without one, one of a few salts, and ``_salt``, the bit of that salt.
+
+    Rows are aggregated where all rows of a cell meet: the measures of a customer are wide, and aggregated in the tasks that read
+    the rows there would be one set of them per customer and task, in the end one per row.
+    """
+    salt = F.pmod(F.xxhash64(F.coalesce("loan_id", "payment_id", F.col("snapshot_date").cast("string"))), F.lit(SALTS))
+    bit = F.when(F.col("account_id").isNull(), F.call_function("shiftleft", F.lit(1), salt.cast("int")))
+    cell = F.coalesce(F.concat(F.lit("="), "account_id"), salt.cast("string"))
+    return rows.withColumns({"_cell": cell, "_salt": bit})
+
+
 def customer_measures(
     customers: DataFrame,
     loans: DataFrame,
@@ -309,10 +324,16 @@ def customer_measures(
     """
     online = _check_mode(mode)
     stacked = _loan_rows(loans, online).unionByName(_transaction_rows(transactions, online), allowMissingColumns=True)
-    measures = (
-        stacked.where(F.col("customer_id").isNotNull())
-        .groupBy("customer_id")
-        .agg(*_loan_measures(unique_ids), *_payment_measures(unique_ids), *_balance_measures())
+    rows = _in_cells(stacked.where(F.col("customer_id").isNotNull()))
+    if unique_ids:
+        # ids are only counted, and rows are narrower without them
+        rows = rows.withColumns({c: F.when(F.col(c).isNotNull(), 1) for c in ("loan_id", "payment_id")})
+        # as many tasks as there are, not merged by the rows' size, which is small beside that of the measures
+        tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.repartition(tasks, "customer_id", "_cell")
+    accounts = F.count_distinct("_cell") - or_zero(F.bit_count(F.bit_or("_salt")))  # cells that are no salt
+    measures = rows.groupBy("customer_id").agg(
+        *_loan_measures(unique_ids), *_payment_measures(unique_ids), *_balance_measures(accounts)
     )
     people = customers.where(F.col("customer_id").isNotNull())
     if not online:

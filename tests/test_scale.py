@@ -133,3 +133,32 @@ def test_queries_publish_the_layers_before_the_features(spark, monkeypatch, name
     entry.queries()[name](spark, SMALL)
     made = [key[-1] for key in lakes._published]
     assert made.index("transactions") < made.index("features")
+
+
+def test_features_deal_rows_by_account_before_they_aggregate_them(lake):
+    """Else every task that reads rows holds the measures of all customers it meets, as many as rows in the end."""
+    tables = [lake.table(name) for name in ("customers", "loans", "transactions")]
+    for mode in features.MODES:
+        text = plan(features.customer_credit_features(*tables, lake.as_of, mode=mode, unique_ids=True))
+        below = text[: text.index("Union")]
+        assert below.rindex("REPARTITION_BY_NUM") > below.rindex("HashAggregate")
+
+
+@pytest.mark.parametrize("unique_ids", [True, False])
+def test_only_accounts_are_counted_as_accounts(spark, unique_ids):
+    accounts = [None, "0", "1", "=0", "1", None, "", "0"]
+    rows = [(f"b{i}", 1, "BALANCE_SNAPSHOT", account) for i, account in enumerate(accounts)]
+    rows += [(f"p{i}", 1 + i % 2, "LOAN_PAYMENT", "0") for i in range(40)]
+    rows += [("b90", 3, "BALANCE_SNAPSHOT", "7"), ("b91", 4, "BALANCE_SNAPSHOT", None)]
+    schema = ", ".join(f.strip() for f in TRANSACTIONS.split(","))
+    names = [f.split()[0] for f in TRANSACTIONS.split(",")]
+    given = ("transaction_id", "customer_id", "transaction_type", "reference_id")
+    df = spark.createDataFrame([tuple(dict(zip(given, r)).get(n) for n in names) for r in rows], schema)
+    loans = spark.createDataFrame(
+        [("l1", 5)], "loan_id string, customer_id long"
+    ).selectExpr("*", "'t0' institution_id", "'s' source_system", "'Active' loan_status", "0 days_past_due", "1.0D loan_amount", "0 default_flag")
+    people = spark.createDataFrame([(k, "t0", "s", 1.0) for k in range(1, 7)], "customer_id long, institution_id string, source_system string, income double")
+    for mode, first in (("offline", 4), ("online", 3)):
+        found = features.customer_measures(people, loans, df, mode, unique_ids)
+        got = {r["customer_id"]: (r["total_accounts"], r["total_payments"]) for r in found.collect()}
+        assert got == {1: (first, 20), 2: (0, 20), 3: (1, 0), 4: (0, 0), 5: (0, 0), 6: (None, None)}
