@@ -26,7 +26,8 @@ from creditloom.llm.words import BLANK, PLACES, mix, window_hashes, word_hashes
 SIZE = 13
 INNER = 5
 LONGEST = 15  # windows in a path
-SLICE = 2 << 20
+SLICE = 2 << 20  # text whose paths are dealt out at once
+STEP = 1 << 18  # text that is hashed at once: its words and their hashes take some forty times as much
 HELD = 1 << 20  # path rows a bucket gathers before it looks for shared hashes
 # a path in a blob: 48 bits of its hash and the number of its document, its reading, its first window and its length
 PATH = np.dtype([("hash", "<u8"), ("reading", "<u8"), ("at", "<u4")])
@@ -63,43 +64,52 @@ def paths(words: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray,
 PLACE_HASHES = mix(np.array(PLACES[:LONGEST], dtype=np.uint64))
 
 
+def dealt_out(found: list[tuple], place: np.ndarray, text_hash: np.ndarray, buckets: int) -> tuple[list[int], list[bytes]]:
+    """Buckets and blobs of the paths of many documents: per document hashes, readings, first windows and lengths."""
+    names, blobs = [], []
+    for a in range(0, len(found), 1 << 16):
+        some = found[a : a + (1 << 16)]
+        out = np.zeros(sum(len(f[0]) for f in some), dtype=PATH)
+        owner = np.repeat(np.arange(len(some), dtype=np.uint64), [len(f[0]) for f in some])
+        hashes = np.concatenate([f[0] for f in some])
+        bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+        out["hash"] = ((hashes >> np.uint64(16)) << np.uint64(16)) | owner
+        out["reading"] = np.concatenate([f[1] for f in some])
+        out["at"] = np.concatenate([f[2] for f in some]) << 4 | np.concatenate([f[3] for f in some])
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        out = out[order]
+        for b in np.flatnonzero(np.diff(cuts)):
+            own = out[cuts[b] : cuts[b + 1]].copy()
+            used, number = np.unique(own["hash"] & np.uint64(0xFFFF), return_inverse=True)
+            own["hash"] = (own["hash"] & ~np.uint64(0xFFFF)) | number.astype(np.uint64)
+            used = a + used.astype(np.int64)
+            names.append(int(b))
+            blobs.append(len(used).to_bytes(8, "little") + place[used].tobytes() + text_hash[used].tobytes() + own.tobytes())
+    return names, blobs
+
+
 def walks(docs: DataFrame, buckets: int, size: int = SIZE) -> DataFrame:
     """Per document its key, number of words and the hash of all words; per slice and bucket a blob of paths."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 3, SLICE):
-            texts = batch.column(3).to_pylist()
-            split = [words_of(t) for t in texts]
-            n = len(texts)
-            shas, counts = [sha(w) for w in split], [len(w) for w in split]
+            shas, counts, found = [], [], []
+            for part in slices([batch], 3, STEP):
+                texts = part.column(3).to_pylist()
+                for text in texts:
+                    words = words_of(text)
+                    shas.append(sha(words))
+                    counts.append(len(words))
+                hashes, at = word_hashes(texts)
+                found += [paths(hashes[a:b], size) for a, b in zip(at[:-1], at[1:], strict=True)]
+            n = len(found)
             blank = [pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
             columns = [batch.column(2), batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(shas), *blank]
             yield pa.RecordBatch.from_arrays(columns, WALKS)
-            del split
-            hashes, at = word_hashes(texts)
-            place, text_hash = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for a in range(0, n, 1 << 16):
-                found = [paths(hashes[at[i] : at[i + 1]], size) for i in range(a, min(n, a + (1 << 16)))]
-                out = np.zeros(sum(len(f[0]) for f in found), dtype=PATH)
-                owner = np.repeat(np.arange(len(found), dtype=np.uint64), [len(f[0]) for f in found])
-                least = np.concatenate([f[0] for f in found])
-                bucket = (least % np.uint64(buckets)).astype(np.int64)
-                out["hash"] = ((least >> np.uint64(16)) << np.uint64(16)) | owner
-                out["reading"] = np.concatenate([f[1] for f in found])
-                out["at"] = np.concatenate([f[2] for f in found]) << 4 | np.concatenate([f[3] for f in found])
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                out = out[order]
-                names, blobs = [], []
-                for b in np.flatnonzero(np.diff(cuts)):
-                    own = out[cuts[b] : cuts[b + 1]].copy()
-                    used, number = np.unique(own["hash"] & np.uint64(0xFFFF), return_inverse=True)
-                    own["hash"] = (own["hash"] & ~np.uint64(0xFFFF)) | number.astype(np.uint64)
-                    used = a + used.astype(np.int64)
-                    names.append(int(b))
-                    blobs.append(len(used).to_bytes(8, "little") + place[used].tobytes() + text_hash[used].tobytes() + own.tobytes())
-                none = [pa.nulls(len(names), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())]
-                yield pa.RecordBatch.from_arrays([*none, pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], WALKS)
+            names, blobs = dealt_out(found, batch.column(0).to_numpy(), batch.column(1).to_numpy(), buckets)
+            none = [pa.nulls(len(names), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], WALKS)
 
     schema = "doc_id bigint, place bigint, text_hash bigint, n_words bigint, kept_sha256 string, bucket int, blob binary"
     return keyed(docs).select("place", "text_hash", "doc_id", "text").mapInArrow(rows, schema)
@@ -159,21 +169,23 @@ def shared_paths(blobs: DataFrame, buckets: int) -> DataFrame:
 SHARED = ["hash", "reading", "place", "text_hash", "start", "length"]
 
 
-def opened(border: DataFrame, docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """(edge, place, text_hash, start) of each window of the paths in ``border``."""
+def opened(border: DataFrame, docs: DataFrame, buckets: int, size: int = SIZE) -> DataFrame:
+    """Per slice and bucket a blob of the single windows of the paths in ``border``; a window's hash is its reading as well."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 3, SLICE):
-            hashes, at = word_hashes(batch.column(3).to_pylist())
-            place, text = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for i, (starts, lengths) in enumerate(lists(batch.column(2), batch.num_rows)):
-                edges = window_hashes(hashes[at[i] : at[i + 1]], size)
-                own = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-                columns = [edges[own].view(np.int64), np.full(len(own), place[i]), np.full(len(own), text[i]), own]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["edge", "place", "text_hash", "start"])
+            found = []
+            for part in slices([batch], 3, STEP):
+                hashes, at = word_hashes(part.column(3).to_pylist())
+                for i, (starts, lengths) in enumerate(lists(part.column(2), part.num_rows)):
+                    edges = window_hashes(hashes[at[i] : at[i + 1]], size)
+                    own = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+                    found.append((edges[own], edges[own], own, np.ones_like(own)))
+            names, blobs = dealt_out(found, batch.column(0).to_numpy(), batch.column(1).to_numpy(), buckets)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     texts = with_texts(spans_by_document(border), docs).select("place", "text_hash", "spans", "text")
-    return texts.mapInArrow(rows, "edge bigint, place bigint, text_hash bigint, start bigint")
+    return texts.mapInArrow(rows, "bucket int, blob binary")
 
 
 def cut(docs: DataFrame, spans: DataFrame, size: int = SIZE) -> DataFrame:
@@ -214,9 +226,11 @@ def repeated_windows(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, Data
         "spans",
     )
     whole = seen.where("whole").select("place", "text_hash", "start", "length")
-    edges = written(opened(seen.where("not whole").select("place", "text_hash", "start", "length").distinct(), docs, size), "edges")
-    firsts = edges.groupBy("edge").agg(F.min("place").alias("first"))
-    single = edges.join(firsts, "edge").where("first < place").select("place", "text_hash", "start", F.lit(1).cast("bigint").alias("length"))
+    border = seen.where("not whole").select("place", "text_hash", "start", "length").distinct()
+    # windows are dealt as paths are: only those that documents of two places hold become rows
+    edges = written(shared_paths(written(opened(border, docs, buckets, size), "opened"), buckets), "edges")
+    firsts = edges.groupBy("reading").agg(F.min("place").alias("first"))
+    single = edges.join(firsts, "reading").where("first < place").select("place", "text_hash", "start", "length")
     return table.where("bucket is null").drop("bucket", "blob"), whole.unionByName(single).distinct()
 
 

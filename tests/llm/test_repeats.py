@@ -262,6 +262,28 @@ def test_repeated_words(docs, plain, multiset, monkeypatch, held):
     assert multiset(substrings.remove_repeats(docs), *WORDS) == without_word_repeats(plain, 13)
 
 
+def test_only_windows_of_two_documents_become_rows(spark, monkeypatch):
+    """Texts that share phrases of five words, and few windows of thirteen: the others are never rows of a table."""
+    made, plain_written = {}, substrings.written
+
+    def counted(df, label):
+        out = plain_written(df, label)
+        made[label] = out.count()
+        return out
+
+    monkeypatch.setattr(substrings, "written", counted)
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    phrases = [[word() for _ in range(5)] for _ in range(4)]
+    texts = [[w for _ in range(30) for w in (*rng.choice(phrases), *(word() for _ in range(7)))] for _ in range(60)]
+    texts[9][40:60] = texts[3][40:60]
+    plain = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(plain, "doc_id long, text string").repartition(4)
+    got = Counter(tuple(r) for r in substrings.remove_repeats(table).select(*WORDS).collect())
+    assert got == without_word_repeats([(i, t) for i, t in plain], 13)
+    assert made["spans"] > 500 and made["edges"] < 50
+
+
 def test_scratch_tables_go(spark, docs):
     """Only a query's own narrow result stays in the shared folder."""
     from pathlib import Path
