@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import settled, slices, written
+from creditloom.llm.common import WIDE, settled, slices, written
 from creditloom.llm.components import components
 from creditloom.llm.spans import LAST, with_texts
 from creditloom.llm.words import mix, window_hashes, word_hashes
@@ -42,6 +42,8 @@ DIMENSIONS = 256
 SMALLEST = 64  # sizes from here on use one group per 1.4 tokens of the size class, smaller ones a group per token
 LEAF, FAN = 32, 16
 BLOCK = 512  # sets of a cell that one search holds
+LOWEST = 16  # cells of a set that travel with it
+STEP = 1 << 12  # rows or pairs that one step of a search holds
 SLICE = 1 << 20
 HELD = 1 << 19  # cells of a bucket between two sorts
 NO_CLASS = 0
@@ -336,7 +338,7 @@ def tree_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
 
     ``members``: cell, class, component, each once; sets meet in at least one cell more than they have to spare. A cell's
     classes fall into blocks by hash; each pair of blocks is a search of its own: an R-tree over one block, the other one's
-    points as queries.
+    points as queries. With each set go its lowest cells, so that a pair that meets in many is given by few.
     """
     members = written(thinned(members.join(undecided(members).select("cell"), "cell", "left_semi"), sets), "members")
     several = undecided(members)
@@ -350,49 +352,95 @@ def tree_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
         .select("cell", "class", "component", "block", F.explode("search").alias("s"))
         .select("cell", "class", "component", "block", "s.i", "s.j")
     )
-    narrow = sets.select("class", "n", "point")
+    lowest = members.groupBy("class").agg(F.slice(F.sort_array(F.collect_list("cell")), 1, LOWEST).alias("lowest"))  # a document's cells
+    narrow = sets.select("class", "n", "point").join(lowest, "class")
     dealt = placed.join(narrow, "class").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
 
-    def searches(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-        key, held = None, []
-        for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if row[:3] != key:
-                    if len(held) > 1:
-                        yield held
-                    key, held = row[:3], []
-                held.append(row[3:])
-        if len(held) > 1:
-            yield held
-
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left: list[int] = []
-        right: list[int] = []
-        for held in searches(batches):
-            names, parts, blocks, sizes = (np.array([h[k] for h in held]) for k in range(4))
-            vectors = widened([h[4] for h in held])
-            one = blocks == blocks.min()
-            two = ~one if (~one).any() else one
-            tree, inside = RTree(vectors[one], sizes[one]), np.flatnonzero(one)
-            for k in np.flatnonzero(two):
-                for m in inside[tree.search(vectors[k], sizes[k])]:
-                    if parts[m] != parts[k] and (blocks[m] != blocks[k] or names[m] < names[k]):
-                        left.append(min(names[m], names[k]))
-                        right.append(max(names[m], names[k]))
-            if len(left) > 1 << 16:
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
-                left, right = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
-
-    ordered = dealt.select("cell", "i", "j", "class", "component", "block", "n", "point")
+        for search in whole_searches(batches):
+            a, b = found_pairs(search)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    ordered = dealt.select("cell", "i", "j", "class", "component", "block", "n", "point", "lowest")
     return ordered.mapInArrow(rows, "a bigint, b bigint")
 
 
+def starts_of(batch: pa.RecordBatch) -> np.ndarray:
+    """First rows of the searches (cell, i, j) in a batch, and its end."""
+    change = np.ones(batch.num_rows + 1, dtype=bool)
+    change[1:-1] = np.logical_or.reduce([np.diff(batch.column(k).to_numpy()) != 0 for k in range(3)])
+    return np.flatnonzero(change)
+
+
+def whole_searches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, in batches that end where a search ends; a search has two blocks at most."""
+    rest = None
+    for batch in batches:
+        for at in range(0, batch.num_rows, STEP):
+            part = batch.slice(at, STEP)
+            rest = part if rest is None else pa.concat_batches([rest, part])
+            last = int(starts_of(rest)[-2])
+            if last:
+                yield rest.slice(0, last)
+                rest = rest.slice(last)
+    if rest is not None:
+        yield rest
+
+
+def found_pairs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of the pairs that the searches in ``batch`` give.
+
+    A search of ``LEAF`` sets at most is one leaf, compared as such. Sets that meet in many cells are given by one of
+    them where that can be told: not by a cell if both lists of lowest cells hold a lower one.
+    """
+    cell, i, j, names, parts, blocks, sizes = (batch.column(k).to_numpy() for k in range(7))
+    vectors = widened(batch.column(7).to_pylist())
+    ends = batch.column(8).offsets.to_numpy()
+    place = np.arange(LOWEST)
+    held = place < np.diff(ends)[:, None]
+    lows = np.full((len(cell), LOWEST), LAST)
+    lows[held] = batch.column(8).flatten().to_numpy()
+    cuts = starts_of(batch)
+    first, count = cuts[:-1], np.diff(cuts)
+    left, right = [], []
+
+    def keep(x: np.ndarray, y: np.ndarray, bounded: bool) -> None:
+        fit = (parts[x] != parts[y]) & ((i[x] == j[x]) | (blocks[x] != blocks[y]))
+        fit &= (5 * sizes[x] >= 4 * sizes[y]) & (5 * sizes[y] >= 4 * sizes[x])
+        x, y = x[fit], y[fit]
+        for a in range(0, len(x), STEP):
+            u, v = x[a : a + STEP], y[a : a + STEP]
+            both = np.sort(np.concatenate([lows[u], lows[v]], axis=1), axis=1)
+            lower = ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] < cell[u][:, None])).any(axis=1)
+            u, v = u[~lower], v[~lower]
+            if not bounded:
+                near = linked(np.minimum(vectors[u], vectors[v]).sum(axis=1), sizes[u], sizes[v])
+                u, v = u[near], v[near]
+            left.append(names[u])
+            right.append(names[v])
+
+    for k in np.unique(count[(count > 1) & (count <= LEAF)]):
+        x, y = np.triu_indices(k, 1)
+        for at in np.array_split(first[count == k], -(-int((count == k).sum()) * len(x) // (1 << 18))):
+            keep((at[:, None] + x).reshape(-1), (at[:, None] + y).reshape(-1), False)
+    for at, k in zip(first[count > LEAF], count[count > LEAF], strict=True):
+        own = np.arange(at, at + k)
+        one = blocks[own] == blocks[own].min()
+        inside, queries = own[one], own if one.all() else own[~one]
+        tree = RTree(vectors[inside], sizes[inside])
+        for q in queries:
+            near = inside[tree.search(vectors[q], sizes[q])]
+            near = near[(blocks[near] != blocks[q]) | (names[near] < names[q])]
+            keep(near, np.full(len(near), q), True)
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
 def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents with their class (doc_id, text_hash, n, class), and the components of linked classes (node, component)."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = written(filed(docs, buckets), "filed")
+    table = written(filed(docs, buckets), "filed", WIDE)
     known = table.where("bucket is null").select("doc_id", "text_hash", "n", "class")
     members = written(shared_cells(table.where("bucket is not null"), buckets).distinct(), "cells")
     involved = members.select("class").union(members.select("pivot")).distinct()
@@ -403,8 +451,8 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
     def checked(pairs: DataFrame) -> DataFrame:
-        kept = written(pairs, "pairs")
-        return written(verified(kept, written(sets_of(kept, points, docs), "sets")), "verified")
+        kept = written(pairs, "pairs", STEP)
+        return written(verified(kept, written(sets_of(kept, points, docs), "sets", WIDE)), "verified", WIDE)
 
     everyone = written(members.select("cell", "class").union(members.select("cell", "pivot")).distinct(), "everyone")
     kept = written(thinned(everyone, points), "kept")

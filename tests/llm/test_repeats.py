@@ -145,6 +145,20 @@ def test_cells_with_several_components_are_searched_in_blocks(spark, monkeypatch
     assert {tuple(r) for r in pairs.collect()} == {(i, i + 40) for i in range(40)}
 
 
+def test_a_pair_that_meets_in_many_cells_is_given_once(spark):
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**63, 50, dtype=np.uint64)
+    sets = [np.sort(np.concatenate([base, rng.integers(0, 2**63, 3, dtype=np.uint64)])) for _ in range(40)]
+    table = spark.createDataFrame(
+        [(i, len(s), 0, bytearray(shingle_join.narrowed(shingle_join.point(s)))) for i, s in enumerate(sets)], "class long, n long, spare int, point binary"
+    )
+    members = spark.range(40).select(F.col("id").alias("class"), F.col("id").alias("component"), F.explode(F.sequence(F.lit(1), F.lit(60))).alias("cell"))
+    # every third set is missing in most cells, and the first ten meet in cells of their own as well
+    met = members.where("class % 3 > 0 or cell % 20 = 7 or cell > 58 and class < 10").selectExpr("cast(cell as long) as cell", "class", "component")
+    pairs = shingle_join.tree_pairs(met, table)
+    assert pairs.distinct().count() == 40 * 39 // 2 and pairs.count() == 40 * 39 // 2
+
+
 def test_components_of_long_and_wide_graphs(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 500)] + [(7, 7), (3, 150)]
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
