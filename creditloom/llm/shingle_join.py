@@ -285,7 +285,7 @@ def sets_of(pairs: DataFrame, points: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sizes and count vectors allow a link."""
+    """The pairs (a, b) whose count vectors allow a link."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,11 +294,8 @@ def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep = linked(np.minimum(p, q).sum(axis=1, dtype=np.int64), p.sum(axis=1, dtype=np.int64), q.sum(axis=1, dtype=np.int64))
                 yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    sizes = lambda side: sets.select(F.col("class").alias(side), F.col("n").alias(f"n{side}"))
     points = lambda side: sets.select(F.col("class").alias(side), F.col("point").alias(f"p{side}"))
-    # sizes rule out most pairs; points, which are wider, join the rest
-    sized = pairs.join(sizes("a"), "a").join(sizes("b"), "b").where("5 * na >= 4 * nb and 5 * nb >= 4 * na")
-    joined = sized.select("a", "b").join(points("a"), "a").join(points("b"), "b")
+    joined = pairs.join(points("a"), "a").join(points("b"), "b")
     return joined.select("a", "b", "pa", "pb").mapInArrow(rows, "a bigint, b bigint")
 
 
@@ -325,12 +322,15 @@ def undecided(members: DataFrame) -> DataFrame:
     return sides.where("lo <> hi").select("cell", "k")
 
 
-def thinned(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """``members`` (cell, class and more, each once) without the cells, most crowded first, that each class can spare."""
+def thinned(members: DataFrame, sets: DataFrame, *also: str) -> DataFrame:
+    """``members`` (cell, class and more, each once) without the cells, most crowded first, that each class can spare.
+
+    ``also`` names columns of ``sets`` to carry along.
+    """
     sizes = members.groupBy("cell").agg(F.count(F.lit(1)).alias("_k"))
     behind = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("_k"), F.desc("cell")))  # a document's cells
-    placed = members.join(sizes, "cell").join(sets.select("class", "spare"), "class").withColumn("_behind", behind)
-    return placed.where("_behind > spare").select(members.columns)
+    placed = members.join(sizes, "cell").join(sets.select("class", "spare", *also), "class").withColumn("_behind", behind)
+    return placed.where("_behind > spare").select(*members.columns, *also)
 
 
 def tree_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -455,9 +455,11 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return written(verified(kept, written(sets_of(kept, points, docs), "sets", WIDE)), "verified", WIDE)
 
     everyone = written(members.select("cell", "class").union(members.select("cell", "pivot")).distinct(), "everyone")
-    kept = written(thinned(everyone, points), "kept")
-    first = kept.groupBy("cell").agg(F.min("class").alias("a"))
-    stars = kept.join(first, "cell").where("a < class").select("a", F.col("class").alias("b")).distinct()
+    kept = written(thinned(everyone, points, "n"), "kept")
+    first = kept.groupBy("cell").agg(F.min(F.struct("class", "n")).alias("_first"))
+    # sizes rule out most pairs before they become rows
+    meets = kept.join(first, "cell").where("_first.class < class and 5 * _first.n >= 4 * n and 5 * n >= 4 * _first.n")
+    stars = meets.select(F.col("_first.class").alias("a"), F.col("class").alias("b")).distinct()
     links = checked(bounded(stars, points))
     joined = components(links)
 

@@ -159,6 +159,24 @@ def test_a_pair_that_meets_in_many_cells_is_given_once(spark):
     assert pairs.distinct().count() == 40 * 39 // 2 and pairs.count() == 40 * 39 // 2
 
 
+def test_star_pairs_fit_in_size(spark, monkeypatch, multiset):
+    """Texts of many lengths that share a beginning: only pairs whose sizes allow a link are made."""
+    made, plain_bounded = [], shingle_join.bounded
+
+    def counted(pairs, sets):
+        size = {r["class"]: r["n"] for r in sets.select("class", "n").collect()}
+        made.extend((size[r["a"]], size[r["b"]]) for r in pairs.collect())
+        return plain_bounded(pairs, sets)
+
+    monkeypatch.setattr(shingle_join, "bounded", counted)
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(2000)]
+    table = spark.createDataFrame([(n, " ".join(words[:n])) for n in range(64, 128, 2)], "doc_id long, text string").repartition(3)
+    got = shingle_join.jaccard_components(table)
+    assert {r["component_id"] for r in got.collect()} == {64}
+    assert made and all(5 * m >= 4 * n and 5 * n >= 4 * m for m, n in made)
+
+
 def test_components_of_long_and_wide_graphs(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 500)] + [(7, 7), (3, 150)]
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
