@@ -37,7 +37,7 @@ def _recent(lake: Lake) -> DataFrame:
 
 
 def _summary(lake: Lake) -> DataFrame:
-    return serving.transaction_summary(lake.table("transactions"))
+    return serving.transaction_summary(lake.held("transactions"))  # one pass over them
 
 
 # --- customers -----------------------------------------------------------------------------------
