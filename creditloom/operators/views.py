@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditloom.functions.bands import consumer_band, consumer_tone, first_match
 from creditloom.functions.numbers import fixed_text, or_zero
+from creditloom.operators.keyed import top_n_per_key
 from creditloom.operators.serving import NEGATIVE_STATUS, ranked_rows
 
 
@@ -282,3 +285,30 @@ def transactions_page(
     return placed.join(totals, "customer_id").withColumn("page", shown).where(
         F.ceil(F.col("place") / page_size) == F.col("page")
     )
+
+
+def early_page(
+    transactions: DataFrame,
+    transaction_type: str | None = None,
+    sort_by: str = "transaction_date",
+    descending: bool = True,
+    page: int = 1,
+    page_size: int = 20,
+    more: Sequence[str] | None = None,
+) -> DataFrame:
+    """``transactions_page`` straight from unranked transactions, for pages near the front.
+
+    A customer's page lies in the first ``page * page_size`` rows of the order, or, if there are fewer rows, is the last page of
+    them. Map tasks drop the rest, and rows travel with the columns that order them and those named by ``more``: by default all.
+    """
+    if transaction_type:
+        transactions = transactions.where(F.col("transaction_type") == transaction_type)
+    rows = labelled_events(transactions).withColumn("_key", _sort_key(sort_by))
+    own = ["customer_id", "transaction_id", "transaction_date"]
+    names = [c for c in rows.columns if c != "_key"] if more is None else [*own, *(c for c in more if c not in own)]
+    newest = [F.desc_nulls_last("transaction_date"), F.desc_nulls_last("transaction_id")]
+    order = [F.col("_key").desc() if descending else F.col("_key").asc(), *newest]
+    placed = top_n_per_key(rows.select(*names, "_key"), ["customer_id"], order, page * page_size, "place").drop("_key")
+    totals = transactions.groupBy("customer_id").agg(F.ceil(F.count(F.lit(1)) / page_size).cast("int").alias("pages"))
+    shown = F.least(F.lit(page), F.col("pages"))
+    return placed.join(totals, "customer_id").withColumn("page", shown).where(F.ceil(F.col("place") / page_size) == F.col("page"))

@@ -173,8 +173,7 @@ def event_usage(lake: Lake) -> DataFrame:
        WHERE ceil(place / 20.0) = page"""
 )
 def transactions_page(lake: Lake) -> DataFrame:
-    index = lake.table("pages_by_amount")
-    page = views.indexed_page(lake.table("recent"), index, sort_by="amount", descending=False, page=2)
+    page = views.early_page(lake.table("transactions"), sort_by="amount", descending=False, page=2, more=[])
     return page.select("customer_id", "transaction_id", "place", "page", "pages")
 
 

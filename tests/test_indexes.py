@@ -8,9 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from creditloom.operators import serving, state, views
+from creditloom.plans import lake as lakes
+from creditloom.plans import serving_queries, view_queries
 from creditloom.schemas import TRANSACTIONS
 from creditloom.session import fresh_path
 from creditloom.sources.files import write_bucketed
+from tests.conftest import SMALL
 
 
 def plan_of(df):
@@ -65,6 +68,28 @@ def test_a_late_page_sorts_one_range(spark, recent):
     assert sum("Exchange" in line for line in plan.splitlines()) <= 3
 
 
+@pytest.mark.parametrize(("sort_by", "descending", "kind"), [
+    ("amount", False, None), ("amount", True, "LOAN_PAYMENT"), ("transaction_date", True, None), ("activity", False, None),
+])
+def test_an_early_page_is_the_sorted_one(spark, recent, sort_by, descending, kind):
+    columns = ["customer_id", "transaction_id", "place", "page", "pages"]
+    for page in (1, 2, 9):
+        want = views.transactions_page(recent, kind, sort_by, descending, page).select(columns)
+        got = views.early_page(recent.drop("rank"), kind, sort_by, descending, page, more=[])
+        assert as_list(got.select(columns)) == as_list(want)
+        assert "WindowGroupLimit" in plan_of(got)
+
+
+def test_a_page_and_a_summary_write_no_more_than_they_read_twice(spark, monkeypatch):
+    """The page by amount needs neither ranks nor an index; the summary, one pass over the transactions, writes no layer."""
+    monkeypatch.setattr(lakes, "_published", {})
+    own = lakes.Lake(spark, SMALL)
+    serving_queries.transaction_summary(own).collect()
+    assert not lakes._published
+    view_queries.transactions_page(own).collect()
+    assert {key[-1] for key in lakes._published} == {"transactions"}
+
+
 def test_search_by_grams_equals_a_scan(spark, lake):
     profiles, scores, features = (lake.table(n) for n in ("profile", "scores", "features"))
     rows = write_bucketed(serving.search_rows(profiles, scores, features), fresh_path(spark, "test-search"), "rows", ["customer_id"], 4)
