@@ -294,6 +294,21 @@ def test_repeated_words(docs, plain, multiset, monkeypatch, held):
     assert multiset(substrings.remove_repeats(docs), *WORDS) == without_word_repeats(plain, 13)
 
 
+def test_workers_get_few_texts_at_once(spark, monkeypatch):
+    """The first pass over the bytes of all texts sets how many rows a worker gets, and sets it back."""
+    seen, plain_written = {}, suffixes.written
+
+    def watched(df, label, *batch):
+        seen[label] = batch
+        return plain_written(df, label, *batch)
+
+    monkeypatch.setattr(suffixes, "written", watched)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    suffixes.remove_repeats(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")).collect()
+    assert seen["walks"] and seen["walks"][0] <= 256 and spark.conf.get(key) == before
+
+
 def test_only_windows_of_two_documents_become_rows(spark, monkeypatch):
     """Texts that share phrases of five words, and few windows of thirteen: the others are never rows of a table."""
     made, plain_written = {}, substrings.written
