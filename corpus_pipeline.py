@@ -41,9 +41,9 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of 400 bytes that stand anywhere else. Documents stay, also with nothing left.
+    """Texts without passages of 400 bytes that stand anywhere else, or of over 50 words that another document holds.
 
-    A piece of a character at a cut goes with the passage; ``n_chars`` follows the text.
+    Documents stay, also with nothing left. A piece of a character at a cut goes with the passage; ``n_chars`` follows the text.
     """
     importable(spark)
     changed = suffixes.without_repeats(docs).select(

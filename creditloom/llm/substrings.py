@@ -115,8 +115,9 @@ def walks(docs: DataFrame, buckets: int, size: int = SIZE) -> DataFrame:
     return keyed(docs).select("place", "text_hash", "doc_id", "text").mapInArrow(rows, schema)
 
 
-def shared_paths(blobs: DataFrame, buckets: int) -> DataFrame:
-    """(hash, reading, place, text_hash, start, length) of all paths whose hash occurs in documents of two places.
+def shared_paths(blobs: DataFrame, buckets: int, texts: bool = False) -> DataFrame:
+    """(hash, reading, place, text_hash, start, length) of all paths whose hash occurs in documents of two places, or
+    with ``texts`` also in two texts of one place.
 
     A task holds, per bucket, the paths whose hash has one place so far; of a shared hash it keeps a mark only.
     """
@@ -150,6 +151,8 @@ def shared_paths(blobs: DataFrame, buckets: int) -> DataFrame:
         first = np.flatnonzero(np.diff(own["hash"], prepend=~own["hash"][:1]))
         counts = np.diff(np.append(first, len(own)))
         shared = np.minimum.reduceat(own["place"], first) != np.maximum.reduceat(own["place"], first)
+        if texts:
+            shared |= np.minimum.reduceat(own["text"], first) != np.maximum.reduceat(own["text"], first)
         shared |= np.logical_or.reduceat(own["shared"], first)
         every = np.repeat(shared, counts)
         out = own[every & ~own["shared"]]
@@ -234,6 +237,35 @@ def repeated_windows(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, Data
     return table.where("bucket is null").drop("bucket", "blob"), whole.unionByName(single).distinct()
 
 
+def shared_windows(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """Spans (place, text_hash, start, length) of windows that start in two documents, in every document that holds them.
+
+    Rows with the same doc_id and text are one document.
+    """
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blobs = written(walks(docs, buckets, size).where("bucket is not null").select("bucket", "blob"), "walks")
+    shared = written(shared_paths(blobs, buckets, texts=True), "paths")
+
+    own, span = F.struct("place", "text_hash"), ["place", "text_hash", "start", "length"]
+    readings = shared.groupBy("hash", "reading").agg(F.min(own).alias("low"), F.max(own).alias("high"))
+    branches = readings.groupBy("hash").agg((F.count(F.lit(1)) > 1).alias("branching"))
+    # the windows of a branching reading start in two documents if its first and last are two, or those of another reading
+    edge = F.col("branching") & ((own == F.col("low")) | (own == F.col("high")))
+    several = F.col("low") < F.col("high")
+    seen = written(
+        shared.join(readings, ["hash", "reading"])
+        .join(branches, "hash")
+        .where(several | edge)
+        .select(*span, several.alias("several"), edge.alias("edge")),
+        "spans",
+    )
+    border = seen.where("edge").select(*span).distinct()
+    edges = written(shared_paths(written(opened(border, docs, buckets, size), "opened"), buckets, texts=True), "edges")
+    held = edges.groupBy("reading").agg((F.min(own) < F.max(own)).alias("several"))
+    single = edges.join(held.where("several"), "reading", "left_semi").select(*span)
+    return seen.where("several").select(*span).unionByName(single).distinct()
+
+
 def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row.
 

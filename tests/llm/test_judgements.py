@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from creditloom.llm import licenses, neighbours, quality, spotsigs
-from creditloom.llm.common import documents
+from creditloom.llm.common import documents, importable
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 
@@ -226,6 +226,17 @@ def test_stages_keep_the_columns_and_the_documents(spark, docs, empty):
     assert cut.where("doc_id = 27").first()["text"] == ""
 
 
+def test_passages_of_over_50_words_go_however_short(spark):
+    importable(spark)
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    long, short = words("p", 51), words("q", 50)  # 193 and 189 bytes
+    rows = [(i, f"{words(f'a{i}-', 30)}\n{long}  {words(f'b{i}-', 30)} {short} end{i}") for i in range(3)]
+    rows += [(None, f"x {long} y"), (None, f"z {long}"), (7, long), (8, words("r", 60)), (9, None)]
+    table = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.without_repeats(spark, table, SMALL).collect())
+    assert left == Counter((i, t.replace(long, "") if t else t) for i, t in rows)
+
+
 @pytest.mark.parametrize(("name", "stage"), corpus_pipeline.STAGES[:-1])
 def test_stages_keep_clashing_columns(spark, docs, empty, name, stage):
     wide = docs.withColumnRenamed("n_words", "_Score")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -294,6 +294,24 @@ def test_repeated_words(docs, plain, multiset, monkeypatch, held):
     assert multiset(substrings.remove_repeats(docs), *WORDS) == without_word_repeats(plain, 13)
 
 
+@pytest.mark.parametrize("size", [13, 51])
+@pytest.mark.parametrize("held", [1 << 20, 10])
+def test_windows_of_two_documents(docs, plain, monkeypatch, held, size):
+    monkeypatch.setattr(substrings, "HELD", held)
+    words = {(LAST if d is None else d, t or ""): WORD.findall(t or "") for d, t in plain}
+    holders = defaultdict(set)
+    for key, w in words.items():
+        for i in range(len(w) - size + 1):
+            holders[tuple(w[i : i + size])].add(key)
+    want = Counter()
+    for (place, _), w in words.items():
+        want.update((place, " ".join(w), i) for i in range(len(w) - size + 1) if len(holders[tuple(w[i : i + size])]) > 1)
+    hashes = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("place"), F.xxhash64("text").alias("text_hash"), "text").distinct()
+    found = substrings.shared_windows(docs, size).join(hashes, ["place", "text_hash"]).collect()
+    got = {(r["place"], " ".join(WORD.findall(r["text"] or "")), i) for r in found for i in range(r["start"], r["start"] + r["length"])}
+    assert got == set(want) and len(got) > 1000
+
+
 def test_workers_get_few_texts_at_once(spark, monkeypatch):
     """The first pass over the bytes of all texts sets how many rows a worker gets, and sets it back."""
     seen, plain_written = {}, suffixes.written
