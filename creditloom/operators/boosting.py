@@ -7,7 +7,8 @@ its parent less the leaf. Leaves with few rows are grown to the end by one task
 them again and again would cost more than their rows. Which leaf comes next is decided afterwards, in the same order.
 
 A tree takes several jobs, so a job must cost little: rows are kept in blocks of columns (one row of the table holds some
-thousand rows as bytes), and the histograms of a few tasks go to the driver without a shuffle.
+thousand rows as bytes), and the histograms of a few tasks go to the driver without a shuffle. A table with as few rows as such
+a leaf needs no job per tree: one task grows a hundred trees after one another and keeps the margins meanwhile.
 
 Gradients are whole numbers of 2^-scale, so sums and with them splits don't depend on how rows are dealt to tasks.
 """
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 from creditloom.operators.running import running
 from creditloom.session import fresh_path, importable, remove
 
-STEP_ROWS = 20_000  # a leaf with no more rows is grown by one task
+STEP_ROWS = 1_000_000  # a leaf with no more rows is grown by one task, and a table with no more rows is fitted by one
 WRITE_EVERY = 10  # trees after which margins are written
+TASK_TREES = 100  # trees that one task grows after one another
+COUNT_ROWS = 8192  # rows that are counted at once, so that what is gathered of them stays in a core's cache
 LEAST_GAIN = 1e-9
 LOW_BITS = 26
 LOW = (1 << LOW_BITS) - 1
@@ -235,32 +238,98 @@ def best_split(counts: np.ndarray, rules: Rules) -> Split | None:
     return Split(float(gain[feature, cut]), feature, cut, left, right)
 
 
-def grown(codes: np.ndarray, g: np.ndarray, h: np.ndarray, splits: int, rules: Rules) -> list[tuple]:
-    """The best ``splits`` splits below a node, best leaf first: (parent, side, split) by their order."""
-    waiting: list[tuple] = []
-    out: list[tuple] = []
+def _addends(values: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """Whole numbers as doubles whose sums are exact, with the binary digits to shift them by: one part below 2^53 in sum, or two."""
+    small = int(np.abs(values).sum()) < 1 << 53
+    halves = [(values, 0)] if small else [(values >> LOW_BITS, LOW_BITS), (values & LOW, 0)]
+    return [(half.astype(np.float64), shift) for half, shift in halves]
 
-    def look(rows: np.ndarray, counts: np.ndarray, parent: int, side: int) -> None:
-        split = best_split(counts, rules)
-        if split:
-            heapq.heappush(waiting, (-split.gain, parent, side, split, rows, counts))
-
-    everything = np.arange(len(codes))
-    look(everything, histogram(codes, g, h, rules.bins), -1, 0)
-    while waiting and len(out) < splits:
-        _, parent, side, split, rows, counts = heapq.heappop(waiting)
-        out.append((parent, side, split))
-        if len(out) == splits:
-            break
-        over = codes[rows, split.feature] > split.bin
-        parts = [rows[~over], rows[over]]
-        smaller = int(len(parts[1]) < len(parts[0]))
-        some = parts[smaller]
-        part = histogram(_some(codes, some), g[some], h[some], rules.bins)
-        both = [part, counts - part] if smaller == 0 else [counts - part, part]
-        for child in (0, 1):
-            look(parts[child], both[child], len(out) - 1, child)
-    return out
+
+class Held:
+    """Rows in the memory of one task, to grow trees over.
+
+    The bins of all columns lie in one row of slots, each column's after those of the column before, so a few rows are counted in
+    all columns by one pass.
+    """
+
+    def __init__(self, codes: np.ndarray) -> None:
+        sizes = codes.max(axis=0).astype(np.int64) + 1
+        self.codes, self.ends = codes, np.cumsum(sizes)
+        self.starts, self.size = self.ends - sizes, int(self.ends[-1])
+        self.column = np.repeat(np.arange(len(sizes)), sizes)
+        self.slots = np.empty(codes.shape, dtype=np.uint16 if self.size <= 1 << 16 else np.int32)
+        for f, start in enumerate(self.starts):
+            self.slots[:, f] = codes[:, f] + start
+        self.row_numbers = np.arange(len(codes))
+        self.row_counts = np.concatenate([np.bincount(codes[:, f], minlength=n) for f, n in enumerate(sizes)])
+
+    def grown(self, g: np.ndarray, h: np.ndarray, splits: int, rules: Rules) -> tuple[list[tuple], dict[tuple, np.ndarray]]:
+        """The best ``splits`` splits, best leaf first: (parent, side, split) by their order; and the rows of each leaf by (parent, side)."""
+        slots = self.slots.take(rules.columns, axis=1)
+        parts = [_addends(g), _addends(h)]
+        allowed = np.isin(self.column, rules.columns)
+        before = np.searchsorted(rules.columns, self.column)  # columns that are counted before a slot's
+        first = int(self.ends[rules.columns[0]]) - 1
+        waiting: list[tuple] = []
+        out: list[tuple] = []
+        ends = {(-1, 0): self.row_numbers}
+
+        def counted(rows: np.ndarray) -> np.ndarray:
+            """(3, slots): gradient, second derivative and rows, added up exactly."""
+            total = np.zeros((3, self.size), dtype=np.int64)
+            everything = len(rows) == len(self.codes)
+            for i in range(0, len(rows), COUNT_ROWS):
+                some = rows[i : i + COUNT_ROWS]
+                cells = slots.take(some, axis=0).ravel().astype(np.intp)
+                for sums, part in zip(total, parts, strict=False):
+                    for values, shift in part:
+                        found = np.bincount(cells, np.repeat(values.take(some), slots.shape[1]), self.size)
+                        sums += found.astype(np.int64) << shift
+                if not everything:
+                    total[2] += np.bincount(cells, minlength=self.size)
+            if everything:
+                total[2] = np.where(allowed, self.row_counts, 0)
+            return total
+
+        def best(counts: np.ndarray) -> Split | None:
+            """As ``best_split``, in slots."""
+            below = np.cumsum(counts, axis=1)
+            total = below[:, first].copy()
+            below -= total[:, None] * before  # what overflows here did so in the sums as well
+            above = total[:, None] - below
+            (gl, hl), (gr, hr), (gt, ht) = (x[:2] * rules.unit for x in (below, above, total))
+            fine = allowed & (below[2] >= rules.least_rows) & (above[2] >= rules.least_rows)
+            fine &= (hl >= rules.least_hessian) & (hr >= rules.least_hessian)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = np.where(fine, gl * gl / hl + gr * gr / hr - gt * gt / ht, -np.inf)
+            at = int(np.argmax(gain))
+            if not gain[at] > LEAST_GAIN:
+                return None
+            feature = int(self.column[at])
+            left, right = (tuple(int(v) for v in x[:, at]) for x in (below, above))
+            return Split(float(gain[at]), feature, at - int(self.starts[feature]), left, right)
+
+        def look(counts: np.ndarray, parent: int, side: int) -> None:
+            split = best(counts)
+            if split:
+                heapq.heappush(waiting, (-split.gain, parent, side, split, counts))
+
+        look(counted(self.row_numbers), -1, 0)
+        while waiting and len(out) < splits:
+            _, parent, side, split, counts = heapq.heappop(waiting)
+            rows = ends.pop((parent, side))
+            over = self.codes[:, split.feature].take(rows) > split.bin
+            children = [rows[~over], rows[over]]
+            ends |= {(len(out), i): child for i, child in enumerate(children)}
+            out.append((parent, side, split))
+            if len(out) == splits:
+                break
+            smaller = int(len(children[1]) < len(children[0]))
+            part = counted(children[smaller])
+            both = [part, counts - part] if smaller == 0 else [counts - part, part]
+            for child in (0, 1):
+                look(both[child], len(out) - 1, child)
+        return out, ends
 
 
 # one tree over a table ----------------------------------------------------------------------------------
@@ -296,13 +365,18 @@ def _summed(packed: pa.Table, cells: int) -> np.ndarray:
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     small = np.exp(-np.abs(x))
-    return np.where(x >= 0, 1.0, small) / (1.0 + small)
+    p = np.where(x >= 0, 1.0, small)
+    p /= 1.0 + small
+    return p
 
 
 def derivatives(label: np.ndarray, weight: np.ndarray, margin: np.ndarray, scale: int) -> tuple[np.ndarray, np.ndarray]:
     p = sigmoid(margin)
-    g, h = weight * (p - label), weight * p * (1.0 - p)
-    return tuple(np.rint(np.ldexp(x, scale)).astype(np.int64) for x in (g, h))
+    g, h = weight * (p - label), weight * p
+    h *= 1.0 - p
+    for x in (g, h):
+        x *= math.ldexp(1.0, scale)
+    return tuple(np.rint(x, out=x).astype(np.int64) for x in (g, h))
 
 
 @dataclass(frozen=True)
@@ -375,7 +449,7 @@ class Round:
             parts = table.to_pylist()
             codes = np.concatenate([_codes(p["codes"], p["n"]).T for p in parts], axis=1).T
             g, h = (np.concatenate([np.frombuffer(p[c], dtype=np.int64) for p in parts]) for c in "gh")
-            found = grown(codes, g, h, splits, rules)
+            found, _ = Held(codes).grown(g, h, splits, rules)
             leaf = table.column("leaf")[0].as_py()
             flat = [(leaf, i, p, side, s.gain, s.feature, s.bin, *s.left, *s.right) for i, (p, side, s) in enumerate(found)]
             return pa.Table.from_pylist([dict(zip(fields, r, strict=True)) for r in flat], schema=kinds)
@@ -444,8 +518,8 @@ def _structure(root: Node) -> tuple[Tree, dict[int, int]]:
     return tree, ends
 
 
-def _adopt(node: Node, splits: list[tuple]) -> None:
-    """Hangs the splits that a task found below ``node``; below the last of them nothing can be chosen."""
+def _adopt(node: Node, splits: list[tuple]) -> list[Node]:
+    """Hangs the splits that a task found below ``node`` and returns what they split; below the last of them nothing can be chosen."""
     made: list[Node] = []
     node.settle(None)
     for parent, side, split in splits:
@@ -454,6 +528,7 @@ def _adopt(node: Node, splits: list[tuple]) -> None:
         made.append(at)
         for child in at.children:
             child.known = True
+    return made
 
 
 def _look(this: Round, root: Node, parents: list[Node], splits: int, step_rows: int) -> None:
@@ -489,6 +564,12 @@ def grow_tree(this: Round, rows: int, growth: Growth) -> tuple[Tree, list[Step]]
         if parents is None:
             break
         _look(this, root, parents, growth.leaves - 1 - len(chosen), growth.step_rows)
+    tree, steps, _ = _finished(root, chosen, growth)
+    return tree, steps
+
+
+def _finished(root: Node, chosen: list[tuple[Node, int]], growth: Growth) -> tuple[Tree, list[Step], dict[int, int]]:
+    """The tree of the chosen splits, these in their order, and where each node is in the tree."""
     tree, steps = Tree(), []
     place = {id(root): tree.leaf()}
     for node, number in chosen:
@@ -498,7 +579,52 @@ def grow_tree(this: Round, rows: int, growth: Growth) -> tuple[Tree, list[Step]]
         for child, side in zip(node.children, (tree.left, tree.right), strict=True):
             g, h, _ = child.total
             side[at] = place[id(child)] = tree.leaf(-growth.learning_rate * g / h)
-    return tree, steps
+    return tree, steps, place
+
+
+def trees_by_steps(state: DataFrame, rows: int, scale: int, rules: list[Rules], growth: Growth) -> list[Tree]:
+    """A tree by each of ``rules``, or as many as gain anything, over a table of any size."""
+    tasks = state.rdd.getNumPartitions()
+    trees: list[Tree] = []
+    for of_tree in rules:
+        tree, steps = grow_tree(Round(state, tuple(trees), scale, of_tree, tasks), rows, growth)
+        if not steps:
+            break
+        trees.append(tree)
+    return trees
+
+
+# many trees in one task ---------------------------------------------------------------------------------
+
+TREES = "feature array<int>, bin array<int>, left array<int>, right array<int>, value array<double>"
+
+
+def trees_of_one_task(state: DataFrame, scale: int, rules: list[Rules], growth: Growth) -> list[Tree]:
+    """A tree by each of ``rules``, or as many as gain anything, grown after one another by a task that holds all rows."""
+    names = list(Tree.__dataclass_fields__)
+    kinds = pa.schema([(c, pa.list_(pa.float64() if c == "value" else pa.int32())) for c in names])
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = list(_blocks(batches))
+        if not blocks:
+            return
+        held = Held(np.concatenate([codes.T for codes, *_ in blocks], axis=1).T)
+        label, weight, margin = (np.concatenate([b[i] for b in blocks]) for i in (1, 2, 3))
+        del blocks
+        for of_tree in rules:
+            g, h = derivatives(label, weight, margin, scale)
+            found, ends = held.grown(g, h, growth.leaves - 1, of_tree)
+            if not found:
+                return
+            root = Node((0, 0, len(label)))
+            made = _adopt(root, found)
+            tree, _, place = _finished(root, replay(root, growth.leaves)[0], growth)
+            for (parent, side), rows in ends.items():
+                margin[rows] += tree.value[place[id(made[parent].children[side])]]
+            yield pa.RecordBatch.from_pylist([{c: getattr(tree, c) for c in names}], schema=kinds)
+
+    found = state.coalesce(1).mapInArrow(grow, TREES).toArrow().to_pylist()  # in their order, as one task made them
+    return [Tree(**row) for row in found]
 
 
 # the model ----------------------------------------------------------------------------------------------
@@ -616,7 +742,7 @@ def start(
 def _kept(state: DataFrame) -> DataFrame:
     path = fresh_path(state.sparkSession, "boosting")
     state.write.parquet(path)
-    return state.sparkSession.read.schema(STATE).parquet(path).persist()
+    return state.sparkSession.read.schema(STATE).parquet(path)
 
 
 def _dropped(state: DataFrame) -> None:
@@ -641,22 +767,25 @@ def rules_for(growth: Growth, tree: int, columns: Sequence[str], edges: Sequence
 def fit(rows: DataFrame, columns: Sequence[str], label: str, weight: str, growth: Growth = Growth()) -> BoostedTrees:
     """Boosted trees for a label of 0 and 1 on ``columns``; NULL values count as 0.
 
-    Margins are written every ``WRITE_EVERY`` trees, so a lost executor costs a read and a few trees, not the fit.
+    Margins are written every ``WRITE_EVERY`` trees, so a lost executor costs a read and a few trees, not the fit; where one task
+    grows the trees, every ``TASK_TREES``.
     """
     state, edges, base, scale, count = start(rows, columns, label, weight, growth)
-    tasks = state.rdd.getNumPartitions()
+    in_task = count <= growth.step_rows
+    at_once = TASK_TREES if in_task else WRITE_EVERY
     trees: list[Tree] = []
-    since: list[Tree] = []
-    for number in range(growth.trees):
-        this = Round(state, tuple(since), scale, rules_for(growth, number, columns, edges, scale), tasks)
-        tree, steps = grow_tree(this, count, growth)
-        if not steps:
-            break  # nothing is left to gain
-        trees.append(tree)
-        since.append(tree)
-        if len(since) == WRITE_EVERY and number + 1 < growth.trees:
-            before, state, since = state, _kept(with_margins(state, since)), []
-            _dropped(before)
+    while len(trees) < growth.trees:
+        numbers = range(len(trees), min(len(trees) + at_once, growth.trees))
+        rules = [rules_for(growth, number, columns, edges, scale) for number in numbers]
+        if in_task:
+            since = trees_of_one_task(state, scale, rules, growth)
+        else:
+            since = trees_by_steps(state.persist(), count, scale, rules, growth)
+        trees += since
+        if len(since) < len(numbers) or len(trees) == growth.trees:
+            break  # nothing is left to gain, or all are there
+        before, state = state, _kept(with_margins(state, since))
+        _dropped(before)
     _dropped(state)
     return BoostedTrees(list(columns), edges, base, trees)
 
@@ -667,6 +796,7 @@ def first_tree(rows: DataFrame, columns: Sequence[str], label: str, weight: str,
     The left part keeps the leaf's number (the root has 0), the right one gets the number of the step.
     """
     state, edges, _, scale, count = start(rows, columns, label, weight, growth)
+    state = state.persist()
     this = Round(state, (), scale, rules_for(growth, 0, columns, edges, scale), state.rdd.getNumPartitions())
     _, steps = grow_tree(this, count, growth)
     _dropped(state)

@@ -254,3 +254,47 @@ def test_histograms_of_large_gradients_are_exact():
             for b in range(8):
                 some = [i for i in range(500) if codes[i, f] == b]
                 assert got[f, b].tolist() == [sum(int(v[i]) for i in some) for v in (g, h)] + [len(some)]
+
+
+def test_trees_of_a_small_table_take_no_job_each(spark, rows):
+    """One task grows them after one another."""
+    ran = lambda: max(spark.sparkContext.statusTracker().getJobIdsForGroup(None), default=-1)
+
+    def jobs(trees):
+        before = ran()
+        model = boosting.fit(rows, COLUMNS, "default_flag", "weight", Growth(trees=trees, leaves=8, least_rows=5))
+        assert len(model.trees) == trees
+        return ran() - before
+
+    jobs(1)
+    assert jobs(30) <= jobs(2) + 2
+
+
+def test_one_task_goes_on_from_the_margins_written(spark, rows, monkeypatch):
+    growth = dict(trees=7, leaves=8, least_rows=5)
+    whole = boosting.fit(rows, COLUMNS, "default_flag", "weight", Growth(**growth))
+    monkeypatch.setattr(boosting, "TASK_TREES", 3)
+    for step_rows in (10**6, 0):
+        model = boosting.fit(rows.repartition(5), COLUMNS, "default_flag", "weight", Growth(**growth, step_rows=step_rows))
+        assert same(model, whole) and len(model.trees) == 7
+
+
+def test_rows_held_are_split_by_the_best_of_all_cuts():
+    """Each split against ``best_split`` over a histogram of the leaf's rows; sums of gradients below and above 2^53."""
+    rng = random.Random(4)
+    n, chosen = 20_000, (0, 2, 3)  # more rows than are counted at once
+    codes = np.array([[rng.randrange(b) for b in (1, 9, 40, 7)] for _ in range(n)], dtype=np.int16)
+    for size in (1 << 20, 1 << 46):
+        g = np.array([rng.randrange(-size, size) + size // 4 * int(c[2] % 3) for c in codes], dtype=np.int64)
+        h = np.array([rng.randrange(1, size) for _ in codes], dtype=np.int64)
+        rules = boosting.Rules(chosen, 4, 40, 5, 1e-9, 1 / size)
+        found, ends = boosting.Held(np.asfortranarray(codes)).grown(g, h, 12, rules)
+        assert len(found) == 12 and sorted(np.concatenate(list(ends.values())).tolist()) == list(range(n))
+        leaves = {(-1, 0): np.arange(n)}
+        for i, (parent, side, split) in enumerate(found):
+            best = {k: boosting.best_split(boosting.histogram(codes[r], g[r], h[r], 40), rules) for k, r in leaves.items()}
+            assert best[parent, side] == split and split.gain == max(b.gain for b in best.values() if b)
+            rows_of = leaves.pop((parent, side))
+            over = codes[rows_of, split.feature] > split.bin
+            leaves |= {(i, 0): rows_of[~over], (i, 1): rows_of[over]}
+        assert all(np.array_equal(leaves[k], r) for k, r in ends.items()) and leaves.keys() == ends.keys()
