@@ -280,10 +280,11 @@ class Held:
             everything = len(rows) == len(self.codes)
             for i in range(0, len(rows), COUNT_ROWS):
                 some = rows[i : i + COUNT_ROWS]
-                cells = slots.take(some, axis=0).ravel().astype(np.intp)
+                here = (lambda x: x[i : i + COUNT_ROWS]) if everything else (lambda x: x.take(some, axis=0))
+                cells = here(slots).ravel().astype(np.intp)
                 for sums, part in zip(total, parts, strict=False):
                     for values, shift in part:
-                        found = np.bincount(cells, np.repeat(values.take(some), slots.shape[1]), self.size)
+                        found = np.bincount(cells, np.repeat(here(values), slots.shape[1]), self.size)
                         sums += found.astype(np.int64) << shift
                 if not everything:
                     total[2] += np.bincount(cells, minlength=self.size)
